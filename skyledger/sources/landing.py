@@ -56,6 +56,25 @@ def is_present(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def landing_months(spark: SparkSession, root: str) -> set[tuple[int, int]]:
+    """Months that have a landing file, from one listing of the folder.
+
+    The names are reduced to months by Spark; a few hundred pairs come back.
+    """
+    try:
+        files = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select("path")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return set()
+        raise
+    pattern = F.lit(FILE_MONTH.pattern)
+    named = files.where(F.regexp_like("path", pattern)).select(
+        F.regexp_extract("path", FILE_MONTH.pattern, 1).cast("int").alias("year"),
+        F.regexp_extract("path", FILE_MONTH.pattern, 2).cast("int").alias("month"),
+    )
+    return {(row.year, row.month) for row in named.distinct().collect()}
+
+
 def read_landing_months(
     spark: SparkSession,
     root: str,
@@ -68,17 +87,14 @@ def read_landing_months(
     """
     if on_missing not in ("error", "skip"):
         raise ValueError(f"on_missing must be 'error' or 'skip', not {on_missing!r}")
-    months = list(months)
-    paths = []
-    for year, month in months:
-        path = month_files(root, year, month)
-        if is_present(spark, path):
-            paths.append(path)
-        elif on_missing == "error":
-            raise FileNotFoundError(path)
-    if not paths:
+    wanted = set(months)
+    found = wanted & landing_months(spark, root)
+    if on_missing == "error" and found != wanted:
+        raise FileNotFoundError(month_files(root, *min(wanted - found)))
+    if not found:
         return spark.createDataFrame([], landing_schema())
-    return only_months(read_landing(spark, paths), months)
+    paths = [month_files(root, year, month) for year, month in sorted(found)]
+    return only_months(read_landing(spark, paths), found)
 
 
 def only_months(landing: DataFrame, months: Iterable[tuple[int, int]]) -> DataFrame:
@@ -87,10 +103,8 @@ def only_months(landing: DataFrame, months: Iterable[tuple[int, int]]) -> DataFr
     Loads replace the months they meet. A stray row of another month would
     replace all of that month, so it is refused instead of loaded or dropped.
     """
-    year, month = whole_number(F.col("Year")), whole_number(F.col("Month"))
-    own = F.lit(False)
-    for y, m in sorted(set(months)):
-        own = own | ((year == y) & (month == m))
+    number = whole_number(F.col("Year")) * 100 + whole_number(F.col("Month"))
+    own = number.isin(*[year * 100 + month for year, month in months])
     stray = F.concat_ws(" ", F.lit("row of a month not being loaded:"), "Year", "Month")
     checked = F.when(own, F.col("Year")).otherwise(F.raise_error(stray))
     return landing.withColumn("Year", checked)
