@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyledger.sources.tables import stored
+
 # Copies of one row expanded by one task at most.
 COPIES_PER_TASK_ROW = 100_000
 
@@ -19,13 +21,13 @@ def sample_rows(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> Da
     are partitioned and however often a task is run again.
 
     Copies of a row are counted before they are shuffled, and numbered in
-    slices, so no task holds all copies of one row. Draws above a cut that
-    leaves slightly more than ``n`` are dropped before the final sort; should
-    the cut leave too few, it is lifted.
+    slices, so no task holds all copies of one row. The counts are stored, as
+    they are read three times. Draws above a cut that leaves slightly more
+    than ``n`` are dropped before the final sort; should the cut leave too
+    few, it is lifted.
     """
-    counted = (
-        df.select(*columns).dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("copies"))
-    )
+    copies = F.count("*").alias("copies")
+    counted = stored(df.select(*columns).dropna().groupBy(*columns).agg(copies), "sample")
     last_slice = F.floor((F.col("copies") - 1) / COPIES_PER_TASK_ROW).cast("bigint")
     slices = counted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), last_slice)))
     spread = slices.repartition(*columns, "slice")

@@ -19,6 +19,7 @@ from skyledger.sources.tables import (
     read_raw_text,
     read_silver,
     replace_months,
+    replace_text_months,
     stored_months,
     to_bronze,
     write_mart,
@@ -63,23 +64,17 @@ def ingest(
     if raw is not None:
         load_raw_text(landing, raw)
         if staging is not None:
-            texts = [(str(y), str(m)) for y, m in months]
             loaded = read_raw_text(spark, raw)
             wanted = F.lit(False)
-            for year, month in texts:
-                wanted = wanted | ((F.col("Year") == year) & (F.col("Month") == month))
+            for year, month in months:
+                own = (F.col("Year") == str(year)) & (F.col("Month") == str(month))
+                wanted = wanted | own
             load_text_staging(loaded.where(wanted), staging)
 
 
 def load_text_staging(raw: DataFrame, path: str) -> None:
     """Text-path staging rows, months replaced."""
-    (
-        text_staging(raw)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("Year", "Month")
-        .parquet(path)
-    )
+    replace_text_months(text_staging(raw), path)
 
 
 def load_months(
@@ -133,9 +128,10 @@ def refresh_marts(
         write_mart(build(whole), f"{folder}/{name}")
 
 
-def read_marts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The six stored marts."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in base_marts.MARTS}
+def read_marts(spark: SparkSession, folder: str, cache: bool = False) -> dict[str, DataFrame]:
+    """The six stored marts, cached for a session that reads them repeatedly."""
+    marts = {name: spark.read.parquet(f"{folder}/{name}") for name in base_marts.MARTS}
+    return {name: mart.cache() for name, mart in marts.items()} if cache else marts
 
 
 def rebuild(spark: SparkSession, bronze: str, silver: str, lookups: Lookups) -> None:

@@ -45,15 +45,33 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def replace_months(df: DataFrame, path: str) -> None:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written to the shared folder once and read from there.
+
+    For intermediate results that several jobs read: nothing upstream is
+    computed again, also not after an executor is lost.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def replace_months(df: DataFrame, path: str, gather: bool = False) -> None:
     """Write months, replacing exactly the months present in ``df``.
 
-    Running it again leaves one copy. ``df`` has to hold whole months. Rows
-    stay in the tasks that read them: nothing is shuffled, so a month holding
-    most of the rows is written by as many tasks as read it.
+    Running it again leaves one copy. ``df`` has to hold whole months.
+
+    Rows read from monthly files stay in the tasks that read them: nothing is
+    shuffled, and a month holding most of the rows is written by as many tasks
+    as read it. Rows in no such order would make every task write to every
+    month; ``gather`` then brings a month's rows together first. Its rebalance
+    hint lets adaptive execution split a month too big for one task, which a
+    plain repartition by the same keys would not.
     """
+    arranged = df.hint("rebalance", *MONTH_KEYS) if gather else df
     (
-        df.write.mode("overwrite")
+        arranged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*MONTH_KEYS)
         .parquet(path)
@@ -74,10 +92,9 @@ def write_clustered(
 ) -> None:
     """Partitioned table whose files are sorted by the cluster keys.
 
-    The rebalance hint gathers a partition's rows to keep files few, and lets
-    adaptive execution split a partition that is too big for one task, which a
-    plain repartition by the same keys would not. Sorted files give row groups
-    with narrow min/max, so look-ups by the cluster keys skip most of them.
+    Rows are gathered as in :func:`replace_months`. Sorted files give row
+    groups with narrow min/max, so look-ups by the cluster keys skip most of
+    them.
     """
     arranged = df.hint("rebalance", *partition).sortWithinPartitions(*partition, *cluster)
     writer = arranged.write.partitionBy(*partition)
@@ -92,7 +109,7 @@ def write_mart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def to_bronze(landing: DataFrame, path: str) -> None:
+def to_bronze(landing: DataFrame, path: str, gather: bool = False) -> None:
     """Landing text as parquet under ``year=/month=``, months replaced.
 
     Year and Month live in the path alone: two spellings of one name in path
@@ -103,7 +120,7 @@ def to_bronze(landing: DataFrame, path: str) -> None:
         whole_number(F.col("Year")).alias("year"),
         whole_number(F.col("Month")).alias("month"),
     )
-    replace_months(keyed, path)
+    replace_months(keyed, path, gather)
 
 
 def as_landing(df: DataFrame) -> DataFrame:
@@ -157,20 +174,22 @@ def stored_months(spark: SparkSession, path: str) -> set[tuple[int, int]]:
     return {(row.year, row.month) for row in rows}
 
 
-def load_raw_text(landing: DataFrame, path: str) -> None:
-    """Text table of all 28 columns, kept under its Year and Month text.
-
-    Created when absent; months in ``landing`` replace their older copy.
-    """
+def replace_text_months(df: DataFrame, path: str, gather: bool = False) -> None:
+    """Like :func:`replace_months`, for tables kept under Year and Month text."""
+    arranged = df.hint("rebalance", "Year", "Month") if gather else df
     (
-        landing.select(*LANDING_COLUMNS)
-        .write.mode("overwrite")
+        arranged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("Year", "Month")
         .parquet(path)
     )
 
 
+def load_raw_text(landing: DataFrame, path: str, gather: bool = False) -> None:
+    """Text table of all 28 columns, created when absent, months replaced."""
+    replace_text_months(landing.select(*LANDING_COLUMNS), path, gather)
+
+
 def read_raw_text(
     spark: SparkSession, path: str, year: int | None = None, month: int | None = None
 ) -> DataFrame:

@@ -17,6 +17,18 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
+# Type names that stand for the same values in both engines.
+SAME_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else repr(value + 0.0)
@@ -34,6 +46,10 @@ def difference(frame, connection: duckdb.DuckDBPyConnection, sql: str) -> str |
     names = [column[0] for column in result.description]
     if sorted(frame.columns) != sorted(names):
         return f"columns {sorted(frame.columns)} != {sorted(names)}"
+    types = {column[0]: str(column[1]) for column in result.description}
+    for name, kind in frame.dtypes:
+        if SAME_TYPES.get(kind, kind) != types[name]:
+            return f"type of {name}: {kind} != {types[name]}"
     ours = _rows(frame.columns, [tuple(row) for row in frame.collect()])
     theirs = _rows(names, result.fetchall())
     if ours == theirs:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from skyledger.operators.silver import build_silver, enriched, filled
 from skyledger.operators.staging import staging_view
 from skyledger.schema import FLIGHT_COLUMNS
+from skyledger.plans.base import flight_base
 from skyledger.sources.lookups import Lookups
+from skyledger.sources.tables import stored
 
 FLIGHTS = """
 with b as (
@@ -166,6 +168,21 @@ def _target(uri: str):
     return filesystem, path
 
 
+_bases: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared aggregate behind the marts, built once per application.
+
+    Marts and reports read this small table as they would in production; only
+    building it scans the flights.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases:
+        _bases[key] = stored(flight_base(staging(spark, sf_dir)), "flight-base")
+    return _bases[key]
+
+
 def write_landing_files(landing: DataFrame, root: str) -> None:
     """Landing CSV named after its month, one part per month and writing task."""
 

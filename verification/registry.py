@@ -39,13 +39,13 @@ def query(function: Query) -> Query:
 
 def _monthly_bronze(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "bronze")
-    tables.to_bronze(fixture.landing(spark, sf_dir), path)
+    tables.to_bronze(fixture.landing(spark, sf_dir), path, gather=True)
     return path
 
 
 def _monthly_silver(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "silver")
-    tables.replace_months(fixture.silver(spark, sf_dir), path)
+    tables.replace_months(fixture.silver(spark, sf_dir), path, gather=True)
     return path
 
 
@@ -88,7 +88,7 @@ def raw_text_table(spark, sf_dir):
     """Text table loaded twice: one copy, counted by text month."""
     path = tables.work_folder(spark, "raw")
     for _ in range(2):
-        tables.load_raw_text(fixture.landing(spark, sf_dir), path)
+        tables.load_raw_text(fixture.landing(spark, sf_dir), path, gather=True)
     return tables.read_raw_text(spark, path).groupBy("Year", "Month").agg(
         F.count("*").alias("flight_count")
     )
@@ -115,7 +115,7 @@ def silver_rerun(spark, sf_dir):
     """All of silver loaded, then one year of it again: one copy."""
     path = _monthly_silver(spark, sf_dir)
     again = fixture.silver(spark, sf_dir).where(F.col("year") == YEAR)
-    tables.replace_months(again, path)
+    tables.replace_months(again, path, gather=True)
     return tables.read_silver(spark, path).groupBy("year", "month").agg(
         F.count("*").alias("flight_count"), F.sum("arr_delay").alias("delay_minutes")
     )
@@ -288,7 +288,7 @@ def _register_marts() -> None:
         QUERIES[name] = lambda spark, sf_dir, b=build: b(fixture.staging(configure(spark), sf_dir))
     for name, build in base.MARTS.items():
         QUERIES[f"{name}_from_base"] = lambda spark, sf_dir, b=build: b(
-            base.flight_base(fixture.staging(configure(spark), sf_dir))
+            fixture.stored_base(configure(spark), sf_dir)
         )
 
 
@@ -308,12 +308,14 @@ def top_carrier(spark, sf_dir):
 
 
 def _mart(name: str, spark, sf_dir) -> DataFrame:
-    return marts.MARTS[name](fixture.staging(spark, sf_dir))
+    return base.MARTS[name](fixture.stored_base(spark, sf_dir))
 
 
 def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    staging = fixture.staging(spark, sf_dir)
-    return marts.delay_by_carrier(staging), marts.flights_by_carrier(staging)
+    return (
+        _mart("delay_by_carrier", spark, sf_dir),
+        _mart("flights_by_carrier", spark, sf_dir),
+    )
 
 
 @query
@@ -369,8 +371,9 @@ def monthly_trend_year(spark, sf_dir):
 @query
 def airline_label(spark, sf_dir):
     """Cause shares with airline labels."""
-    staging = fixture.staging(spark, sf_dir)
-    return reports.root_cause_chart(marts.root_causes(staging), marts.flights_by_carrier(staging))
+    return reports.root_cause_chart(
+        _mart("root_causes", spark, sf_dir), _mart("flights_by_carrier", spark, sf_dir)
+    )
 
 
 @query
@@ -388,9 +391,8 @@ def top_airports(spark, sf_dir):
 @query
 def airport_card(spark, sf_dir):
     """Figures of one airport."""
-    staging = fixture.staging(spark, sf_dir)
-    detail, carriers = marts.airport_detail(staging), marts.flights_by_carrier(staging)
-    return reports.airport_card(detail, carriers, AIRPORT)
+    detail = _mart("airport_detail", spark, sf_dir)
+    return reports.airport_card(detail, _mart("flights_by_carrier", spark, sf_dir), AIRPORT)
 
 
 @query
@@ -446,9 +448,9 @@ _register_profile()
 
 
 def _checked_tables(spark, sf_dir) -> dict[str, DataFrame]:
-    staging = fixture.staging(spark, sf_dir)
-    shared = base.flight_base(staging)
-    return {"staging": staging, **{name: build(shared) for name, build in base.MARTS.items()}}
+    shared = fixture.stored_base(spark, sf_dir)
+    built = {name: build(shared) for name, build in base.MARTS.items()}
+    return {"staging": fixture.staging(spark, sf_dir), **built}
 
 
 @query
