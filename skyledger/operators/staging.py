@@ -16,7 +16,7 @@ def staging_view(silver: DataFrame) -> DataFrame:
     return renamed.select(*STAGING_COLUMNS)
 
 
-def register_staging(silver: DataFrame, name: str = "stg_carrier_report") -> DataFrame:
+def register_staging(silver: DataFrame, name: str = "staging_flights") -> DataFrame:
     """The staging rows as a temporary view."""
     staging = staging_view(silver)
     staging.createOrReplaceTempView(name)

@@ -120,7 +120,7 @@ def refresh_marts(
         flights = flights.where(month_filter(months))
     base = base_marts.flight_base(staging_view(flights))
     stored = base.withColumnsRenamed({"flight_year": "year", "flight_month": "month"})
-    replace_months(stored, f"{folder}/flight_base")
+    replace_months(stored, f"{folder}/flight_base", gather=True)
     whole = spark.read.parquet(f"{folder}/flight_base").withColumnsRenamed(
         {"year": "flight_year", "month": "flight_month"}
     )

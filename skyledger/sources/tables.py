@@ -17,6 +17,7 @@ from skyledger.schema import (
     LANDING_COLUMNS,
     MONTH_KEYS,
     SILVER_COLUMNS,
+    staging_type,
 )
 
 
@@ -201,3 +202,9 @@ def read_raw_text(
         raw = raw.where(F.col("Month") == str(month))
     return raw
 
+
+def read_text_staging(spark: SparkSession, path: str) -> DataFrame:
+    """The text path's staging rows; Year and Month are text there, too."""
+    return spark.read.parquet(path).select(
+        *[F.col(c).cast(staging_type(c)).alias(c) for c in LANDING_COLUMNS], "delay_category"
+    )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions import figures, parsing
-from skyledger.operators import profile, reports, sampling
+from skyledger.operators import marts, profile, reports, sampling
 
 
 def values(spark, rows, schema, expression):
@@ -186,3 +186,15 @@ def test_label_falls_back_to_the_code(spark):
         ("BB", "BB"),
         ("ZZ", "ZZ"),
     }
+
+
+def test_order_and_preview(spark):
+    df = spark.createDataFrame(
+        [("B", "n", 2), ("A", "n", 2), ("C", "n", 9)],
+        "reporting_airline string, airline_name string, total_flights long",
+    )
+    shown = [r.reporting_airline for r in marts.ordered(df, "flights_by_carrier").collect()]
+    assert shown == ["C", "A", "B"]
+    assert shown == [r.reporting_airline for r in reports.carrier_chart(df).collect()]
+    first = profile.preview(df, ["reporting_airline"], 2).collect()
+    assert [r.reporting_airline for r in first] == ["A", "B"]

@@ -114,7 +114,9 @@ def test_bronze_months(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
     assert tables.read_raw_text(spark, raw, 2023, 1).count() == 2
-    assert spark.read.parquet(staging).count() == 5
+    staged = tables.read_text_staging(spark, staging)
+    assert staged.count() == 5 and staged.first().Year == "2023"
+    assert staged.columns == [*LANDING_COLUMNS, "delay_category"]
 
 
 def test_drifting_bronze(spark, tmp_path):
@@ -138,6 +140,24 @@ def test_rerun_and_append(spark, tmp_path, lists):
     assert tables.read_silver(spark, path).count() == 2 * len(edge_rows.EDGES)
 
 
+def test_a_month_too_big_for_one_task_is_split(spark, tmp_path, lists):
+    one = build_silver(edge_rows.landing(spark), lists)
+    many = one.crossJoin(spark.range(0, 2000, 1, 8).select("id")).drop("id")
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        tables.replace_months(many, str(tmp_path / "hot"), gather=True)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(list((tmp_path / "hot").rglob("*.parquet"))) > 1
+    assert tables.read_silver(spark, str(tmp_path / "hot")).count() == 2000 * len(edge_rows.EDGES)
+
+
 def test_clustered_table(spark, tmp_path, lists):
     silver = build_silver(edge_rows.landing(spark), lists)
     path = str(tmp_path / "clustered")

@@ -133,12 +133,12 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     )
 
 
-_counted: dict[tuple[str, str], Lookups] = {}
+_counted: dict[tuple[int, str, str], Lookups] = {}
 
 
 def counted_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
-    """The code lists with their sizes, counted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The code lists with their sizes, counted once per session."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _counted:
         _counted[key] = lookups(spark, sf_dir).counted()
     return _counted[key]
@@ -168,16 +168,16 @@ def _target(uri: str):
     return filesystem, path
 
 
-_bases: dict[tuple[str, str], DataFrame] = {}
+_bases: dict[tuple[int, str, str], DataFrame] = {}
 
 
 def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared aggregate behind the marts, built once per application.
+    """The shared aggregate behind the marts, built once per session.
 
     Marts and reports read this small table as they would in production; only
     building it scans the flights.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
     if key not in _bases:
         _bases[key] = stored(flight_base(staging(spark, sf_dir)), "flight-base")
     return _bases[key]

@@ -188,7 +188,7 @@ def silver(spark, sf_dir):
 def stg_view(spark, sf_dir):
     """The staging view."""
     register_staging(fixture.silver(spark, sf_dir))
-    return spark.table("stg_carrier_report")
+    return spark.table("staging_flights")
 
 
 @query
