@@ -27,14 +27,6 @@ def month_files(root: str, year: int, month: int) -> str:
     return f"{root}/{year}/{year}_{month}[._]*csv"
 
 
-def file_month(path: str) -> tuple[int, int]:
-    """The month a landing file is named after."""
-    found = FILE_MONTH.search(path)
-    if found is None:
-        raise ValueError(f"not named after a month: {path}")
-    return int(found[1]), int(found[2])
-
-
 def read_landing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landing CSV files by header, every column as text, reduced to the 28.
 
@@ -56,23 +48,29 @@ def is_present(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def landing_months(spark: SparkSession, root: str) -> set[tuple[int, int]]:
-    """Months that have a landing file, from one listing of the folder.
+def months_of(files: DataFrame) -> set[tuple[int, int]]:
+    """Months the files in a ``path`` column are named after.
 
-    The names are reduced to months by Spark; a few hundred pairs come back.
+    Spark reduces the names to months; a few hundred pairs come back, however
+    many files there are. Files not named after a month are left out.
     """
+    pattern = FILE_MONTH.pattern
+    months = files.where(F.regexp_like("path", F.lit(pattern))).select(
+        F.regexp_extract("path", pattern, 1).cast("int").alias("year"),
+        F.regexp_extract("path", pattern, 2).cast("int").alias("month"),
+    )
+    return {(row.year, row.month) for row in months.distinct().collect()}
+
+
+def landing_months(spark: SparkSession, root: str) -> set[tuple[int, int]]:
+    """Months that have a landing file, from one listing of the folder."""
     try:
         files = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select("path")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return set()
         raise
-    pattern = F.lit(FILE_MONTH.pattern)
-    named = files.where(F.regexp_like("path", pattern)).select(
-        F.regexp_extract("path", FILE_MONTH.pattern, 1).cast("int").alias("year"),
-        F.regexp_extract("path", FILE_MONTH.pattern, 2).cast("int").alias("month"),
-    )
-    return {(row.year, row.month) for row in named.distinct().collect()}
+    return months_of(files)
 
 
 def read_landing_months(

@@ -35,17 +35,6 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a parquet table with at least one file lies at the path."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-    return True
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder once and read from there.
 
@@ -168,10 +157,19 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_months(spark: SparkSession, path: str) -> set[tuple[int, int]]:
-    """Months a monthly table holds: a few hundred pairs, from the directories."""
-    if not table_exists(spark, path):
+    """Months a monthly table holds: a few hundred pairs.
+
+    Taken from the listing; no parquet file is opened for it.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return set()
+        raise
+    if not set(MONTH_KEYS) <= set(files.columns):
         return set()
-    rows = spark.read.parquet(path).select(*MONTH_KEYS).distinct().collect()
+    rows = files.select(*MONTH_KEYS).dropna().distinct().collect()
     return {(row.year, row.month) for row in rows}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.silver import build_silver
-from skyledger.sources.landing import file_month, read_landing_months
+from skyledger.sources.landing import months_of, read_landing_months
 from skyledger.sources.lookups import Lookups
 from skyledger.sources.tables import replace_months
 
@@ -19,7 +19,7 @@ def load_new_files(
     silver: str,
     lookups: Lookups,
     checkpoint: str,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Load landing files that arrived since the last run, then stop.
 
@@ -29,21 +29,22 @@ def load_new_files(
     batch repeated after a failure does no harm. The checkpoint remembers the
     files; there is no other state.
 
-    Files of one month should arrive together: each batch that names a month
-    reads that month again.
+    By default one batch takes all new files, so each month they name is read
+    once. ``files_per_batch`` bounds a batch where that is too much for one
+    job; a month whose files fall into several batches is then read in each.
     """
     def replace_touched(batch: DataFrame, batch_id: int) -> None:
         # One short row per file of the batch; no landing row is read for it.
-        touched = {file_month(row.path) for row in batch.collect()}
+        touched = months_of(batch)
         if touched:
             landing = read_landing_months(batch.sparkSession, landing_root, sorted(touched))
             replace_months(build_silver(landing, lookups), silver)
 
+    listing = spark.readStream.format("binaryFile").schema(FILE_LISTING)
+    if files_per_batch is not None:
+        listing = listing.option("maxFilesPerTrigger", files_per_batch)
     return (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_LISTING)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(f"{landing_root}/*/*.csv")
+        listing.load(f"{landing_root}/*/*.csv")
         .select("path")
         .writeStream.foreachBatch(replace_touched)
         .option("checkpointLocation", checkpoint)

@@ -128,6 +128,15 @@ def test_drifting_bronze(spark, tmp_path):
     assert {(r.Month, float(r.CarrierDelay)) for r in df.collect()} == {("1", 3.0), ("2", 4.0)}
 
 
+def test_stored_months(spark, tmp_path, lists):
+    path = str(tmp_path / "silver")
+    assert tables.stored_months(spark, path) == set()
+    (tmp_path / "silver").mkdir()
+    assert tables.stored_months(spark, path) == set()
+    tables.replace_months(build_silver(edge_rows.landing(spark), lists), path)
+    assert tables.stored_months(spark, path) == {(2023, 1)}
+
+
 def test_rerun_and_append(spark, tmp_path, lists):
     silver = build_silver(edge_rows.landing(spark), lists)
     path = str(tmp_path / "silver")

@@ -184,7 +184,11 @@ def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_landing_files(landing: DataFrame, root: str) -> None:
-    """Landing CSV named after its month, one part per month and writing task."""
+    """Landing CSV named after its month, one part per month and writing task.
+
+    Months are gathered first, big ones split, so that a task writes few files.
+    """
+    gathered = landing.hint("rebalance", "Year", "Month")
 
     def split(batches):
         task = TaskContext.get().partitionId()
@@ -202,7 +206,7 @@ def write_landing_files(landing: DataFrame, root: str) -> None:
                     open_files[year, month].write(text.encode())
         yield from ()
 
-    landing.mapInPandas(split, landing.schema).write.format("noop").mode("overwrite").save()
+    gathered.mapInPandas(split, landing.schema).write.format("noop").mode("overwrite").save()
 
 
 def write_archives(landing: DataFrame, folder: str) -> None:
