@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skyledger.llm import licenses
+
 ORACLE: dict[str, str] = {}
 
 # Space, tab, line feed, vertical tab, form feed and carriage return.
@@ -49,3 +51,54 @@ select doc_id, cast(size as bigint) as size, source_size, target,
          as taken
 from budgeted
 """
+
+
+def _licenses() -> str:
+    rows = []
+    for name, template in licenses.TEMPLATES.items():
+        grams = licenses.template_bigrams(template)
+        least, most = licenses.size_bounds(len(grams))
+        listed = ", ".join(f"'{g}'" for g in grams)
+        rows.append(f"('{name}', [{listed}], {len(grams)}, {least}, {most})")
+    return rf"""
+with templates(license, grams, n, least, most) as (values {", ".join(rows)}),
+texts as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), cut as (
+  select r, text, string_split(text, chr(10)) as lines,
+         list_filter(string_split_regex(text, '\n[\x20\t\r]*\n'), lambda p: contains(p, chr(10)))
+           as paragraphs
+  from texts
+), passages as (
+  select r, unnest(list_concat(lines,
+           case when contains(text, chr(10)) then paragraphs else [] end,
+           case when contains(text, chr(10)) and len(paragraphs) <> 1 then [text] else [] end))
+         as passage
+  from cut
+), split as (
+  select r, string_split(trim(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w
+  from passages
+), sized as (
+  select r, len(w) - 1 as size, list_distinct(
+           list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bigrams
+  from split where len(w) between 2 and 400
+), scored as (
+  select r, license, cast(floor(2000 * len(list_intersect(bigrams, grams)) / (len(bigrams) + n)) as bigint)
+         as dice
+  from sized join templates on size between least and most
+), ranked as (
+  select r, license, dice from scored where dice >= {licenses.LEAST_DICE}
+), per_text as (
+  select r, arg_min(license, (-dice, license)) as license, max(dice) as dice from ranked group by r
+), counted as (
+  select r, count(*) as n_passages from sized s
+  where exists (select 1 from templates t where s.size between t.least and t.most and
+    floor(2000 * len(list_intersect(s.bigrams, t.grams)) / (len(s.bigrams) + t.n)) >= {licenses.LEAST_DICE})
+  group by r
+)
+select doc_id, license, dice, coalesce(n_passages, 0) as n_passages
+from texts left join per_text using (r) left join counted using (r)
+"""
+
+
+ORACLE["op9_licenses"] = _licenses()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import mixing, secrets, sharding
+from skyledger.llm import licenses, mixing, quality, secrets, sharding
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
@@ -23,9 +23,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of all documents by weak supervision."""
+    return quality.quality_table(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, scanned through a ledger of blobs."""
     return secrets.scan_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op4_mixing, op8_secrets)}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.license_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op4_mixing, op7_quality, op8_secrets, op9_licenses)}
