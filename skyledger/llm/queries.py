@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import licenses, mixing, quality, secrets, sharding
+from skyledger.llm import licenses, mixing, pii, quality, secrets, sharding
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
@@ -38,4 +38,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op4_mixing, op7_quality, op8_secrets, op9_licenses)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by format and by context."""
+    return pii.pii_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op4_mixing, op7_quality, op8_secrets, op9_licenses, op10_pii)}
