@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import licenses, mixing, pii, quality, secrets, sharding
+from skyledger.llm import licenses, mixing, neardup, pii, quality, secrets, sharding
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents by a chosen-path join."""
+    like = neardup.Similarity(width=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), like).drop("key")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-pass external shuffle of all documents into 40 shards."""
     return sharding.shard_table(table(spark, sf_dir, "documents"), shards=40)
@@ -43,4 +49,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_sharding, op4_mixing, op7_quality, op8_secrets, op9_licenses, op10_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op4_mixing, op7_quality, op8_secrets, op9_licenses, op10_pii)}
