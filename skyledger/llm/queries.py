@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, licenses, mixing, neardup, pii, quality, secrets, sharding
+from skyledger.llm import decontaminate, licenses, maintext, mixing, neardup, pii, quality, secrets, sharding
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
@@ -29,6 +29,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return maintext.extract_table(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of all documents that copy a benchmark item."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -54,4 +59,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op4_mixing, op6_decontaminate, op7_quality, op8_secrets, op9_licenses, op10_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op4_mixing, op5_maintext, op6_decontaminate, op7_quality, op8_secrets, op9_licenses, op10_pii)}
