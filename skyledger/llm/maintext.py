@@ -85,6 +85,11 @@ _MENUS = (
     ("<header><nav><ul>", "</ul></nav></header>"),
     ('<ul class="nav">', "</ul>"),
 )
+_HEADERS = (
+    ("<header><h1>", "</h1></header>"),
+    ('<div id="header"><h2>', "</h2></div>"),
+    ('<div class="banner"><p>', "</p></div>"),
+)
 _FOOTERS = (("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="copyright">', "</div>"))
 
 
@@ -113,6 +118,9 @@ def _rearranged(main: list[str], rest: list[str], draw: random.Random) -> str:
         body.insert(draw.randint(1, len(body)), "</x-main>" + aside() + "<x-main data-main>")
     article = f"{opens}<x-main data-main>{''.join(body)}</x-main>{closes}"
     parts = [menu, *[aside() for _ in range(draw.randint(0, 2))], article, *[aside() for _ in range(draw.randint(0, 2))]]
+    if draw.random() < 0.4:
+        opens, closes = draw.choice(_HEADERS)
+        parts.insert(draw.randint(0, 1), opens + some() + closes)
     if draw.random() < 0.5:
         whole, one, end_one, end_whole = draw.choice(_COMMENTS)
         texts = [draw.choice([*rest, *main[1:]]) for _ in range(draw.randint(1, 4))]

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, licenses, maintext, mixing, neardup, pii, quality, secrets, sharding
+from skyledger.llm import decontaminate, licenses, maintext, mixing, neardup, packing, pii, quality, secrets, sharding
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
+#: Ranks of a public byte-level BPE with 50,256 tokens.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +27,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Token ids of all documents in packed rows."""
+    tokenizer = packing.Tokenizer(packing.read_ranks(vocabulary))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source weights."""
     return mixing.mix_table(table(spark, sf_dir, "documents"))
@@ -59,4 +68,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op4_mixing, op5_maintext, op6_decontaminate, op7_quality, op8_secrets, op9_licenses, op10_pii)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op3_packing, op4_mixing, op5_maintext, op6_decontaminate, op7_quality, op8_secrets, op9_licenses, op10_pii)}
