@@ -4,9 +4,9 @@ Word trigrams of a test item that are rare in the corpus join passages to the
 item; the words around a seed are aligned to the item's words. A word edited,
 dropped or added costs a little of the score and does not hide the copy.
 
-Rare is relative: a trigram is a seed if few documents hold it, or no more than
-hold the middle one of its item. So common phrases start no alignments, while an
-item copied into a third of all documents keeps half of its trigrams as seeds.
+Rare is relative: a trigram is a seed if few documents hold it, or not many times
+as many as hold the middle one of its item. So common phrases start no alignments,
+while an item copied into a third of all documents keeps its trigrams as seeds.
 
 The test items are the stated query set. They are taken in blocks of bounded
 size, each of which is broadcast and held against all documents where these are
@@ -31,8 +31,9 @@ from skyledger.llm.common import text_of
 
 #: Words of a seed.
 GRAM = 3
-#: Share of all documents that may hold a rare trigram in any case.
-RARE = 1e-4
+#: Documents that may hold a rare trigram in any case: so many, and this share of
+#: all; and so many times those that hold the middle trigram of its item.
+RARE_DOCUMENTS, RARE_SHARE, RARE_TIMES = 100, 1e-4, 4
 #: Score of equal words, of different ones, and of a word on one side only.
 EQUAL, DIFFERENT, GAP = 2, -1, -1
 #: Least score of a copy, as a share of the score of the item with itself.
@@ -144,7 +145,7 @@ class Items:
                 of_item[k].append(g)
         for grams in of_item:
             own = frequency[grams]
-            limit = max(RARE * documents, float(np.median(own)))
+            limit = max(RARE_DOCUMENTS, RARE_SHARE * documents, RARE_TIMES * float(np.median(own)))
             self.seed[np.array(grams)[own <= limit]] = True
 
     def copies(self, text: str | None) -> list[tuple[int, float, int, int]]:
