@@ -16,9 +16,11 @@ links cross blocks through hubs.
 
 Copies are collapsed first: one class per sequence of words. In a node every
 class is compared with every other by signature, but only a spanning selection of
-the likely pairs is confirmed on full sets at first. Likely pairs of a node that
-these links leave in different components are all confirmed in a second step, so
-no link is lost while groups of variants need no quadratic confirmation.
+the likely pairs is handed on and confirmed on full sets. Where these links leave
+likely pairs of a node in different components, the classes concerned meet again
+with their full sets, every pair under different labels is compared exactly inside
+the node, and links that join components are handed on. So no link is lost, and a
+group of variants hands on a number of pairs in proportion to its size.
 
 Edge cases: texts without words have an empty set and are linked with nothing,
 not even with each other. A text shorter than a shingle is one shingle. Documents
@@ -28,7 +30,7 @@ copies. An empty table gives no rows. Columns but doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +44,8 @@ from skyledger.llm.components import components
 
 #: Independent trees, and MinHash values of a signature.
 TREES, VALUES = 14, 96
+#: Trees in which classes meet again with their full sets.
+EXACT_TREES = 6
 #: Classes of a node that are compared with each other, and hubs of a larger one.
 NODE, HUBS = 1024, 512
 #: Levels below the root at which large nodes branch again.
@@ -51,7 +55,9 @@ LEVELS = 8
 ALIKE, ALIKE_LEVELS = 0.6, 2
 #: A pair is likely if its signatures agree in at least the threshold less this
 #: many standard deviations.
-DEVIATIONS = 4.5
+DEVIATIONS = 3.5
+#: Members in the middle of a node that every other is tied to, if likely similar.
+MIDDLES = 4
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 
@@ -176,7 +182,7 @@ def _branch(rows: DataFrame, classes: DataFrame) -> DataFrame:
     which = F.pmod(F.xxhash64("node", F.lit("coordinate")), F.lit(VALUES)).cast("int")
     chosen = F.substr("signature", which * 2 + 1, F.lit(2))
     tokens = rows.join(classes.select("uid", "signature"), "uid")
-    return tokens.select("node", "uid", "levels_alike", F.xxhash64("node", chosen).alias("child"))
+    return tokens.select("tree", "node", "uid", "levels_alike", F.xxhash64("node", chosen).alias("child"))
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -188,25 +194,26 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     hub = place < (F.lit(HUBS) * F.lit(1 << 40) / F.col("n"))
     own = F.array(F.pmod(F.xxhash64("uid", "node"), count.cast("long")).cast("int"))
     blocks = F.when(hub, F.sequence(F.lit(0), count - 1)).otherwise(own)
-    spread = sized.select("node", "uid", F.explode(blocks).alias("block"))
-    return spread.select(F.xxhash64("node", F.lit("block"), "block").alias("node"), "uid")
+    spread = sized.select("tree", "node", "uid", F.explode(blocks).alias("block"))
+    return spread.select("tree", F.xxhash64("node", F.lit("block"), "block").alias("node"), "uid")
 
 
 def nodes_of(classes: DataFrame) -> DataFrame:
-    """(node, uid) of all nodes to compare."""
-    rows = classes.select(F.explode("roots").alias("node"), "uid", F.lit(0).alias("levels_alike"))
+    """(tree, node, uid) of all nodes to compare."""
+    member = ("tree", "node", "uid")
+    rows = classes.select(F.posexplode("roots").alias("tree", "node"), "uid", F.lit(0).alias("levels_alike"))
     found = []
     for level in range(LEVELS + 1):
         rows = stored(rows, "dedup-level")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes = stored(sizes, "dedup-sizes")
-        found.append(rows.join(sizes.where(F.col("n") <= NODE), "node").select("node", "uid"))
+        found.append(rows.join(sizes.where(F.col("n") <= NODE), "node").select(*member))
         large = sizes.where(F.col("n") > NODE)
         if large.isEmpty():
             break
         kept = rows.join(large.select("node"), "node")
         if level == LEVELS:
-            found.append(_blocks(kept.select("node", "uid"), large))
+            found.append(_blocks(kept.select(*member), large))
             break
         branched = stored(_branch(kept, classes), "dedup-branch")
         children = branched.groupBy("node", "child").count().groupBy("node").agg(
@@ -214,10 +221,10 @@ def nodes_of(classes: DataFrame) -> DataFrame:
         )
         alike = large.join(children, "node").where(F.col("most") >= ALIKE * F.col("n"))
         alike = stored(alike.select("node", "n"), "dedup-alike")
-        found.append(_blocks(branched.join(alike.select("node"), "node").select("node", "uid"), alike))
+        found.append(_blocks(branched.join(alike.select("node"), "node").select(*member), alike))
         marked = branched.join(alike.select("node", F.lit(1).alias("is_alike")), "node", "left")
         levels = F.col("levels_alike") + F.coalesce("is_alike", F.lit(0))
-        rows = marked.select(F.col("child").alias("node"), "uid", levels.alias("levels_alike"))
+        rows = marked.select("tree", F.col("child").alias("node"), "uid", levels.alias("levels_alike"))
         rows = rows.where(F.col("levels_alike") < ALIKE_LEVELS)
     every = found[0]
     for more in found[1:]:
@@ -241,8 +248,10 @@ def _agreeing(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> It
 def _spanning(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> set[tuple[int, int]]:
     """Few likely pairs that connect what is likely similar.
 
-    Members are taken in order of how much they agree with others; each is tied
-    to the earlier one, and to the one at all, with which it agrees most.
+    Members are taken in order of how much they agree with others. Each is tied
+    to the one, and to the earlier one, with which it agrees most, and to the
+    first few it is likely similar to: variants of a text differ most from each
+    other and least from those in their middle.
     """
     n = len(sizes)
     if n == 2:
@@ -256,74 +265,137 @@ def _spanning(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> se
         agreement[js, i] = agreed
     order = np.lexsort((np.arange(n), -agreement.sum(1, dtype=np.int64)))
     ranked = agreement[np.ix_(order, order)]
+    chosen = [ranked.argmax(1), np.tril(ranked).argmax(1)]
+    likely = ranked > 0
+    for _ in range(MIDDLES):
+        chosen.append(likely.argmax(1))
+        likely[np.arange(n), chosen[-1]] = False
     pairs = set()
-    for table in (ranked, np.tril(ranked)):
-        best = table.argmax(1)
-        for k in np.flatnonzero(table.max(1)):
+    for best in chosen:
+        for k in np.flatnonzero(ranked[np.arange(n), best]):
             pairs.add((int(order[k]), int(order[best[k]])))
     return pairs
 
 
 def _crossing(
     signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, like: Similarity
-) -> set[tuple[int, int]]:
-    """All likely pairs under different labels."""
-    if (labels == labels[0]).all():
-        return set()
-    pairs = set()
-    for i, js, _ in _agreeing(signatures, sizes, like):
-        pairs.update((i, int(j)) for j in js[labels[js] != labels[i]])
-    return pairs
-
-
-def _pairs(members: DataFrame, like: Similarity, crossing: bool) -> DataFrame:
-    """Pairs (a, b) to confirm, from (node, uid, n_shingles, signature, label)."""
-
-    def compare(node: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        uid = node.column("uid").to_numpy()
-        sizes = node.column("n_shingles").to_numpy()
-        joined = b"".join(node.column("signature").to_pylist())
-        signatures = np.frombuffer(joined, "<u2").reshape(len(uid), VALUES)
-        if crossing:
-            found = _crossing(signatures, sizes, node.column("label").to_numpy(), like)
-        else:
-            found = _spanning(signatures, sizes, like)
-        ends = np.array(sorted(found), np.int64).reshape(-1, 2)
-        a, b = uid[ends[:, 0]], uid[ends[:, 1]]
-        return np.minimum(a, b), np.maximum(a, b)
+) -> np.ndarray:
+    """Which members are in a likely pair under different labels."""
+    concerned = np.zeros(len(sizes), bool)
+    if (labels != labels[0]).any():
+        for i, js, _ in _agreeing(signatures, sizes, like):
+            js = js[labels[js] != labels[i]]
+            concerned[js] = True
+            concerned[i] |= len(js) > 0
+    return concerned
+
+
+def _joining(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that are similar enough and join labels, each only if not joined before.
+
+    Tokens are numbered; one pass over the tokens of all members counts what they
+    share with one of them.
+    """
+    sizes = np.array([len(t) for t in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark = np.zeros(codes.max() + 1, np.int32)
+    now = labels.copy()
+    found = []
+    for i in range(len(sets) - 1):
+        if (now[i + 1 :] == now[i]).all():
+            continue
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[codes], starts)
+        mark[own] = 0
+        similar = 100 * shared >= percent * (sizes + sizes[i] - shared)
+        for j in np.flatnonzero(similar[i + 1 :]) + i + 1:
+            if now[j] != now[i]:
+                found.append((i, int(j)))
+                now[now == now[j]] = now[i]
+    return found
+
+
+def _by_node(
+    members: DataFrame, schema: str, use: Callable[[pa.Table], pa.RecordBatch | None]
+) -> DataFrame:
+    """``use`` on the rows of every node with more than one row.
+
+    Nodes come sorted; the last of a batch may go on in the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Nodes come sorted; the last of a batch may go on in the next."""
         held: pa.Table | None = None
 
-        def done(rows: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
+        def whole(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
             node = rows.column("node").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(node)) + 1).tolist(), len(node)]
-            whole = cuts if last else cuts[:-1]
-            found = [
-                compare(rows.slice(s, e - s))
-                for s, e in zip(whole, whole[1:], strict=False)
-                if e - s > 1
+            ends = cuts if last else cuts[:-1]
+            out = [
+                done
+                for s, e in zip(ends, ends[1:], strict=False)
+                if e - s > 1 and (done := use(rows.slice(s, e - s))) is not None
             ]
-            return found, None if last else rows.slice(whole[-1])
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = None if last else rows.slice(ends[-1])
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
-            found, held = done(rows, last=False)
-            if found:
-                yield batch_of(found)
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+                yield from whole(rows, last=False)
         if held is not None and held.num_rows:
-            found, _ = done(held, last=True)
-            if found:
-                yield batch_of(found)
+            yield from whole(held, last=True)
+
+    return members.repartition("node").sortWithinPartitions("node", "uid").mapInArrow(run, schema)
+
+
+def _described(node: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    joined = b"".join(node.column("signature").to_pylist())
+    signatures = np.frombuffer(joined, "<u2").reshape(node.num_rows, VALUES)
+    return signatures, node.column("n_shingles").to_numpy()
 
-    arranged = members.repartition("node").sortWithinPartitions("node", "uid")
-    return arranged.mapInArrow(run, "a long, b long").distinct()
+
+def _ends(node: pa.Table, pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch | None:
+    """Pairs of places as pairs of uids, the lesser first."""
+    at = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    if not len(at):
+        return None
+    uid = node.column("uid").to_numpy()[at]
+    columns = [pa.array(uid.min(1)), pa.array(uid.max(1))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+
+def spanning_pairs(members: DataFrame, like: Similarity) -> DataFrame:
+    """Likely pairs (a, b) to confirm, from (node, uid, n_shingles, signature)."""
+    found = _by_node(members, "a long, b long", lambda node: _ends(node, _spanning(*_described(node), like)))
+    return found.distinct()
+
+
+def crossing_members(members: DataFrame, like: Similarity) -> DataFrame:
+    """(node, uid, label) in likely pairs under different labels."""
+
+    def use(node: pa.Table) -> pa.RecordBatch | None:
+        concerned = _crossing(*_described(node), node.column("label").to_numpy(), like)
+        if not concerned.any():
+            return None
+        kept = node.select(["node", "uid", "label"]).filter(pa.array(concerned))
+        return kept.combine_chunks().to_batches()[0]
+
+    return _by_node(members, "node long, uid long, label long", use)
+
+
+def joining_links(members: DataFrame, percent: int) -> DataFrame:
+    """Exact links (a, b) between labels, from (node, uid, label, tokens)."""
+
+    def use(node: pa.Table) -> pa.RecordBatch | None:
+        sets = [np.frombuffer(t, np.uint64) for t in node.column("tokens").to_pylist()]
+        return _ends(node, _joining(sets, node.column("label").to_numpy(), percent))
+
+    return _by_node(members, "a long, b long", use)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -373,17 +445,17 @@ def links_of(docs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame
     described = classes.select("uid", "n_shingles", "signature")
     nodes = stored(nodes_of(classes), "dedup-nodes")
     members = nodes.join(described, "uid")
-    first = stored(_pairs(members.withColumn("label", F.lit(0).cast("long")), like, False), "dedup-pairs")
+    first = stored(spanning_pairs(members, like), "dedup-pairs")
+    # Every class with a likely partner is an end of one of these pairs.
     ends = first.select(F.col("a").alias("uid")).union(first.select("b")).distinct()
-    sets = stored(sets_of(docs, classes.join(ends, "uid").select("uid", "rep", "key"), like.width), "dedup-sets")
+    wanted = classes.join(ends, "uid").select("uid", "rep", "key")
+    sets = stored(sets_of(docs, wanted, like.width), "dedup-sets")
     links = stored(confirmed(first, sets, like.percent), "dedup-links")
     labels = components(links).select(F.col("a").alias("uid"), F.col("b").alias("label"))
-    # Only classes that have a likely partner can be in a crossing pair.
-    labelled = members.join(ends, "uid").join(labels, "uid", "left").withColumn(
-        "label", F.coalesce("label", "uid")
-    )
-    second = _pairs(labelled, like, True).join(first, ["a", "b"], "left_anti")
-    more = confirmed(stored(second, "dedup-pairs"), sets, like.percent)
+    again = members.where(F.col("tree") < EXACT_TREES).join(ends, "uid").join(labels, "uid", "left")
+    again = again.withColumn("label", F.coalesce("label", "uid"))
+    concerned = stored(crossing_members(again, like), "dedup-crossing")
+    more = joining_links(concerned.join(sets, "uid"), like.percent)
     return components(links.unionByName(more))
 
 
