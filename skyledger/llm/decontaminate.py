@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,17 @@ LEAST_SCORE = 0.5
 #: UTF-8 bytes of the items of a block.
 BLOCK_BYTES = 16 << 20
 
-_WORD = re.compile(r"\w+")
+# ASCII letters, digits and the bytes of other characters make words.
+_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_PUNCTUATION = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """Words in lower case; blanks and punctuation are between words."""
+    text = (text or "").lower()
+    if not text.isascii() and _PUNCTUATION.search(text):
+        text = _PUNCTUATION.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -79,6 +86,8 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(names)}
         self.ids = [i for i, _ in held]
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in held]
+        self.distinct = [np.unique(w, return_counts=True) for w in self.words]
+        self.short_widths = sorted({len(w) for w in self.words if len(w) < GRAM})
         base = [self._grams(w) for w in self.words]
         self.grams = np.unique(np.concatenate(base)) if base else np.empty(0, np.int64)
         places: list[list[tuple[int, int]]] = [[] for _ in self.grams]
@@ -89,52 +98,47 @@ class Items:
         self.seed = np.ones(len(self.grams), bool)
 
     def _grams(self, coded: np.ndarray) -> np.ndarray:
-        """Codes of the trigrams, of all words where they are fewer; -1 with a foreign word.
+        """Codes of an item's trigrams, of all its words where they are fewer.
 
         A block has under two million different words, so a code fits 64 bits.
         """
         width = min(GRAM, len(coded))
-        size = len(self.vocabulary) + 1
         count = len(coded) - width + 1
         code = np.zeros(count, np.int64)
-        known = np.ones(count, bool)
         for k in range(width):
-            part = coded[k : k + count]
-            code = code * size + part + 1
-            known &= part >= 0
-        return np.where(known, code, -1)
+            code = code * (len(self.vocabulary) + 1) + coded[k : k + count] + 1
+        return code
 
     def code(self, text: str | None) -> np.ndarray:
         """The words as numbers, -1 for those no item has."""
-        find = self.vocabulary.get
-        return np.array([find(w, -1) for w in words_of(text)], np.int64)
+        return np.array(list(map(self.vocabulary.get, words_of(text), repeat(-1))), np.int64)
 
     def held_grams(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, number of the trigram) of the items' trigrams."""
         found_at, found = [], []
-        for width in (GRAM, 2, 1):
-            if width > len(coded) or (width < GRAM and not self._short(width)):
+        for width in (GRAM, *self.short_widths):
+            if width > len(coded):
                 continue
-            code = self._grams_of_width(coded, width)
-            at = np.flatnonzero(code >= 0)
-            number = np.searchsorted(self.grams, code[at])
+            # Places from which as many known words follow.
+            known = coded >= 0
+            at = known[: len(coded) - width + 1].copy()
+            for k in range(1, width):
+                at &= known[k : len(coded) - width + 1 + k]
+            at = np.flatnonzero(at)
+            if not len(at):
+                continue
+            code = np.zeros(len(at), np.int64)
+            for k in range(width):
+                code = code * (len(self.vocabulary) + 1) + coded[at + k] + 1
+            number = np.searchsorted(self.grams, code)
             number[number == len(self.grams)] = 0
-            hit = self.grams[number] == code[at] if len(at) else np.empty(0, bool)
+            hit = self.grams[number] == code
             found_at.append(at[hit])
             found.append(number[hit])
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(found_at), np.concatenate(found)
 
-    def _short(self, width: int) -> bool:
-        return any(len(w) == width for w in self.words)
-
-    def _grams_of_width(self, coded: np.ndarray, width: int) -> np.ndarray:
-        if width == GRAM:
-            return self._grams(coded)
-        whole = [self._grams(coded[k : k + width])[0] for k in range(len(coded) - width + 1)]
-        return np.array(whole, np.int64)
-
     def keep_rare(self, holders: dict[int, int], documents: int) -> None:
         """Choose the seeds by the number of documents that hold each trigram."""
         frequency = np.array([holders.get(g, 0) for g in range(len(self.grams))], np.int64)
@@ -162,16 +166,27 @@ class Items:
         found = []
         for k, starts in windows.items():
             item = self.words[k]
-            best = self._best(item, coded, sorted(starts))
+            best = self._best(k, coded, sorted(starts))
             if best[0] >= LEAST_SCORE:
                 found.append((k, *best))
         return found
 
-    def _best(self, item: np.ndarray, coded: np.ndarray, starts: list[int]) -> tuple[float, int, int]:
+    def _shared(self, k: int, passage: np.ndarray) -> int:
+        """Words of the item that the passage has as well, which bound the score."""
+        own, counts = self.distinct[k]
+        at = np.searchsorted(own, passage)
+        at[at == len(own)] = 0
+        held = np.bincount(at[own[at] == passage], minlength=len(own))
+        return int(np.minimum(held, counts).sum())
+
+    def _best(self, k: int, coded: np.ndarray, starts: list[int]) -> tuple[float, int, int]:
+        item = self.words[k]
         span, most = len(item), EQUAL * len(item)
         best = (0.0, 0, 0)
         for s in starts:
             low, high = max(0, (s - 1) * span), min(len(coded), (s + 3) * span)
+            if EQUAL * self._shared(k, coded[low:high]) < LEAST_SCORE * most:
+                continue
             score, end = align(item, coded[low:high])
             if score / most > best[0]:
                 _, length = align(item[::-1], coded[low : low + end][::-1])
