@@ -26,6 +26,8 @@ from skyledger.functions.figures import (
 from skyledger.schema import CAUSES, FLIGHT_TYPES
 
 NUMERIC = [name for name, kind in FLIGHT_TYPES.items() if kind == "int"]
+# Numbers in the landing files, too: 1 for true.
+FLAGS = [name for name, kind in FLIGHT_TYPES.items() if kind == "boolean"]
 
 # Limits beyond which a value is looked at as an outlier.
 SHORTEST_DISTANCE = 0
@@ -45,11 +47,15 @@ def row_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: list[str] = NUMERIC) -> DataFrame:
-    """Minimum, mean, maximum and sample deviation of each column."""
+def describe(df: DataFrame, columns: list[str] = NUMERIC + FLAGS) -> DataFrame:
+    """Minimum, mean, maximum and sample deviation of each column, flags as 0 and 1."""
     measures = {"min": F.min, "mean": F.avg, "max": F.max, "std": F.stddev_samp}
     summary = df.agg(
-        *[fn(c).cast("double").alias(f"{m}_{c}") for c in columns for m, fn in measures.items()]
+        *[
+            fn(F.col(c).cast("int")).cast("double").alias(f"{m}_{c}")
+            for c in columns
+            for m, fn in measures.items()
+        ]
     )
     return _as_rows(
         summary,

@@ -152,12 +152,9 @@ def top_airports(airport_bottlenecks: DataFrame, n: int = 10) -> DataFrame:
 def airport_card(
     airport_detail: DataFrame, flights_by_carrier: DataFrame, airport: str
 ) -> DataFrame:
-    """The figures of one airport; the first city by name if it has several."""
-    row = (
-        airport_detail.where(F.col("airport_code") == airport)
-        .orderBy(F.asc_nulls_last("city_name"))
-        .limit(1)
-    )
+    """The figures of one airport; the row with most traffic if it has several."""
+    one = airport_detail.where(F.col("airport_code") == airport)
+    row = one.orderBy(*shown_order("airport_detail")).limit(1)
     shown = row.select(
         "airport_code",
         "city_name",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.sources.tables import stored
@@ -13,12 +13,20 @@ from skyledger.sources.tables import stored
 COPIES_PER_TASK_ROW = 100_000
 
 
-def sample_rows(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows without replacement, over the rows where no column is null.
+def draw_of(columns: list[str], seed: int) -> Column:
+    """The draw of a row: a digest of its values, its copy number and the seed."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in [*columns, "copy"]]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
 
-    A row's draw is a hash of its values, the number of the copy it is and the
-    seed, and the lowest draws win. The outcome is the same however the rows
-    are partitioned and however often a task is run again.
+
+def sample_rows(
+    df: DataFrame, columns: list[str], n: int, seed: int = 42, keep_nulls: bool = False
+) -> DataFrame:
+    """``n`` rows without replacement.
+
+    Rows with a null in a column are left out unless ``keep_nulls`` is set. The
+    lowest draws win. The outcome is the same however the rows are partitioned
+    and however often a task is run again.
 
     Copies of a row are counted before they are shuffled, and numbered in
     slices, so no task holds all copies of one row. The counts are stored, as
@@ -26,21 +34,20 @@ def sample_rows(df: DataFrame, columns: list[str], n: int, seed: int = 42) -> Da
     than ``n`` are dropped before the final sort; should the cut leave too
     few, it is lifted.
     """
-    copies = F.count("*").alias("copies")
-    counted = stored(df.select(*columns).dropna().groupBy(*columns).agg(copies), "sample")
+    chosen = df.select(*columns) if keep_nulls else df.select(*columns).dropna()
+    counted = stored(chosen.groupBy(*columns).agg(F.count("*").alias("copies")), "sample")
     last_slice = F.floor((F.col("copies") - 1) / COPIES_PER_TASK_ROW).cast("bigint")
     slices = counted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), last_slice)))
     spread = slices.repartition(*columns, "slice")
     first = F.col("slice") * COPIES_PER_TASK_ROW
     until = F.least(first + COPIES_PER_TASK_ROW, F.col("copies")) - 1
     rows = spread.withColumn("copy", F.explode(F.sequence(first, until)))
-    drawn = rows.select(*columns, "copy", F.xxhash64(*columns, "copy", F.lit(seed)).alias("draw"))
+    drawn = rows.select(*columns, "copy", draw_of(columns, seed).alias("draw"))
 
     total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     share = (n + 10 * math.sqrt(n) + 50) / max(total, 1)
     if share < 1:
-        cut = F.lit(int(-(2**63) + share * 2**64)).cast("bigint")
-        below = drawn.where(F.col("draw") < cut)
+        below = drawn.where(F.col("draw") < f"{int(share * 16**8):08x}")
         if below.count() >= n:
             drawn = below
-    return drawn.orderBy("draw", *columns, "copy").limit(n).select(*columns)
+    return drawn.orderBy("draw", "copy").limit(n).select(*columns)

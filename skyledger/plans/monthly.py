@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from skyledger.operators.silver import build_silver
 from skyledger.operators.staging import staging_view, text_staging
 from skyledger.plans import base as base_marts
-from skyledger.sources.landing import read_landing_months
+from skyledger.sources.landing import landing_months, read_landing_months
 from skyledger.sources.lookups import Lookups
 from skyledger.sources.tables import (
+    TEXT_KEYS,
     as_landing,
     load_raw_text,
     read_bronze,
-    read_raw_text,
     read_silver,
+    replace_all,
     replace_months,
     replace_text_months,
     stored_months,
@@ -38,14 +39,15 @@ def months_between(start: Month, end: Month) -> list[Month]:
     return [(m // 12, m % 12 + 1) for m in range(first, last + 1)]
 
 
-def month_filter(months: Iterable[Month]) -> Column:
+def month_filter(months: Iterable[Month], keys: tuple[str, str] = ("year", "month")) -> Column:
     """Rows of any of the months, in a form that prunes directories."""
+    of_year_key, of_month_key = keys
     by_year: dict[int, list[int]] = {}
     for year, month in sorted(set(months)):
         by_year.setdefault(year, []).append(month)
     wanted = F.lit(False)
     for year, of_year in by_year.items():
-        wanted = wanted | ((F.col("year") == year) & F.col("month").isin(*of_year))
+        wanted = wanted | ((F.col(of_year_key) == year) & F.col(of_month_key).isin(*of_year))
     return wanted
 
 
@@ -61,24 +63,24 @@ def ingest(
     """Landing files of some months to bronze and, if asked, the text tables.
 
     All months go through in one job per target, and each target replaces
-    just those months.
+    just those months; a month whose files hold no row is emptied.
     """
     landing = read_landing_months(spark, landing_root, months, on_missing)
-    to_bronze(landing, bronze)
-    if raw is not None:
-        load_raw_text(landing, raw)
-        if staging is not None:
-            loaded = read_raw_text(spark, raw)
-            wanted = F.lit(False)
-            for year, month in months:
-                own = (F.col("Year") == str(year)) & (F.col("Month") == str(month))
-                wanted = wanted | own
-            load_text_staging(loaded.where(wanted), staging)
-
-
-def load_text_staging(raw: DataFrame, path: str) -> None:
+    sent = set(months) & landing_months(spark, landing_root, {year for year, _ in months})
+    if raw is None:
+        to_bronze(landing, bronze, months=sent)
+        return
+    # The CSV is parsed once; the text table, which keeps all of it, feeds the rest.
+    load_raw_text(landing, raw, months=sent)
+    loaded = spark.read.parquet(raw).where(month_filter(months, TEXT_KEYS))
+    to_bronze(as_landing(loaded), bronze, months=sent)
+    if staging is not None:
+        load_text_staging(as_landing(loaded), staging, sent)
+
+
+def load_text_staging(raw: DataFrame, path: str, months: Iterable[Month] | None = None) -> None:
     """Text-path staging rows, months replaced."""
-    replace_text_months(text_staging(raw), path)
+    replace_text_months(text_staging(raw), path, months=months)
 
 
 def load_months(
@@ -93,18 +95,23 @@ def load_months(
     """Bronze months to silver in one job; returns the months it loaded.
 
     Months silver already holds are left alone unless ``reload`` is set, so a
-    run after an interruption picks up where the last one stopped.
+    run after an interruption picks up where the last one stopped. With
+    ``reload``, months of the range that bronze no longer holds are emptied.
+    Lists not counted yet are counted; where one does not fit a broadcast, its
+    shuffle leaves rows in no month order and they are gathered before writing.
     """
     present = stored_months(spark, bronze)
-    chosen = {
-        m for m in present if (start is None or m >= start) and (end is None or m <= end)
-    }
-    if not reload:
-        chosen -= stored_months(spark, silver)
+    held = stored_months(spark, silver)
+
+    def asked_for(month: Month) -> bool:
+        return (start is None or month >= start) and (end is None or month <= end)
+
+    chosen = set(filter(asked_for, present | held if reload else present - held))
     if not chosen:
         return []
+    lists = lookups if lookups.is_counted else lookups.counted()
     rows = spark.read.parquet(bronze).where(month_filter(chosen))
-    replace_months(build_silver(as_landing(rows), lookups), silver)
+    replace_months(build_silver(as_landing(rows), lists), silver, not lists.fit, chosen)
     return sorted(chosen)
 
 
@@ -117,14 +124,19 @@ def refresh_marts(
     """Rewrite the six marts, scanning only the flights of changed months.
 
     The base aggregate is kept as a monthly table. With ``months`` only those
-    months of it are computed again; the marts then roll up the whole base.
+    months of it are computed again, and emptied if silver holds no row of
+    them; without, all of it is. The marts then roll up the whole base.
     """
     flights = read_silver(spark, silver)
     if months is not None:
+        months = set(months)
         flights = flights.where(month_filter(months))
     base = base_marts.flight_base(staging_view(flights))
     stored = base.withColumnsRenamed({"flight_year": "year", "flight_month": "month"})
-    replace_months(stored, f"{folder}/flight_base", gather=True)
+    if months is None:
+        replace_all(stored, f"{folder}/flight_base")
+    else:
+        replace_months(stored, f"{folder}/flight_base", gather=True, months=months)
     whole = spark.read.parquet(f"{folder}/flight_base").withColumnsRenamed(
         {"year": "flight_year", "month": "flight_month"}
     )

@@ -6,7 +6,8 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
-from urllib.parse import unquote, urlparse
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -19,22 +20,35 @@ from skyledger.schema import LANDING_COLUMNS, landing_schema
 # Rows of an archive member held in memory at a time.
 ARCHIVE_CHUNK_ROWS = 50_000
 
-FILE_MONTH = re.compile(r"(\d{4})_(\d{1,2})[._][^/]*$")
+# Headers read at the same time.
+HEADERS_AT_ONCE = 8
 
+# A month's files: 2023/2023_1.csv, 2023/2023_01.csv, 2023/2023_1_b.csv.
+FILE_MONTH = re.compile(r"/(\d{4})/(\d{4})_(\d{1,2})(?:[._][^/]*)?\.csv$")
 
-def month_files(root: str, year: int, month: int) -> str:
-    """Pattern of a month's files: ``2023/2023_1.csv``, ``2023/2023_1_b.csv``."""
-    return f"{root}/{year}/{year}_{month}[._]*csv"
+# Quotes inside a quoted field are doubled; a row that cannot be read fails the job.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
 def read_landing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landing CSV files by header, every column as text, reduced to the 28.
 
-    The files hold over a hundred columns, so columns are found by name; a
-    fixed schema would match by position. Only an empty field is null.
+    The files hold over a hundred columns, in an order that may differ from
+    file to file, so columns are found by name: files with one header are read
+    together, groups of files meet by name. Only an empty field is null.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return raw.select(*[F.col(f"`{name}`") for name in LANDING_COLUMNS])
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.options(**CSV_OPTIONS, enforceSchema=False)
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        headers = list(pool.map(lambda p: tuple(reader.csv(p).columns), paths))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, one in zip(headers, paths, strict=True):
+        groups.setdefault(header, []).append(one)
+    parts = [
+        reader.csv(group).select(*[F.col(f"`{name}`") for name in LANDING_COLUMNS])
+        for group in groups.values()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def is_present(spark: SparkSession, path: str) -> bool:
@@ -48,29 +62,60 @@ def is_present(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def months_of(files: DataFrame) -> set[tuple[int, int]]:
-    """Months the files in a ``path`` column are named after.
+def landing_files(
+    spark: SparkSession,
+    root: str,
+    years: Iterable[int] | None = None,
+    ignore: str | None = None,
+) -> DataFrame:
+    """(path, modified, length, year, month) of the landing files under ``root``.
 
-    Spark reduces the names to months; a few hundred pairs come back, however
-    many files there are. Files not named after a month are left out.
+    With ``years`` only their folders are listed. A CSV file that is not named
+    after its month, or lies in another year's folder, is an error, as its rows
+    would be left out without a word; ``ignore`` is a pattern of paths to leave
+    out on purpose.
     """
-    pattern = FILE_MONTH.pattern
-    months = files.where(F.regexp_like("path", F.lit(pattern))).select(
-        F.regexp_extract("path", pattern, 1).cast("int").alias("year"),
-        F.regexp_extract("path", pattern, 2).cast("int").alias("month"),
+    folders = [root] if years is None else [f"{root}/{year}" for year in sorted(set(years))]
+    folders = [folder for folder in folders if is_present(spark, folder)]
+    empty = spark.createDataFrame([], "path string, modified timestamp, length long, year int, month int")
+    if not folders:
+        return empty
+    listing = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", True)
+        .load(folders)
+    )
+    if ignore is not None:
+        listing = listing.where(~F.col("path").rlike(ignore))
+
+    def part(group: int):
+        return F.regexp_extract("path", FILE_MONTH.pattern, group)
+
+    year = F.when((part(1) != "") & (part(1) == part(2)), part(2).cast("int"))
+    month = F.when(part(3) != "", part(3).cast("int"))
+    named = listing.select(
+        "path",
+        F.col("modificationTime").alias("modified"),
+        "length",
+        year.alias("year"),
+        F.when(month.between(1, 12), month).alias("month"),
     )
-    return {(row.year, row.month) for row in months.distinct().collect()}
+    unnamed = named.where("year is null or month is null").select("path").limit(5).collect()
+    if unnamed:
+        raise ValueError("not named after a month: " + ", ".join(row.path for row in unnamed))
+    return named
 
 
-def landing_months(spark: SparkSession, root: str) -> set[tuple[int, int]]:
-    """Months that have a landing file, from one listing of the folder."""
-    try:
-        files = spark.read.format("binaryFile").load(f"{root}/*/*.csv").select("path")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return set()
-        raise
-    return months_of(files)
+def landing_months(
+    spark: SparkSession,
+    root: str,
+    years: Iterable[int] | None = None,
+    ignore: str | None = None,
+) -> set[tuple[int, int]]:
+    """Months that have a landing file, from one listing of the folders."""
+    months = landing_files(spark, root, years, ignore).select("year", "month").distinct()
+    return {(row.year, row.month) for row in months.collect()}
 
 
 def read_landing_months(
@@ -78,21 +123,28 @@ def read_landing_months(
     root: str,
     months: Iterable[tuple[int, int]],
     on_missing: str = "error",
+    ignore: str | None = None,
 ) -> DataFrame:
-    """The landing files of the given months in one scan.
+    """The landing files of the given months, by the very paths that were listed.
 
     A month without a file is an error, or left out with ``on_missing="skip"``.
     """
     if on_missing not in ("error", "skip"):
         raise ValueError(f"on_missing must be 'error' or 'skip', not {on_missing!r}")
     wanted = set(months)
-    found = wanted & landing_months(spark, root)
-    if on_missing == "error" and found != wanted:
-        raise FileNotFoundError(month_files(root, *min(wanted - found)))
-    if not found:
+    listed = landing_files(spark, root, {year for year, _ in wanted}, ignore)
+    # Names of the wanted months' files: a few each.
+    files = {}
+    for row in listed.select("path", "year", "month").collect():
+        if (row.year, row.month) in wanted:
+            files.setdefault((row.year, row.month), []).append(row.path)
+    if on_missing == "error" and set(files) != wanted:
+        year, month = min(wanted - set(files))
+        raise FileNotFoundError(f"{root}/{year}/{year}_{month}.csv")
+    if not files:
         return spark.createDataFrame([], landing_schema())
-    paths = [month_files(root, year, month) for year, month in sorted(found)]
-    return only_months(read_landing(spark, paths), found)
+    paths = sorted(path for of_month in files.values() for path in of_month)
+    return only_months(read_landing(spark, paths), files)
 
 
 def only_months(landing: DataFrame, months: Iterable[tuple[int, int]]) -> DataFrame:
@@ -108,25 +160,14 @@ def only_months(landing: DataFrame, months: Iterable[tuple[int, int]]) -> DataFr
     return landing.withColumn("Year", checked)
 
 
-def _open_stream(uri: str) -> io.BufferedIOBase:
-    """A seekable stream on a file of any file system the workers reach."""
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return open(unquote(parsed.path), "rb")
-    from pyarrow import fs
-
-    filesystem, path = fs.FileSystem.from_uri(uri)
-    return filesystem.open_input_file(path)
-
-
 def _first_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of the first CSV member of each archive, chunk by chunk."""
     for batch in batches:
-        for uri in batch["path"]:
-            with _open_stream(uri) as stream, zipfile.ZipFile(stream) as archive:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 member = next((n for n in archive.namelist() if n.endswith(".csv")), None)
                 if member is None:
-                    raise ValueError(f"no CSV member in {uri}")
+                    raise ValueError(f"no CSV member in {path}")
                 with archive.open(member) as text:
                     chunks = pd.read_csv(
                         text,
@@ -143,19 +184,16 @@ def _first_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_archives(spark: SparkSession, path: str, path_filter: str = "*.zip") -> DataFrame:
     """The CSV inside each ZIP archive, as landing rows.
 
-    Spark only lists the archives and hands one path to each task; the task
-    streams the member, so neither an archive nor a month has to fit in memory.
-    ZIP cannot be split, so an archive stays one task: write bronze from this
-    once and read that from then on.
+    Spark reads the compressed bytes, from any store it reaches, and packs
+    archives into tasks by size; an archive has to fit in one row, 2 GB. Its
+    member is streamed from there, so no unpacked month is held in memory. ZIP
+    cannot be split: write bronze from this once and read that from then on.
     """
-    paths = (
+    archives = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", path_filter)
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path")
+        .select("path", "content")
     )
-    # A fixed number of partitions is left alone by adaptive coalescing, which
-    # would otherwise put all these few-byte rows into one task.
-    tasks = max(1, min(paths.count(), 10_000))
-    return paths.repartition(tasks).mapInPandas(_first_csv, landing_schema())
+    return archives.mapInPandas(_first_csv, landing_schema())

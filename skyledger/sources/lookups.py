@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.schema import LOOKUP_FILES
-from skyledger.sources.landing import is_present
+from skyledger.sources.landing import CSV_OPTIONS, is_present
 
 log = logging.getLogger(__name__)
 
@@ -22,7 +22,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def read_lookup(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """A ``Code,Description`` file under the given names."""
     raw = spark.read.schema("Code string, Description string").csv(
-        path, header=True, enforceSchema=False
+        path, **CSV_OPTIONS, enforceSchema=False
     )
     return raw.select(F.col("Code").alias(key), F.col("Description").alias(value))
 
@@ -84,6 +84,15 @@ class Lookups:
     airports: Lookup
     cancellation: Lookup
 
+    @property
+    def is_counted(self) -> bool:
+        return all(x.rows is not None for x in (self.carriers, self.airports, self.cancellation))
+
+    @property
+    def fit(self) -> bool:
+        """Whether all are broadcast, so that silver has no shuffle."""
+        return all(x.fits for x in (self.carriers, self.airports, self.cancellation))
+
     @classmethod
     def of(
         cls, carriers: DataFrame, airports: DataFrame, cancellation: DataFrame

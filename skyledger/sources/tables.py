@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.parsing import whole_number
@@ -47,10 +47,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replace_months(df: DataFrame, path: str, gather: bool = False) -> None:
+def _clear(spark: SparkSession, path: str, folders: Iterable[str]) -> None:
+    """Remove partition folders of a table, those that exist."""
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def replace_months(
+    df: DataFrame,
+    path: str,
+    gather: bool = False,
+    months: Iterable[tuple[int, int]] | None = None,
+    keys: Sequence[str] = MONTH_KEYS,
+) -> None:
     """Write months, replacing exactly the months present in ``df``.
 
-    Running it again leaves one copy. ``df`` has to hold whole months.
+    Running it again leaves one copy. ``df`` has to hold whole months. With
+    ``months``, the months being sent, those without a row in ``df`` are
+    emptied: a month sent again without rows has none.
 
     Rows read from monthly files stay in the tasks that read them: nothing is
     shuffled, and a month holding most of the rows is written by as many tasks
@@ -59,13 +74,21 @@ def replace_months(df: DataFrame, path: str, gather: bool = False) -> None:
     hint lets adaptive execution split a month too big for one task, which a
     plain repartition by the same keys would not.
     """
-    arranged = df.hint("rebalance", *MONTH_KEYS) if gather else df
+    arranged = df.hint("rebalance", *keys) if gather else df
+    seen = Observation()
+    if months is not None:
+        arranged = arranged.observe(seen, F.collect_set(F.struct(*keys)).alias("months"))
     (
         arranged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*MONTH_KEYS)
+        .partitionBy(*keys)
         .parquet(path)
     )
+    if months is not None:
+        written = {tuple(month) for month in seen.get["months"]}
+        year, month = keys
+        gone = sorted(set(months) - written)
+        _clear(df.sparkSession, path, [f"{year}={y}/{month}={m}" for y, m in gone])
 
 
 def append_months(df: DataFrame, path: str) -> None:
@@ -80,13 +103,14 @@ def write_clustered(
     cluster: list[str] = CLUSTER_KEYS,
     append: bool = False,
 ) -> None:
-    """Partitioned table whose files are sorted by the cluster keys.
+    """Partitioned table whose files hold narrow ranges of the cluster keys.
 
-    Rows are gathered as in :func:`replace_months`. Sorted files give row
-    groups with narrow min/max, so look-ups by the cluster keys skip most of
-    them.
+    Rows are ranged over the tasks by partition and cluster keys together: a
+    partition too big for one task becomes several files whose ranges do not
+    overlap, and several small ones share a task. Look-ups by the cluster keys
+    then skip whole files, and row groups of the rest.
     """
-    arranged = df.hint("rebalance", *partition).sortWithinPartitions(*partition, *cluster)
+    arranged = df.repartitionByRange(*partition, *cluster).sortWithinPartitions(*partition, *cluster)
     writer = arranged.write.partitionBy(*partition)
     if append:
         writer.mode("append").parquet(path)
@@ -99,18 +123,41 @@ def write_mart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def to_bronze(landing: DataFrame, path: str, gather: bool = False) -> None:
+def replace_all(df: DataFrame, path: str) -> None:
+    """Write a monthly table anew; months it held before are gone."""
+    (
+        df.hint("rebalance", *MONTH_KEYS)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy(*MONTH_KEYS)
+        .parquet(path)
+    )
+
+
+def to_bronze(
+    landing: DataFrame,
+    path: str,
+    gather: bool = False,
+    months: Iterable[tuple[int, int]] | None = None,
+) -> None:
     """Landing text as parquet under ``year=/month=``, months replaced.
 
     Year and Month live in the path alone: two spellings of one name in path
-    and file would be one column to Spark.
+    and file would be one column to Spark. A row whose year or month cannot be
+    read fails the job; it belongs to no month and would be lost.
     """
+    year, month = whole_number(F.col("Year")), whole_number(F.col("Month"))
+    unreadable = F.concat_ws(
+        " ", F.lit("row of no month:"), F.coalesce("Year", F.lit("-")), F.coalesce("Month", F.lit("-"))
+    )
     keyed = landing.select(
         *[F.col(c) for c in LANDING_COLUMNS if c not in ("Year", "Month")],
-        whole_number(F.col("Year")).alias("year"),
-        whole_number(F.col("Month")).alias("month"),
+        F.when(year.isNotNull() & month.isNotNull(), year)
+        .otherwise(F.raise_error(unreadable))
+        .alias("year"),
+        month.alias("month"),
     )
-    replace_months(keyed, path, gather)
+    replace_months(keyed, path, gather, months)
 
 
 def as_landing(df: DataFrame) -> DataFrame:
@@ -169,36 +216,54 @@ def stored_months(spark: SparkSession, path: str) -> set[tuple[int, int]]:
         raise
     if not set(MONTH_KEYS) <= set(files.columns):
         return set()
-    rows = files.select(*MONTH_KEYS).dropna().distinct().collect()
+    rows = files.select(*MONTH_KEYS).distinct().collect()
+    if any(row.year is None or row.month is None for row in rows):
+        raise ValueError(f"{path} holds rows of no month")
     return {(row.year, row.month) for row in rows}
 
 
-def replace_text_months(df: DataFrame, path: str, gather: bool = False) -> None:
-    """Like :func:`replace_months`, for tables kept under Year and Month text."""
-    arranged = df.hint("rebalance", "Year", "Month") if gather else df
-    (
-        arranged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("Year", "Month")
-        .parquet(path)
+# Typed copies of Year and Month that the text tables are partitioned by.
+TEXT_KEYS = ("load_year", "load_month")
+
+
+def replace_text_months(
+    df: DataFrame,
+    path: str,
+    gather: bool = False,
+    months: Iterable[tuple[int, int]] | None = None,
+) -> None:
+    """Like :func:`replace_months`, for tables that keep Year and Month as text.
+
+    The text stays in the files as it came; the folders carry numbers.
+    """
+    keyed = df.withColumns(
+        {key: whole_number(F.col(text)) for key, text in zip(TEXT_KEYS, ("Year", "Month"), strict=True)}
     )
+    replace_months(keyed, path, gather, months, TEXT_KEYS)
 
 
-def load_raw_text(landing: DataFrame, path: str, gather: bool = False) -> None:
+def load_raw_text(
+    landing: DataFrame,
+    path: str,
+    gather: bool = False,
+    months: Iterable[tuple[int, int]] | None = None,
+) -> None:
     """Text table of all 28 columns, created when absent, months replaced."""
-    replace_text_months(landing.select(*LANDING_COLUMNS), path, gather)
+    replace_text_months(landing.select(*LANDING_COLUMNS), path, gather, months)
 
 
 def read_raw_text(
     spark: SparkSession, path: str, year: int | None = None, month: int | None = None
 ) -> DataFrame:
-    """The text table, or the month whose Year and Month text match."""
-    raw = as_landing(spark.read.parquet(path))
-    if year is not None:
-        raw = raw.where(F.col("Year") == str(year))
-    if month is not None:
-        raw = raw.where(F.col("Month") == str(month))
-    return raw
+    """The text table, or the month whose Year and Month text match.
+
+    The numbers in the folders keep other months from being read.
+    """
+    raw = spark.read.parquet(path)
+    for text, key, value in zip(("Year", "Month"), TEXT_KEYS, (year, month), strict=True):
+        if value is not None:
+            raw = raw.where((F.col(key) == value) & (F.col(text) == str(value)))
+    return as_landing(raw)
 
 
 def read_text_staging(spark: SparkSession, path: str) -> DataFrame:

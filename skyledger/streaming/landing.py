@@ -1,16 +1,23 @@
-"""New landing files as a stream, their months replaced as a whole."""
+"""New and corrected landing files, their months replaced as a whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
 from skyledger.operators.silver import build_silver
-from skyledger.sources.landing import months_of, read_landing_months
+from skyledger.plans.monthly import Month
+from skyledger.sources.landing import is_present, landing_files, read_landing_months
 from skyledger.sources.lookups import Lookups
 from skyledger.sources.tables import replace_months
 
-FILE_LISTING = "path string, modificationTime timestamp, length bigint, content binary"
+LOADED = "path string, modified timestamp, length bigint"
+
+
+def _loaded(spark: SparkSession, ledger: str) -> DataFrame:
+    """Every state of a file that was loaded."""
+    if not is_present(spark, ledger):
+        return spark.createDataFrame([], LOADED)
+    return spark.read.schema(LOADED).parquet(ledger)
 
 
 def load_new_files(
@@ -18,36 +25,30 @@ def load_new_files(
     landing_root: str,
     silver: str,
     lookups: Lookups,
-    checkpoint: str,
-    files_per_batch: int | None = None,
-) -> StreamingQuery:
-    """Load landing files that arrived since the last run, then stop.
-
-    A new or corrected file names its month. That month is read again from all
-    of its files and replaced: replacing it with the new file alone would lose
-    its other rows. Replacing leaves one copy however often it is done, so a
-    batch repeated after a failure does no harm. The checkpoint remembers the
-    files; there is no other state.
-
-    By default one batch takes all new files, so each month they name is read
-    once. ``files_per_batch`` bounds a batch where that is too much for one
-    job; a month whose files fall into several batches is then read in each.
+    ledger: str,
+    ignore: str | None = None,
+) -> list[Month]:
+    """Load the months of files that are new or changed since the last run.
+
+    A corrected month comes under the name it had before, which a file stream
+    does not read again, and a file may arrive with an old time, which a stream
+    passes over. So the files are compared with a ledger of (path, modification
+    time, length); any state of a file not in it makes its month be read again,
+    from all of its files, and replaced. Files that are gone change nothing.
+
+    The ledger is written after silver. A run that was broken off in between
+    loads the same months again, which leaves one copy.
     """
-    def replace_touched(batch: DataFrame, batch_id: int) -> None:
-        # One short row per file of the batch; no landing row is read for it.
-        touched = months_of(batch)
-        if touched:
-            landing = read_landing_months(batch.sparkSession, landing_root, sorted(touched))
-            replace_months(build_silver(landing, lookups), silver)
-
-    listing = spark.readStream.format("binaryFile").schema(FILE_LISTING)
-    if files_per_batch is not None:
-        listing = listing.option("maxFilesPerTrigger", files_per_batch)
-    return (
-        listing.load(f"{landing_root}/*/*.csv")
-        .select("path")
-        .writeStream.foreachBatch(replace_touched)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    files = landing_files(spark, landing_root, ignore=ignore)
+    changed = files.join(_loaded(spark, ledger), ["path", "modified", "length"], "left_anti")
+    # Names and states of what changed, taken now: files may change during the load.
+    states = changed.select("path", "modified", "length", "year", "month").collect()
+    months = sorted({(row.year, row.month) for row in states})
+    if not months:
+        return []
+    lists = lookups if lookups.is_counted else lookups.counted()
+    landing = read_landing_months(spark, landing_root, months, ignore=ignore)
+    replace_months(build_silver(landing, lists), silver, not lists.fit, months)
+    now = spark.createDataFrame([tuple(row)[:3] for row in states], LOADED)
+    now.write.mode("append").parquet(ledger)
+    return months

@@ -2,7 +2,10 @@
 
 import csv
 import io
+import os
 import zipfile
+from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -13,7 +16,7 @@ from skyledger.plans import monthly
 from skyledger.schema import LANDING_COLUMNS, SILVER_COLUMNS
 from skyledger.sources import landing as files
 from skyledger.sources import tables
-from skyledger.sources.lookups import Lookups, publish_lookups
+from skyledger.sources.lookups import Lookups, publish_lookups, read_lookup
 from skyledger.streaming.landing import load_new_files
 from tests import edge_rows
 
@@ -82,7 +85,6 @@ def test_archives(spark, tmp_path):
             archive.writestr("flights.csv", text_of(month_rows(2023, month, month, AirTime=None)))
             archive.writestr("other.csv", "x\n1\n")
     df = files.read_archives(spark, str(tmp_path))
-    assert df.rdd.getNumPartitions() == 2
     assert df.columns == LANDING_COLUMNS
     got = df.groupBy("Month").agg(F.count("*").alias("n"), F.count("AirTime").alias("a")).collect()
     assert {(r.Month, r.n, r.a) for r in got} == {("1", 1, 0), ("2", 2, 0)}
@@ -209,22 +211,152 @@ def test_refresh_marts(spark, tmp_path, lists):
     assert {r.flight_month: r.n for r in totals} == {1: n, 2: n}
 
 
-def test_stream_remembers_files(spark, tmp_path, lists):
-    root, silver, progress = (str(tmp_path / n) for n in ("in", "silver", "progress"))
+def test_new_and_corrected_files(spark, tmp_path, lists):
+    root, silver, ledger = (str(tmp_path / n) for n in ("in", "silver", "ledger"))
     put(tmp_path / "in" / "2023" / "2023_1.csv", text_of(month_rows(2023, 1, 2)))
     put(tmp_path / "in" / "2023" / "2023_2.csv", text_of(month_rows(2023, 2, 3)))
 
     def run():
-        query = load_new_files(spark, root, silver, lists, progress)
-        query.awaitTermination()
-        return len(query.recentProgress) and query.lastProgress["numInputRows"]
+        return load_new_files(spark, root, silver, lists, ledger)
 
-    assert run() == 2
-    assert run() == 0
+    assert run() == [(2023, 1), (2023, 2)]
+    assert run() == []
     assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 2, (2023, 2): 3}
-    put(tmp_path / "in" / "2023" / "2023_1_late.csv", text_of(month_rows(2023, 1, 4)))
-    assert run() == 1
+    # A second file of a month, with a time long past.
+    late = tmp_path / "in" / "2023" / "2023_1_late.csv"
+    put(late, text_of(month_rows(2023, 1, 4)))
+    os.utime(late, (late.stat().st_mtime - 30 * 86400,) * 2)
+    assert run() == [(2023, 1)]
     assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 6, (2023, 2): 3}
+    # A correction under the same name, then one without rows.
+    put(tmp_path / "in" / "2023" / "2023_2.csv", text_of(month_rows(2023, 2, 5)))
+    assert run() == [(2023, 2)]
+    assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 6, (2023, 2): 5}
+    put(tmp_path / "in" / "2023" / "2023_2.csv", text_of([]))
+    assert run() == [(2023, 2)]
+    assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 6}
+
+
+QUOTED = 'Say "Hi", NY \\ end'
+
+
+def test_quotes_commas_and_backslashes(spark, tmp_path):
+    text = text_of([{"OriginCityName": QUOTED, "DestCityName": '"', "ArrDelay": "7.00"}])
+    put(tmp_path / "a.csv", text)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("flights.csv", text)
+    put(tmp_path / "L.csv", 'Code,Description\nAA,"Say ""Hi"", Inc \\ x"\n')
+    for df in (files.read_landing(spark, str(tmp_path / "a.csv")), files.read_archives(spark, str(tmp_path))):
+        row = df.first()
+        assert (row.OriginCityName, row.DestCityName, row.ArrDelay) == (QUOTED, '"', "7.00")
+    name = read_lookup(spark, str(tmp_path / "L.csv"), "code", "name").first().name
+    assert name == 'Say "Hi", Inc \\ x'
+
+
+def test_files_of_different_column_order_meet_by_name(spark, tmp_path):
+    put(tmp_path / "2023" / "2023_1.csv", text_of(month_rows(2023, 1, 2)))
+    put(tmp_path / "2023" / "2023_2.csv", text_of(month_rows(2023, 2, 3), header=LANDING_COLUMNS[::-1]))
+    rows = files.read_landing_months(spark, str(tmp_path), [(2023, 1), (2023, 2)])
+    assert {(r.Month, r.n) for r in rows.groupBy("Month").agg(F.count("ArrDelay").alias("n")).collect()} == {
+        ("1", 2),
+        ("2", 3),
+    }
+
+
+def test_every_spelling_of_a_month_is_read(spark, tmp_path):
+    put(tmp_path / "2023" / "2023_1.csv", text_of(month_rows(2023, 1, 2)))
+    put(tmp_path / "2023" / "2023_01_b.csv", text_of(month_rows(2023, 1, 3)))
+    assert files.read_landing_months(spark, str(tmp_path), [(2023, 1)]).count() == 5
+
+
+@pytest.mark.parametrize("name", ["2023/january.csv", "2023/2024_1_x.csv", "2023/2023_13.csv", "stray.csv"])
+def test_unnamed_files_are_refused(spark, tmp_path, name):
+    put(tmp_path / "2023" / "2023_1.csv", text_of(month_rows(2023, 1, 2)))
+    put(tmp_path / name, text_of(month_rows(2023, 1, 4)))
+    root = str(tmp_path)
+    with pytest.raises(ValueError, match=name.split("/")[-1]):
+        files.landing_months(spark, root)
+    assert files.landing_months(spark, root, ignore=name) == {(2023, 1)}
+
+
+def test_rows_of_no_month_are_refused(spark, tmp_path):
+    landing = edge_rows.landing(spark, [1]).withColumn("Month", F.lit("June"))
+    with pytest.raises(PySparkException, match="row of no month"):
+        tables.to_bronze(landing, str(tmp_path / "bronze"))
+
+
+def test_text_table_keeps_the_text(spark, tmp_path):
+    one = edge_rows.landing(spark, [1, 1]).limit(2)
+    path = str(tmp_path / "raw")
+    tables.load_raw_text(one.unionByName(one.withColumn("Month", F.lit("01"))), path)
+    assert Counter(r.Month for r in tables.read_raw_text(spark, path).collect()) == {"1": 2, "01": 2}
+    month = tables.read_raw_text(spark, path, 2023, 1)
+    assert month.count() == 2
+    assert "PartitionFilters: [isnotnull(load_year" in month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_month_sent_without_rows_is_emptied(spark, tmp_path, lists):
+    bronze, raw, staging, silver = (str(tmp_path / n) for n in ("bronze", "raw", "staging", "silver"))
+    months = [(2023, 1), (2023, 2)]
+    for month in (1, 2):
+        put(tmp_path / "in" / "2023" / f"2023_{month}.csv", text_of(month_rows(2023, month, 2)))
+    monthly.ingest(spark, str(tmp_path / "in"), months, bronze, raw, staging)
+    monthly.load_months(spark, bronze, silver, lists)
+    monthly.refresh_marts(spark, silver, str(tmp_path / "marts"))
+    put(tmp_path / "in" / "2023" / "2023_1.csv", text_of([]))
+    monthly.ingest(spark, str(tmp_path / "in"), months, bronze, raw, staging)
+    for read, path in ((tables.read_bronze, bronze), (tables.read_raw_text, raw), (tables.read_text_staging, staging)):
+        assert {r.Month for r in read(spark, path).collect()} == {"2"}
+    monthly.load_months(spark, bronze, silver, lists, reload=True)
+    assert counts(tables.read_silver(spark, silver)) == {(2023, 2): 2}
+
+    def mart_months():
+        mart = monthly.read_marts(spark, str(tmp_path / "marts"))["delay_by_carrier"]
+        return {r.flight_month for r in mart.collect()}
+
+    monthly.refresh_marts(spark, silver, str(tmp_path / "marts"), [(2023, 1)])
+    assert mart_months() == {2}
+
+
+def test_full_refresh_forgets_months_silver_lost(spark, tmp_path, lists):
+    landing = edge_rows.landing(spark)
+    both = landing.unionByName(landing.withColumn("Month", F.lit("2")))
+    for name, rows in (("a", both), ("b", landing)):
+        tables.replace_months(build_silver(rows, lists), str(tmp_path / name))
+        monthly.refresh_marts(spark, str(tmp_path / name), str(tmp_path / "marts"))
+    mart = monthly.read_marts(spark, str(tmp_path / "marts"))["delay_by_carrier"]
+    assert {r.flight_month for r in mart.collect()} == {1}
+
+
+def test_shuffled_joins_leave_few_files(spark, tmp_path):
+    bronze, silver = str(tmp_path / "bronze"), str(tmp_path / "silver")
+    for month in range(1, 7):
+        put(tmp_path / "in" / "2023" / f"2023_{month}.csv", text_of(month_rows(2023, month, 3)))
+    monthly.ingest(spark, str(tmp_path / "in"), monthly.months_between((2023, 1), (2023, 6)), bronze)
+    lists = edge_rows.lookups(spark).counted()
+    large = replace(lists, carriers=replace(lists.carriers, rows=10**9))
+    assert lists.fit and not large.fit
+    monthly.load_months(spark, bronze, silver, large)
+    assert len(list((tmp_path / "silver").rglob("*.parquet"))) == 6
+
+
+def test_files_of_a_split_month_have_disjoint_ranges(spark, tmp_path, lists):
+    one = build_silver(edge_rows.landing(spark), lists)
+    many = one.crossJoin(spark.range(400).select("id")).withColumn(
+        "reporting_airline", F.format_string("C%03d", F.col("id"))
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_clustered(many.drop("id"), str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    ranges = sorted(
+        (min(found), max(found))
+        for f in (tmp_path / "c").rglob("*.parquet")
+        if (found := [r.reporting_airline for r in spark.read.parquet(str(f)).collect()])
+    )
+    assert len(ranges) > 1 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
 
 
 def test_work_folder_is_the_shared_one(spark):

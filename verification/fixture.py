@@ -34,7 +34,8 @@ k as (
          cast((ok % 24) * 60 + (ln * 7) % 60 as int) as dm from b),
 m as (
   select *, airt + q % 20 + ln + 11 as el, canc or divd as noarr,
-         case when canc or divd then null else dd + (ln * 5 % 17) - 8 end as ad from k),
+         case when canc or divd then null when ok % 997 = 0 then dd + 700
+              when ok % 991 = 1 then -150 else dd + (ln * 5 % 17) - 8 end as ad from k),
 t as (
   select *, (dm + dd + 1440) % 1440 as dt, (dm + dd + el + 1440) % 1440 as art,
          (dm + el - (ln * 5 % 17) + 8 + 1440) % 1440 as cat from m)
@@ -43,9 +44,11 @@ select
   cast({DOW} as int) as day_of_week, d as flight_date,
   concat('C', lpad(cast(sk % 15 as {STR}), 2, '0')) as reporting_airline,
   concat('A', lpad(cast(oi as {STR}), 2, '0')) as origin,
-  concat('City ', cast(oi as {STR})) as origin_city_name,
+  case when ok % 50 = 7 then concat('City "', cast(oi as {STR}), '", NY')
+       else concat('City ', cast(oi as {STR})) end as origin_city_name,
   concat('A', lpad(cast(di as {STR}), 2, '0')) as dest,
-  concat('City ', cast(di as {STR})) as dest_city_name,
+  case when pk % 50 = 7 then concat('City "', cast(di as {STR}), '", NY')
+       else concat('City ', cast(di as {STR})) end as dest_city_name,
   cast((dm {DIV} 60) * 100 + dm % 60 as int) as crs_dep_time,
   cast(case when not canc then (dt {DIV} 60) * 100 + dt % 60 end as int) as dep_time,
   case when not canc then dd end as dep_delay,
@@ -57,7 +60,8 @@ select
   case when canc then substr('ABCD', cast(1 + ln % 4 as int), 1) end as cancellation_code,
   divd as diverted,
   cast(case when not noarr then el end as int) as actual_elapsed_time,
-  case when not noarr then airt end as air_time, airt * 8 as distance,
+  case when not noarr then airt end as air_time,
+  cast(case when ok % 983 = 0 then 0 else airt * 8 end as int) as distance,
   cast(case when ad >= 15 then ad {DIV} 3 end as int) as carrier_delay,
   cast(case when ad >= 15 then ad {DIV} 10 end as int) as weather_delay,
   cast(case when ad >= 15 then ad {DIV} 5 end as int) as nas_delay,
@@ -83,15 +87,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def source_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed flights as derived, before they become landing text.
-
-    A file too small to be split over the cores is spread over them before the
-    wide row work; a table of many files is read as it is, without a shuffle.
-    """
+    """Typed flights as derived, before they become landing text."""
     rows = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, "l_orderkey", "l_partkey", "l_linenumber")
     return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}"), lineitem=rows)
 
 
@@ -133,15 +130,9 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     )
 
 
-_counted: dict[tuple[int, str, str], Lookups] = {}
-
-
 def counted_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
-    """The code lists with their sizes, counted once per session."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _counted:
-        _counted[key] = lookups(spark, sf_dir).counted()
-    return _counted[key]
+    """The code lists with their sizes."""
+    return lookups(spark, sf_dir).counted()
 
 
 def silver_from_text(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -168,19 +159,9 @@ def _target(uri: str):
     return filesystem, path
 
 
-_bases: dict[tuple[int, str, str], DataFrame] = {}
-
-
 def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared aggregate behind the marts, built once per session.
-
-    Marts and reports read this small table as they would in production; only
-    building it scans the flights.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if key not in _bases:
-        _bases[key] = stored(flight_base(staging(spark, sf_dir)), "flight-base")
-    return _bases[key]
+    """The shared aggregate behind the marts, built from the flights and stored."""
+    return stored(flight_base(staging(spark, sf_dir)), "flight-base")
 
 
 def write_landing_files(landing: DataFrame, root: str) -> None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from skyledger.functions.delays import PROFILE_LABELS, PROFILE_ORDER
 from skyledger.functions.figures import CANCELLATION_LABELS, MONTH_NAMES, WEEKDAY_LABELS
-from skyledger.operators.profile import NUMERIC
+from skyledger.operators.profile import FLAGS, NUMERIC
 from skyledger.operators.quality import NOT_NULL, UNIQUE
 from skyledger.schema import CAUSES, FLIGHT_COLUMNS, STAGING_COLUMNS, staging_type
 from verification.fixture import ORACLE_MARKS, flights_sql
-from verification.registry import AIRPORT, MONTH, YEAR
+from verification.registry import AIRPORT, MONTH, SAMPLE_SIZE, SAMPLES, VOLUMES, YEAR
 
 
 def rnd(value: str, places: int = 2) -> str:
@@ -84,6 +84,23 @@ def text_of(name: str, kind: str, alias: str) -> str:
 
 LANDING = "select " + ", ".join(text_of(n, k, f'"{s}"') for s, n, k in FLIGHT_COLUMNS) + " from flights"
 
+
+def sample_sql(name: str) -> str:
+    """The lowest draws: digests of the values, the number of the copy and the seed."""
+    columns = SAMPLES[name]
+    listed = ", ".join(columns)
+    parts = [f"coalesce(cast({c} as varchar), '-')" for c in columns]
+    kept = "true" if name == "sample_flights" else " and ".join(f"{c} is not null" for c in columns)
+    return over(
+        F,
+        f"""select {listed} from (
+          select *, md5({" || '|' || ".join([*parts, "cast(copy as varchar)", "'42'"])}) as draw
+          from (select {listed}, row_number() over (partition by {listed}) - 1 as copy
+                from flights where {kept}))
+        order by draw, copy limit {SAMPLE_SIZE}""",
+    )
+
+
 MARTS = {
     "delay_by_carrier": f"""select flight_year, flight_month, reporting_airline,
       count(*) as total_flights, {big("sum(cast(cancelled as bigint))")} as total_cancelled_flights,
@@ -273,52 +290,37 @@ def oracle_sql() -> dict[str, str]:
     sql |= {
         "bronze_roundtrip": over(F, LANDING),
         "scan_month": over(F, f"{LANDING} where year = {YEAR} and month = {MONTH}"),
-        "landing_csv": over(
-            F,
-            """select cast(year as varchar) as "Year", cast(month as varchar) as "Month",
-            reporting_airline as "Reporting_Airline", count(*) as flight_count,
-            count(cancellation_code) as coded from flights group by all""",
-        ),
+        "landing_csv": over(F, LANDING),
         "lookup_publish": over(
             CODES,
             """select code, name as description from carriers union all
             select * from airports union all select * from reasons""",
         ),
-        "raw_text_table": over(
+        "raw_text_table": over(F, LANDING),
+        "scan_text_month": over(F, f"{LANDING} where year = {YEAR} and month = {MONTH}"),
+        "ingest_targets": over(
             F,
-            """select cast(year as varchar) as "Year", cast(month as varchar) as "Month",
-            count(*) as flight_count from flights group by all""",
+            f"""select layer, cast(month as varchar) as month_text, count(*) as flight_count,
+            count(arr_delay) as known_delays, {big("sum(length(origin_city_name))")} as letters
+            from flights, (values ('bronze'), ('raw'), ('staging')) t(layer)
+            where year = {YEAR} group by all""",
         ),
         "scan_all_months": over(
             F,
             f"""select year, month, count(*) as flight_count, {big("sum(distance)")} as miles
             from flights group by all""",
         ),
-        "silver_rerun": over(
-            F,
-            f"""select year, month, count(*) as flight_count,
-            {big("sum(arr_delay)")} as delay_minutes from flights group by all""",
-        ),
+        "silver_rerun": over(SILVER, "select * from silver"),
         "clustered_scan": over(
-            F,
-            f"""select year, month, dest, count(*) as flight_count from flights
-            where reporting_airline = 'C03' and origin = '{AIRPORT}' group by all""",
-        ),
-        "backfill": over(
             SILVER,
-            """select year, month, count(*) as flight_count, count(airline_name) as named,
-            cast(0 as int) as left_over from silver group by all""",
+            f"select * from silver where reporting_airline = 'C03' and origin = '{AIRPORT}'",
         ),
-        "stream_landing": over(
-            SILVER,
-            """select year, month, count(*) as flight_count,
-            count(*) filter (is_delayed) as late from silver group by all""",
-        ),
-        "archive_landing": over(
-            F,
-            """select cast(year as varchar) as "Year", cast(month as varchar) as "Month",
-            count(*) as flight_count, count(arr_delay) as known_delays from flights group by all""",
+        "clustered_day": over(
+            SILVER, f"select * from silver where flight_date = date '{YEAR}-03-15'"
         ),
+        "backfill": over(SILVER, "select *, cast(0 as int) as left_over from silver"),
+        "stream_landing": over(SILVER, "select *, cast(0 as int) as left_over from silver"),
+        "archive_landing": over(F, LANDING),
         "silver": over(SILVER, "select * from silver"),
         "stg_view": over(STG, "select * from stg"),
         "staging_pandas_rules": over(
@@ -382,7 +384,14 @@ def oracle_sql() -> dict[str, str]:
             """select *, cast(row_number() over (order by total_flights desc, reporting_airline,
             airline_name) as int) as place from fbc""",
         ),
-        "mart_refresh": over(STG, MARTS["delay_by_carrier"]),
+        "mart_refresh": over(
+            STG,
+            " union all ".join(
+                f"""select '{name}' as mart, count(*) as row_count,
+                {big(f"sum({volume})")} as volume from ({MARTS[name]})"""
+                for name, volume in VOLUMES.items()
+            ),
+        ),
         "kpi": kpi_sql(""),
         "kpi_year": kpi_sql(f"where flight_year = {YEAR}"),
         "worst_airline": over(
@@ -423,7 +432,7 @@ def oracle_sql() -> dict[str, str]:
             {rnd("avg_arr_delay_mins", 1)} as avg_arr_delay_mins, total_diverted,
             coalesce(name, top_carrier) as top_carrier
             from ad left join names on top_carrier = code
-            where airport_code = '{AIRPORT}' order by city_name nulls last limit 1""",
+            where airport_code = '{AIRPORT}' order by total_traffic desc, city_name limit 1""",
         ),
         "selection_lists": over(
             F,
@@ -436,10 +445,10 @@ def oracle_sql() -> dict[str, str]:
             F,
             each(
                 [
-                    f"""select '{c}' as column_name, {rnd(f"min({c})")} as min_value,
+                    f"""select '{name}' as column_name, {rnd(f"min({c})")} as min_value,
                     {rnd(f"avg({c})")} as mean_value, {rnd(f"max({c})")} as max_value,
                     {rnd(f"stddev_samp({c})")} as std_value from flights"""
-                    for c in NUMERIC
+                    for name, c in {n: f"cast({n} as int)" for n in NUMERIC + FLAGS}.items()
                 ]
             ),
         ),
@@ -563,6 +572,7 @@ def oracle_sql() -> dict[str, str]:
                 ]
             ),
         ),
+        **{name: sample_sql(name) for name in SAMPLES},
         "outlier_counts": over(
             F,
             each(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from skyledger.operators import marts, profile, quality, reports, sampling
 from skyledger.operators.silver import build_silver
 from skyledger.operators.staging import register_staging, text_staging
 from skyledger.plans import base, monthly
+from skyledger.schema import FLIGHT_TYPES
 from skyledger.session import configure
 from skyledger.sources import landing as landing_files
 from skyledger.sources import lookups as lookup_files
@@ -26,6 +28,17 @@ QUERIES: dict[str, Query] = {}
 YEAR, MONTH = 1997, 3
 AIRPORT = "A05"
 
+# Samples: two pairs of columns without nulls, and whole flights.
+SAMPLE_SIZE = 10_000
+SAMPLES = {
+    "sample_pairs": ["dep_delay", "arr_delay"],
+    "sample_times": ["air_time", "actual_elapsed_time"],
+    "sample_flights": list(FLIGHT_TYPES),
+}
+
+# What each mart counts.
+VOLUMES = {"delay_by_carrier": "total_flights"} | {k: v[0] for k, v in marts.SHOWN_BY.items()}
+
 
 def query(function: Query) -> Query:
     """Register a function under its name, run with the session's settings."""
@@ -60,13 +73,10 @@ def bronze_roundtrip(spark, sf_dir):
 
 @query
 def landing_csv(spark, sf_dir):
-    """Landing text as CSV files, read by header, flights per month and carrier."""
+    """Landing text as CSV files, quotes doubled, read by header."""
     path = tables.work_folder(spark, "landing")
-    fixture.landing(spark, sf_dir).write.option("header", True).csv(path)
-    rows = landing_files.read_landing(spark, path)
-    return rows.groupBy("Year", "Month", "Reporting_Airline").agg(
-        F.count("*").alias("flight_count"), F.count("CancellationCode").alias("coded")
-    )
+    fixture.landing(spark, sf_dir).write.options(header=True, escape='"').csv(path)
+    return landing_files.read_landing(spark, path)
 
 
 @query
@@ -83,15 +93,48 @@ def lookup_publish(spark, sf_dir):
     )
 
 
-@query
-def raw_text_table(spark, sf_dir):
-    """Text table loaded twice: one copy, counted by text month."""
+def _text_table(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "raw")
     for _ in range(2):
         tables.load_raw_text(fixture.landing(spark, sf_dir), path, gather=True)
-    return tables.read_raw_text(spark, path).groupBy("Year", "Month").agg(
-        F.count("*").alias("flight_count")
-    )
+    return path
+
+
+@query
+def raw_text_table(spark, sf_dir):
+    """Text table loaded twice: one copy of every row."""
+    return tables.read_raw_text(spark, _text_table(spark, sf_dir))
+
+
+@query
+def scan_text_month(spark, sf_dir):
+    """One month of the text table, by its Year and Month text."""
+    return tables.read_raw_text(spark, _text_table(spark, sf_dir), YEAR, MONTH)
+
+
+@query
+def ingest_targets(spark, sf_dir):
+    """Landing files of one year to all three targets, by month."""
+    root = tables.work_folder(spark, "ingest")
+    fixture.write_landing_files(fixture.landing(spark, sf_dir), root)
+    names = ("bronze", "raw", "text-staging")
+    bronze, raw, staging = (tables.work_folder(spark, name) for name in names)
+    months = monthly.months_between((YEAR, 1), (YEAR, 12))
+    monthly.ingest(spark, root, months, bronze, raw, staging)
+    layers = {
+        "bronze": tables.read_bronze(spark, bronze),
+        "raw": tables.read_raw_text(spark, raw),
+        "staging": tables.read_text_staging(spark, staging),
+    }
+    counted = [
+        rows.groupBy(F.lit(name).alias("layer"), F.col("Month").alias("month_text")).agg(
+            F.count("*").alias("flight_count"),
+            F.count("ArrDelay").alias("known_delays"),
+            F.sum(F.length("OriginCityName")).alias("letters"),
+        )
+        for name, rows in layers.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query
@@ -116,9 +159,7 @@ def silver_rerun(spark, sf_dir):
     path = _monthly_silver(spark, sf_dir)
     again = fixture.silver(spark, sf_dir).where(F.col("year") == YEAR)
     tables.replace_months(again, path, gather=True)
-    return tables.read_silver(spark, path).groupBy("year", "month").agg(
-        F.count("*").alias("flight_count"), F.sum("arr_delay").alias("delay_minutes")
-    )
+    return tables.read_silver(spark, path)
 
 
 @query
@@ -126,42 +167,41 @@ def clustered_scan(spark, sf_dir):
     """Point look-up by the cluster keys of the clustered table."""
     path = tables.work_folder(spark, "clustered")
     tables.write_clustered(fixture.silver(spark, sf_dir), path)
-    found = tables.read_silver(spark, path).where(
+    return tables.read_silver(spark, path).where(
         (F.col("reporting_airline") == "C03") & (F.col("origin") == AIRPORT)
     )
-    return found.groupBy("year", "month", "dest").agg(F.count("*").alias("flight_count"))
+
+
+@query
+def clustered_day(spark, sf_dir):
+    """One day of a table partitioned by flight date."""
+    path = tables.work_folder(spark, "clustered-days")
+    year = fixture.silver(spark, sf_dir).where(F.col("year") == YEAR)
+    tables.write_clustered(year, path, ["flight_date"])
+    day = tables.read_silver(spark, path).where(F.col("flight_date") == f"{YEAR}-03-15")
+    return day.withColumn("flight_date", F.col("flight_date").cast("date"))
 
 
 @query
 def backfill(spark, sf_dir):
-    """Bronze months to silver in one job; a second run finds nothing to do."""
+    """Bronze months to silver in two jobs; a third run finds nothing to do."""
     bronze, path = _monthly_bronze(spark, sf_dir), tables.work_folder(spark, "silver")
-    lists = fixture.counted_lookups(spark, sf_dir)
+    lists = fixture.lookups(spark, sf_dir)
     monthly.load_months(spark, bronze, path, lists, end=(YEAR, 12))
     monthly.load_months(spark, bronze, path, lists)
     left_over = monthly.load_months(spark, bronze, path, lists)
-    return tables.read_silver(spark, path).groupBy("year", "month").agg(
-        F.count("*").alias("flight_count"),
-        F.count("airline_name").alias("named"),
-        F.lit(len(left_over)).alias("left_over"),
-    )
+    return tables.read_silver(spark, path).withColumn("left_over", F.lit(len(left_over)))
 
 
 @query
 def stream_landing(spark, sf_dir):
-    """Landing files of each month picked up as a stream."""
-    root, path = tables.work_folder(spark, "stream"), tables.work_folder(spark, "silver")
+    """Landing files loaded as they are found; a second run finds none."""
+    root, path = tables.work_folder(spark, "arriving"), tables.work_folder(spark, "silver")
     fixture.write_landing_files(fixture.landing(spark, sf_dir), root)
-    load_new_files(
-        spark,
-        root,
-        path,
-        fixture.counted_lookups(spark, sf_dir),
-        tables.work_folder(spark, "progress"),
-    ).awaitTermination()
-    return tables.read_silver(spark, path).groupBy("year", "month").agg(
-        F.count("*").alias("flight_count"), F.count_if("is_delayed").alias("late")
-    )
+    ledger = tables.work_folder(spark, "loaded-files")
+    for _ in range(2):
+        found = load_new_files(spark, root, path, fixture.lookups(spark, sf_dir), ledger)
+    return tables.read_silver(spark, path).withColumn("left_over", F.lit(len(found)))
 
 
 @query
@@ -169,10 +209,7 @@ def archive_landing(spark, sf_dir):
     """ZIP archives of landing CSV, one per task that wrote them, read back."""
     folder = tables.work_folder(spark, "archives")
     fixture.write_archives(fixture.landing(spark, sf_dir), folder)
-    rows = landing_files.read_archives(spark, folder)
-    return rows.groupBy("Year", "Month").agg(
-        F.count("*").alias("flight_count"), F.count("ArrDelay").alias("known_delays")
-    )
+    return landing_files.read_archives(spark, folder)
 
 
 # --- silver and staging -----------------------------------------------------
@@ -327,12 +364,21 @@ def mart_ranked(spark, sf_dir):
 
 @query
 def mart_refresh(spark, sf_dir):
-    """Marts stored from stored silver, one year refreshed, carriers read back."""
+    """Marts stored from stored silver, one year refreshed; rows and volume of each."""
     silver_path, folder = _monthly_silver(spark, sf_dir), tables.work_folder(spark, "marts")
     monthly.refresh_marts(spark, silver_path, folder)
     months = monthly.months_between((YEAR, 1), (YEAR, 12))
     monthly.refresh_marts(spark, silver_path, folder, months)
-    return monthly.read_marts(spark, folder)["delay_by_carrier"]
+    stored = monthly.read_marts(spark, folder)
+    sums = [
+        stored[name].agg(
+            F.lit(name).alias("mart"),
+            F.count("*").alias("row_count"),
+            F.sum(volume).alias("volume"),
+        )
+        for name, volume in VOLUMES.items()
+    ]
+    return reduce(DataFrame.unionByName, sums)
 
 
 # --- reports ----------------------------------------------------------------
@@ -431,8 +477,10 @@ def _register_profile() -> None:
         "delay_corr": profile.delay_corr,
         "outlier_counts": profile.outlier_counts,
         "taxi_time": profile.taxi_time,
-        "sample_pairs": lambda f: sampling.sample_rows(
-            f, ["dep_delay", "arr_delay"], 10_000
+        "sample_pairs": lambda f: sampling.sample_rows(f, SAMPLES["sample_pairs"], SAMPLE_SIZE),
+        "sample_times": lambda f: sampling.sample_rows(f, SAMPLES["sample_times"], SAMPLE_SIZE),
+        "sample_flights": lambda f: sampling.sample_rows(
+            f, SAMPLES["sample_flights"], SAMPLE_SIZE, keep_nulls=True
         ),
     }
     for name, build in simple.items():
