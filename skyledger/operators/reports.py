@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skyledger.functions.figures import MONTH_NAMES, label, percent, round_half_up
 from skyledger.operators.marts import shown_order
+from skyledger.sources.tables import stored
 
+# The tiers that count as delayed.
 DELAYED = ["total_minor_delayed", "total_major_delayed", "total_severe_delayed"]
 
 
@@ -124,6 +126,21 @@ def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked_all(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """The same for tables of any size: a distributed sort, and places by partition.
+
+    The sorted rows are stored, so that counting a partition and numbering its
+    rows see the same ones. Only the counts, one row a partition, meet in a task.
+    """
+    numbered = df.orderBy(*order).withColumn("sorted_id", F.monotonically_increasing_id())
+    rows = stored(numbered, "ranked").withColumn("part", F.shiftright("sorted_id", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("part").count()
+    offsets = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.col("sorted_id") - F.shiftleft("part", 33) + F.col("offset") + 1
+    return rows.join(offsets, "part").select(*df.columns, place.cast("int").alias(name))
+
+
 def top_routes(route_performance: DataFrame, origin: str, n: int = 20) -> DataFrame:
     """Busiest routes out of an airport."""
     order = shown_order("route_performance")

@@ -47,23 +47,24 @@ CAUSES = [
     "late_aircraft_delay",
 ]
 
-# Columns of the text path that become numbers or flags.
-NUMBER_COLUMNS = [
-    "DepDelay",
-    "TaxiOut",
-    "TaxiIn",
-    "ArrDelay",
-    "ActualElapsedTime",
-    "AirTime",
-    "Distance",
-    "CarrierDelay",
-    "WeatherDelay",
-    "NASDelay",
-    "SecurityDelay",
-    "LateAircraftDelay",
-]
-FLAG_COLUMNS = ["Cancelled", "Diverted"]
-DATE_COLUMNS = ["FlightDate"]
+# Columns that the text path turns into another type; the rest stays text.
+STAGING_TYPES = {
+    "FlightDate": "DATE",
+    "Cancelled": "BOOLEAN",
+    "Diverted": "BOOLEAN",
+    "DepDelay": "DOUBLE",
+    "TaxiOut": "DOUBLE",
+    "TaxiIn": "DOUBLE",
+    "ArrDelay": "DOUBLE",
+    "ActualElapsedTime": "DOUBLE",
+    "AirTime": "DOUBLE",
+    "Distance": "DOUBLE",
+    "CarrierDelay": "DOUBLE",
+    "WeatherDelay": "DOUBLE",
+    "NASDelay": "DOUBLE",
+    "SecurityDelay": "DOUBLE",
+    "LateAircraftDelay": "DOUBLE",
+}
 
 # Columns the silver step adds to the 28 of the landing files.
 ADDED_TYPES = {
@@ -138,14 +139,8 @@ def silver_schema() -> T.StructType:
 
 
 def staging_type(column: str) -> str:
-    """Type of a column on the text path: date, flag, number or text."""
-    if column in DATE_COLUMNS:
-        return "DATE"
-    if column in FLAG_COLUMNS:
-        return "BOOLEAN"
-    if column in NUMBER_COLUMNS:
-        return "DOUBLE"
-    return "STRING"
+    """Type of a column on the text path."""
+    return STAGING_TYPES.get(column, "STRING")
 
 
 def staging_schema(columns: list[str]) -> T.StructType:

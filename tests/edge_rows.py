@@ -1,6 +1,6 @@
 """Hand-written landing rows: every boundary and odd value once."""
 
-from skyledger.schema import LANDING_COLUMNS, landing_schema
+from skyledger.schema import CAUSES, LANDING_COLUMNS, SILVER_NAMES, landing_schema
 from skyledger.sources.lookups import Lookups
 
 USUAL = {
@@ -33,8 +33,7 @@ USUAL = {
     "SecurityDelay": "0.00",
     "LateAircraftDelay": "0.00",
 }
-CAUSES = ["CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay"]
-NO_CAUSES = dict.fromkeys(CAUSES)
+NO_CAUSES = dict.fromkeys(source for source, name in SILVER_NAMES.items() if name in CAUSES)
 NOT_FLOWN = dict.fromkeys(
     ["DepTime", "DepDelay", "TaxiOut", "TaxiIn", "ArrTime", "ArrDelay", "ActualElapsedTime", "AirTime"]
 )
@@ -52,7 +51,7 @@ EDGES = {
     9: ({"Diverted": "1.00", "ArrDelay": None, "DepDelay": "10.00"}, False, "Severe"),
     10: ({**NO_CAUSES, "ArrDelay": "5.00"}, False, "Minor"),
     11: (
-        {**dict(zip(CAUSES, ["10.00", "0.00", "5.00", "0.00", "5.00"])), "ArrDelay": "20.00"},
+        {**dict(zip(NO_CAUSES, ["10.00", "0.00", "5.00", "0.00", "5.00"])), "ArrDelay": "20.00"},
         True,
         "Major",
     ),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyledger.functions.delays import PROFILE_LABELS, PROFILE_ORDER
 from skyledger.functions.figures import CANCELLATION_LABELS, MONTH_NAMES, WEEKDAY_LABELS
+from skyledger.operators.marts import SHOWN_BY
 from skyledger.operators.profile import FLAGS, NUMERIC
 from skyledger.operators.quality import NOT_NULL, UNIQUE
 from skyledger.schema import CAUSES, FLIGHT_COLUMNS, STAGING_COLUMNS, staging_type
@@ -85,6 +86,16 @@ def text_of(name: str, kind: str, alias: str) -> str:
 LANDING = "select " + ", ".join(text_of(n, k, f'"{s}"') for s, n, k in FLIGHT_COLUMNS) + " from flights"
 
 
+def ranked_sql(name: str) -> str:
+    """A mart with the place of each row in the order it is shown."""
+    volume, *ties = SHOWN_BY[name]
+    return over(
+        f"{STG}, mart as ({MARTS[name]})",
+        f"""select *, cast(row_number() over (order by {volume} desc,
+        {", ".join(f"{c} asc nulls first" for c in ties)}) as int) as place from mart""",
+    )
+
+
 def sample_sql(name: str) -> str:
     """The lowest draws: digests of the values, the number of the copy and the seed."""
     columns = SAMPLES[name]
@@ -384,6 +395,8 @@ def oracle_sql() -> dict[str, str]:
             """select *, cast(row_number() over (order by total_flights desc, reporting_airline,
             airline_name) as int) as place from fbc""",
         ),
+        "root_causes_ranked": ranked_sql("root_causes"),
+        "airport_detail_ranked": ranked_sql("airport_detail"),
         "mart_refresh": over(
             STG,
             " union all ".join(
@@ -601,8 +614,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dq_row_counts": over(
             F,
-            """select year, month, count(*) as bronze_rows, count(*) as silver_rows, true as agree
-            from flights group by all""",
+            """select year, month, count(*) as raw_rows, count(*) as bronze_rows,
+            count(*) as silver_rows, true as agree from flights group by all""",
         ),
     }
     return sql

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from skyledger.functions import delays, figures, parsing
 from skyledger.operators import marts, profile, quality, reports, sampling
-from skyledger.operators.silver import build_silver
 from skyledger.operators.staging import register_staging, text_staging
 from skyledger.plans import base, monthly
 from skyledger.schema import FLIGHT_TYPES
@@ -362,6 +361,20 @@ def mart_ranked(spark, sf_dir):
     return reports.ranked(mart, marts.shown_order("flights_by_carrier"))
 
 
+@query
+def root_causes_ranked(spark, sf_dir):
+    """The root-cause mart in the order it is shown, with the place of each row."""
+    mart = _mart("root_causes", spark, sf_dir)
+    return reports.ranked_all(mart, marts.shown_order("root_causes"))
+
+
+@query
+def airport_detail_ranked(spark, sf_dir):
+    """The airport mart in the order it is shown, with the place of each row."""
+    mart = _mart("airport_detail", spark, sf_dir)
+    return reports.ranked_all(mart, marts.shown_order("airport_detail"))
+
+
 @query
 def mart_refresh(spark, sf_dir):
     """Marts stored from stored silver, one year refreshed; rows and volume of each."""
@@ -521,9 +534,15 @@ def dq_accepted(spark, sf_dir):
 
 @query
 def dq_row_counts(spark, sf_dir):
-    """Rows per month in bronze and in silver."""
-    bronze = spark.read.parquet(_monthly_bronze(spark, sf_dir))
-    loaded = build_silver(
-        tables.as_landing(bronze), fixture.counted_lookups(spark, sf_dir)
+    """Rows per month of the stored text table, bronze and silver."""
+    bronze, silver_path = _monthly_bronze(spark, sf_dir), tables.work_folder(spark, "silver")
+    monthly.load_months(spark, bronze, silver_path, fixture.lookups(spark, sf_dir))
+    text = tables.read_raw_text(spark, _text_table(spark, sf_dir)).select(
+        F.col("Year").cast("int").alias("year"), F.col("Month").cast("int").alias("month")
     )
-    return quality.layer_row_counts({"bronze": bronze, "silver": loaded})
+    layers = {
+        "raw": text,
+        "bronze": spark.read.parquet(bronze),
+        "silver": tables.read_silver(spark, silver_path),
+    }
+    return quality.layer_row_counts(layers)
