@@ -57,7 +57,7 @@ ALIKE, ALIKE_LEVELS = 0.6, 2
 #: many standard deviations.
 DEVIATIONS = 3.5
 #: Members in the middle of a node that every other is tied to, if likely similar.
-MIDDLES = 4
+MIDDLES = 2
 #: Words whose hashes a task remembers.
 REMEMBERED = 400_000
 
@@ -249,9 +249,9 @@ def _spanning(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> se
     """Few likely pairs that connect what is likely similar.
 
     Members are taken in order of how much they agree with others. Each is tied
-    to the one, and to the earlier one, with which it agrees most, and to the
-    first few it is likely similar to: variants of a text differ most from each
-    other and least from those in their middle.
+    to the one with which it agrees most, and to the first two it is likely
+    similar to: variants of a text differ most from each other and least from
+    those in their middle.
     """
     n = len(sizes)
     if n == 2:
@@ -265,7 +265,7 @@ def _spanning(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> se
         agreement[js, i] = agreed
     order = np.lexsort((np.arange(n), -agreement.sum(1, dtype=np.int64)))
     ranked = agreement[np.ix_(order, order)]
-    chosen = [ranked.argmax(1), np.tril(ranked).argmax(1)]
+    chosen = [ranked.argmax(1)]
     likely = ranked > 0
     for _ in range(MIDDLES):
         chosen.append(likely.argmax(1))
