@@ -160,12 +160,19 @@ def trained(pages: list[str]) -> Labeller:
 
 
 def fit(pages: DataFrame) -> Labeller:
-    """Trains on the sample, which is the same in every run."""
+    """Trains on the sample, which is the same in every run.
+
+    The least hashes are found first, so that only the sampled pages are sent.
+    """
     html = F.col("html").cast("string")
     ranked = pages.where(F.length(html) > 0).select(
         F.xxhash64("page_id", "url").alias("rank"), F.substring(html, 1, SAMPLE_CHARACTERS).alias("html")
     )
-    return trained([r.html for r in ranked.orderBy("rank", "html").limit(SAMPLE).collect()])
+    ranks = [r.rank for r in ranked.select("rank").orderBy("rank").limit(SAMPLE).collect()]
+    if not ranks:
+        return Labeller()
+    sampled = ranked.where(F.col("rank") <= max(ranks)).groupBy("rank").agg(F.min("html").alias("html"))
+    return trained([r.html for r in sampled.orderBy("rank").collect()])
 
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> Iterator[str]:
