@@ -9,10 +9,17 @@ another hash. Independent trees make up for pairs that a tree separates: with 14
 trees a pair of similarity 0.8 is never together after one branching with
 probability 1e-10, after two with 6e-7.
 
-A large node whose documents mostly make the same choice again holds variants of
-one text, which branching does not split. It is cut into blocks, each compared
-together with the same hubs from the node, so work stays linear in its size and
-links cross blocks through hubs.
+A large node branches by two hashes not yet used on its path, so a pair has two
+chances to stay together on every level: at similarity 0.8 it is compared in one
+tree with probability 0.75 at any depth, and missed by all trees with 4e-9.
+
+A large node whose documents mostly make the same choice again is not split by
+branching; nor is what is still large on the last level. Such a node is compared
+whole. At first it is cut into blocks, each compared together with hubs from the
+node, which links most variants of one text. Then all members that these links
+leave outside the node's largest component meet all others, in pairs of blocks.
+That takes few pairs for variants of one text; for many texts that share a passage
+but are not similar it grows with the square of the node.
 
 Copies are collapsed first: one class per sequence of words. In a node every
 class is compared with every other by signature, but only a spanning selection of
@@ -32,11 +39,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import stored
@@ -50,9 +58,10 @@ EXACT_TREES = 6
 NODE, HUBS = 1024, 512
 #: Levels below the root at which large nodes branch again.
 LEVELS = 8
-#: Share of a node that makes the same choice, from which it holds variants of one
-#: text; such a node branches on for so many levels besides being cut in blocks.
-ALIKE, ALIKE_LEVELS = 0.6, 2
+#: Hashes by which a large node branches.
+WAYS = 2
+#: Share of a node that makes the same choice, from which it is compared whole.
+ALIKE = 0.6
 #: A pair is likely if its signatures agree in at least the threshold less this
 #: many standard deviations.
 DEVIATIONS = 3.5
@@ -177,59 +186,91 @@ def classes_of(signed: DataFrame) -> DataFrame:
     return least.withColumn("uid", F.monotonically_increasing_id())
 
 
-def _branch(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, uid) with child: the node and the next chosen token."""
-    which = F.pmod(F.xxhash64("node", F.lit("coordinate")), F.lit(VALUES)).cast("int")
-    chosen = F.substr("signature", which * 2 + 1, F.lit(2))
+def _coordinates(level: int) -> list[list[int]]:
+    """Per way and tree, the hash by which this level branches; none comes twice in a tree."""
+    rng = np.random.default_rng(21)
+    orders = [rng.permutation(np.delete(np.arange(VALUES), t)) for t in range(TREES)]
+    return [[int(order[level * WAYS + way]) for order in orders] for way in range(WAYS)]
+
+
+def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
+    """(tree, node, uid) with way and child: the node and the next chosen token."""
+
+    def child(way: int, coordinates: list[int]) -> Column:
+        which = F.get(F.array(*map(F.lit, coordinates)), F.col("tree"))
+        chosen = F.substr("signature", which * 2 + 1, F.lit(2))
+        return F.struct(F.lit(way).alias("way"), F.xxhash64("node", which, chosen).alias("child"))
+
+    children = F.array(*[child(way, c) for way, c in enumerate(_coordinates(level))])
     tokens = rows.join(classes.select("uid", "signature"), "uid")
-    return tokens.select("tree", "node", "uid", "levels_alike", F.xxhash64("node", chosen).alias("child"))
+    return tokens.select("tree", "node", "uid", F.inline(children))
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of large nodes as rows of blocks, the hubs of a node in each of its blocks."""
+def _blocks(large: DataFrame) -> DataFrame:
+    """(tree, node, uid, n) of large nodes as rows of blocks, the hubs of a node in each of its blocks."""
     count = F.ceil(F.col("n") / (NODE - HUBS)).cast("int")
-    sized = rows.join(sizes, "node")
-    place = F.abs(F.xxhash64("uid", F.lit("place")) % F.lit(1 << 40))
+    place = F.abs(F.xxhash64("uid", "node", F.lit("place")) % F.lit(1 << 40))
     # Hubs are drawn by hash: so many of the node as expected, whatever its size.
     hub = place < (F.lit(HUBS) * F.lit(1 << 40) / F.col("n"))
     own = F.array(F.pmod(F.xxhash64("uid", "node"), count.cast("long")).cast("int"))
     blocks = F.when(hub, F.sequence(F.lit(0), count - 1)).otherwise(own)
-    spread = sized.select("tree", "node", "uid", F.explode(blocks).alias("block"))
+    spread = large.select("tree", "node", "uid", F.explode(blocks).alias("block"))
     return spread.select("tree", F.xxhash64("node", F.lit("block"), "block").alias("node"), "uid")
 
 
-def nodes_of(classes: DataFrame) -> DataFrame:
-    """(tree, node, uid) of all nodes to compare."""
+def _block_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, uid, label) of large nodes in pairs of blocks.
+
+    Every two members of a node meet in a pair, but two of its most frequent label.
+    """
+    labelled = large.join(labels, "uid", "left").select("node", "uid", F.coalesce("label", "uid").alias("label"))
+    labelled = stored(labelled, "dedup-labelled")
+    counts = labelled.groupBy("node", "label").count()
+    tops = counts.groupBy("node").agg(F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("n"))
+    half = NODE // 2
+    mixed = tops.where("top.count < n").select(
+        "node",
+        F.col("top.label").alias("main"),
+        F.ceil((F.col("n") - F.col("top.count")) / half).alias("others"),
+        F.ceil(F.col("top.count") / half).alias("mains"),
+    )
+    sized = labelled.join(stored(mixed, "dedup-mixed"), "node")
+    # Blocks of other labels are numbered first; those of the main one meet only these.
+    is_main = F.col("label") == F.col("main")
+    place = F.xxhash64("uid", "node", F.lit("half"))
+    own = F.when(is_main, F.col("others") + F.pmod(place, "mains")).otherwise(F.pmod(place, "others"))
+    last = F.col("others") - 1 + F.when(is_main, F.lit(0)).otherwise(F.col("mains"))
+    met = sized.select("node", "uid", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("met"))
+    pair = F.xxhash64("node", F.lit("pair"), F.least("own", "met"), F.greatest("own", "met"))
+    return met.where("own <> met").select(pair.alias("node"), "uid", "label")
+
+
+def nodes_of(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, node, uid) of all small nodes, and with n of the large ones to compare whole."""
     member = ("tree", "node", "uid")
-    rows = classes.select(F.posexplode("roots").alias("tree", "node"), "uid", F.lit(0).alias("levels_alike"))
-    found = []
+    rows = classes.select(F.posexplode("roots").alias("tree", "node"), "uid")
+    found, whole = [], []
     for level in range(LEVELS + 1):
         rows = stored(rows, "dedup-level")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         sizes = stored(sizes, "dedup-sizes")
         found.append(rows.join(sizes.where(F.col("n") <= NODE), "node").select(*member))
         large = sizes.where(F.col("n") > NODE)
-        if large.isEmpty():
-            break
-        kept = rows.join(large.select("node"), "node")
+        kept = rows.join(large, "node").select(*member, "n")
         if level == LEVELS:
-            found.append(_blocks(kept.select(*member), large))
+            whole.append(kept)
+        if level == LEVELS or large.isEmpty():
             break
-        branched = stored(_branch(kept, classes), "dedup-branch")
-        children = branched.groupBy("node", "child").count().groupBy("node").agg(
-            F.max("count").alias("most")
-        )
-        alike = large.join(children, "node").where(F.col("most") >= ALIKE * F.col("n"))
-        alike = stored(alike.select("node", "n"), "dedup-alike")
-        found.append(_blocks(branched.join(alike.select("node"), "node").select(*member), alike))
-        marked = branched.join(alike.select("node", F.lit(1).alias("is_alike")), "node", "left")
-        levels = F.col("levels_alike") + F.coalesce("is_alike", F.lit(0))
-        rows = marked.select("tree", F.col("child").alias("node"), "uid", levels.alias("levels_alike"))
-        rows = rows.where(F.col("levels_alike") < ALIKE_LEVELS)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every
+        branched = stored(_branch(kept, classes, level), "dedup-branch")
+        ways = branched.groupBy("node", "way", "child").count().groupBy("node", "way").agg(F.max("count").alias("most"))
+        least = ways.groupBy("node").agg(F.min("most").alias("most"))
+        alike = large.join(least, "node").where(F.col("most") >= ALIKE * F.col("n"))
+        alike = stored(alike.select("node"), "dedup-alike")
+        whole.append(kept.join(alike, "node").select(*member, "n"))
+        rows = branched.join(alike, "node", "left_anti").select("tree", F.col("child").alias("node"), "uid")
+    none = classes.select(F.lit(0).alias("tree"), *[F.lit(0).cast("long").alias(c) for c in ("node", "uid", "n")])
+    whole.append(none.where("false"))
+    return reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, whole)
 
 
 def _agreeing(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> Iterator[tuple]:
@@ -443,18 +484,23 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame:
     """(a, b): every class with a link, but the least of its component, with that least."""
     described = classes.select("uid", "n_shingles", "signature")
-    nodes = stored(nodes_of(classes), "dedup-nodes")
-    members = nodes.join(described, "uid")
+    small, large = (stored(rows, "dedup-nodes") for rows in nodes_of(classes))
+    members = small.unionByName(_blocks(large)).join(described, "uid")
     first = stored(spanning_pairs(members, like), "dedup-pairs")
-    # Every class with a likely partner is an end of one of these pairs.
+    # In small nodes every class with a likely partner is an end of one of these pairs.
     ends = first.select(F.col("a").alias("uid")).union(first.select("b")).distinct()
-    wanted = classes.join(ends, "uid").select("uid", "rep", "key")
-    sets = stored(sets_of(docs, wanted, like.width), "dedup-sets")
+    wanted = classes.select("uid", "rep", "key")
+    sets = stored(sets_of(docs, wanted.join(ends, "uid"), like.width), "dedup-sets")
     links = stored(confirmed(first, sets, like.percent), "dedup-links")
     labels = components(links).select(F.col("a").alias("uid"), F.col("b").alias("label"))
-    again = members.where(F.col("tree") < EXACT_TREES).join(ends, "uid").join(labels, "uid", "left")
-    again = again.withColumn("label", F.coalesce("label", "uid"))
-    concerned = stored(crossing_members(again, like), "dedup-crossing")
+    again = small.where(F.col("tree") < EXACT_TREES).join(ends, "uid").join(labels, "uid", "left")
+    again = again.select("node", "uid", F.coalesce("label", "uid").alias("label"))
+    again = again.unionByName(_block_pairs(large, labels))
+    concerned = stored(crossing_members(again.join(described, "uid"), like), "dedup-crossing")
+    late = concerned.select("uid").distinct().join(ends, "uid", "left_anti")
+    late = stored(wanted.join(late, "uid"), "dedup-late")
+    if not late.isEmpty():
+        sets = sets.unionByName(stored(sets_of(docs, late, like.width), "dedup-sets"))
     more = joining_links(concerned.join(sets, "uid"), like.percent)
     return components(links.unionByName(more))
 

@@ -114,6 +114,20 @@ def test_large_nodes_branch_and_are_cut_in_blocks(spark, monkeypatch):
     assert sum((found & expected).values()) >= 0.99 * len(given)
 
 
+def test_no_link_is_lost_among_unlike_texts_with_one_passage(spark, monkeypatch):
+    """Most choices are equal, but only the pairs are similar; no hub ties them."""
+    monkeypatch.setattr(neardup, "NODE", 24)
+    monkeypatch.setattr(neardup, "HUBS", 12)
+    monkeypatch.setattr(neardup, "LEVELS", 3)
+    passage = sentence(78, 220)
+    texts = [f"{sentence(400 + k, 15)} {passage} {sentence(1000 + k // 2, 15)}" for k in range(240)]
+    given = list(enumerate(texts))
+    like = neardup.Similarity(3, 85)
+    expected = plain_components(given, 3, 85)
+    assert len({c for _, _, c in expected}) == 120
+    assert found_components(neardup.near_duplicates(documents(spark, given), like)) == expected
+
+
 def test_near_duplicate_edges(edges, empty):
     like = neardup.Similarity(3, 85)
     assert found_components(neardup.near_duplicates(edges, like)) == plain_components(EDGES, 3, 85)
