@@ -25,9 +25,12 @@ Copies are collapsed first: one class per sequence of words. In a node every
 class is compared with every other by signature, but only a spanning selection of
 the likely pairs is handed on and confirmed on full sets. Where these links leave
 likely pairs of a node in different components, the classes concerned meet again
-with their full sets, every pair under different labels is compared exactly inside
-the node, and links that join components are handed on. So no link is lost, and a
-group of variants hands on a number of pairs in proportion to its size.
+with their full sets, in all trees: those that such pairs tie together are a group,
+the same group of several nodes is taken once, every pair of a group under
+different labels is compared exactly, and links that join components are handed on.
+So no likely pair of a node is left out, and a group of variants hands on a number
+of pairs in proportion to its size. What can be missed are pairs that no tree
+brings together, and those whose signatures agree too little to be likely.
 
 Edge cases: texts without words have an empty set and are linked with nothing,
 not even with each other. A text shorter than a shingle is one shingle. Documents
@@ -52,8 +55,6 @@ from skyledger.llm.components import components
 
 #: Independent trees, and MinHash values of a signature.
 TREES, VALUES = 14, 96
-#: Trees in which classes meet again with their full sets.
-EXACT_TREES = 6
 #: Classes of a node that are compared with each other, and hubs of a larger one.
 NODE, HUBS = 1024, 512
 #: Levels below the root at which large nodes branch again.
@@ -64,7 +65,7 @@ WAYS = 2
 ALIKE = 0.6
 #: A pair is likely if its signatures agree in at least the threshold less this
 #: many standard deviations.
-DEVIATIONS = 3.5
+DEVIATIONS = 4.5
 #: Members in the middle of a node that every other is tied to, if likely similar.
 MIDDLES = 2
 #: Words whose hashes a task remembers.
@@ -321,14 +322,23 @@ def _spanning(signatures: np.ndarray, sizes: np.ndarray, like: Similarity) -> se
 def _crossing(
     signatures: np.ndarray, sizes: np.ndarray, labels: np.ndarray, like: Similarity
 ) -> np.ndarray:
-    """Which members are in a likely pair under different labels."""
-    concerned = np.zeros(len(sizes), bool)
+    """Per member a number of its group, -1 without one.
+
+    Groups are what likely pairs under different labels tie together.
+    """
+    n = len(sizes)
+    group = np.arange(n)
+    concerned = np.zeros(n, bool)
     if (labels != labels[0]).any():
         for i, js, _ in _agreeing(signatures, sizes, like):
             js = js[labels[js] != labels[i]]
-            concerned[js] = True
-            concerned[i] |= len(js) > 0
-    return concerned
+            if len(js):
+                concerned[js] = True
+                concerned[i] = True
+                joined = np.zeros(n, bool)
+                joined[group[js]] = True
+                group[joined[group]] = group[i]
+    return np.where(concerned, group, -1)
 
 
 def _joining(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -417,16 +427,27 @@ def spanning_pairs(members: DataFrame, like: Similarity) -> DataFrame:
 
 
 def crossing_members(members: DataFrame, like: Similarity) -> DataFrame:
-    """(node, uid, label) in likely pairs under different labels."""
+    """(node, uid, label) in likely pairs under different labels.
+
+    A node here is a group, named by its members, so that the same group found in
+    several nodes is one.
+    """
 
     def use(node: pa.Table) -> pa.RecordBatch | None:
-        concerned = _crossing(*_described(node), node.column("label").to_numpy(), like)
-        if not concerned.any():
+        group = _crossing(*_described(node), node.column("label").to_numpy(), like)
+        if (group < 0).all():
             return None
-        kept = node.select(["node", "uid", "label"]).filter(pa.array(concerned))
-        return kept.combine_chunks().to_batches()[0]
+        uid = node.column("uid").to_numpy()
+        name = np.zeros(len(uid), np.int64)
+        for g in np.unique(group[group >= 0]):
+            # Members come sorted by uid.
+            digest = xxhash.xxh3_64_intdigest(uid[group == g].tobytes())
+            name[group == g] = np.uint64(digest).astype(np.int64)
+        named = [pa.array(name), pa.array(uid), node.column("label").combine_chunks()]
+        found = pa.Table.from_arrays(named, names=["node", "uid", "label"]).filter(pa.array(group >= 0))
+        return found.combine_chunks().to_batches()[0]
 
-    return _by_node(members, "node long, uid long, label long", use)
+    return _by_node(members, "node long, uid long, label long", use).distinct()
 
 
 def joining_links(members: DataFrame, percent: int) -> DataFrame:
@@ -493,7 +514,7 @@ def links_of(docs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame
     sets = stored(sets_of(docs, wanted.join(ends, "uid"), like.width), "dedup-sets")
     links = stored(confirmed(first, sets, like.percent), "dedup-links")
     labels = components(links).select(F.col("a").alias("uid"), F.col("b").alias("label"))
-    again = small.where(F.col("tree") < EXACT_TREES).join(ends, "uid").join(labels, "uid", "left")
+    again = small.join(ends, "uid").join(labels, "uid", "left")
     again = again.select("node", "uid", F.coalesce("label", "uid").alias("label"))
     again = again.unionByName(_block_pairs(large, labels))
     concerned = stored(crossing_members(again.join(described, "uid"), like), "dedup-crossing")

@@ -128,6 +128,22 @@ def test_no_link_is_lost_among_unlike_texts_with_one_passage(spark, monkeypatch)
     assert found_components(neardup.near_duplicates(documents(spark, given), like)) == expected
 
 
+def test_pairs_that_meet_in_a_late_tree_are_confirmed(spark, monkeypatch):
+    """The selected pairs leave two components, whose members meet in tree 10 alone."""
+    docs = documents(spark, list(enumerate(variants(sentence(5, 300), 4, 2, 3))))
+    like = neardup.Similarity(3, 85)
+    late = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda t: F.when(t == 10, F.lit(7)).otherwise(F.xxhash64("uid", t)))
+    classes = neardup.stored(neardup.classes_of(neardup.sign(docs, 3)), "classes").withColumn("roots", late)
+    u = sorted(r.uid for r in classes.collect())
+    some = spark.createDataFrame([(u[0], u[1]), (u[2], u[3])], "a long, b long")
+    monkeypatch.setattr(neardup, "spanning_pairs", lambda members, like: some)
+    assert {(r.a, r.b) for r in neardup.links_of(docs, classes, like).collect()} == {(x, u[0]) for x in u[1:]}
+
+
+def test_likely_pairs_are_four_and_a_half_deviations_wide():
+    assert neardup.Similarity(3, 85).likely <= 96 * 0.85 - 4.4 * (96 * 0.85 * 0.15) ** 0.5
+
+
 def test_near_duplicate_edges(edges, empty):
     like = neardup.Similarity(3, 85)
     assert found_components(neardup.near_duplicates(edges, like)) == plain_components(EDGES, 3, 85)
