@@ -526,8 +526,12 @@ def links_of(docs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame
     return components(links.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, like: Similarity) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept, and the key of its word sequence."""
+def _placed(docs: DataFrame, like: Similarity) -> DataFrame:
+    """Per row: doc_id, n_shingles, key of its word sequence, component_id, and chosen.
+
+    ``chosen`` holds for one (doc_id, key) of a component, the least, and for rows
+    without an id or without words.
+    """
     signed = stored(sign(docs, like.width), "dedup-signed")
     classes = stored(classes_of(signed), "dedup-classes")
     tied = links_of(docs, classes, like)
@@ -535,28 +539,59 @@ def near_duplicates(docs: DataFrame, like: Similarity) -> DataFrame:
         tied.select(F.col("a").alias("uid"), F.col("b").alias("root")), "uid", "left"
     ).withColumn("root", F.coalesce("root", "uid"))
     root = stored(root, "dedup-roots")
-    least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = root.join(least, "root").select("key", "component_id")
+    least = root.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("least"))
+    by_key = root.join(least, "root").select("key", "least")
     rows = signed.select("doc_id", "key", "n_shingles").join(by_key, "key", "left")
-    linked = F.col("n_shingles") > 0
-    component = F.when(linked & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = F.struct(F.col("doc_id").alias("rep"), "key")
     return rows.select(
         "doc_id",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
         "key",
+        F.when(linked, F.col("least.rep")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, own == F.col("least")).otherwise(F.lit(True)).alias("chosen"),
     )
 
 
+def near_duplicates(docs: DataFrame, like: Similarity) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept, and the key of its word sequence."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return _placed(docs, like).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "key")
+
+
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the key of each row's word sequence, null without an id or words."""
+    added = docs.withColumn(key, F.lit(None).cast("binary"))
+    schema = added.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            held = [words_of(t) if i is not None else [] for i, t in zip(ids, texts, strict=True)]
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in held]
+            columns = [*batch.columns[:-1], pa.array(keys, batch.schema.field(key).type)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return added.mapInArrow(run, schema)
+
+
 def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
-    """The documents without those that have a near duplicate of lesser id.
+    """One document of each component, the one of least id and then of least key.
 
-    Repeated rows with one id and one text stay once; documents without an id or
-    without words stay as they are.
+    An id may stand for several texts; each is judged for itself. Of rows with this
+    id and word sequence the least text stays, once. Rows without words stay once
+    for each id and text; rows without an id stay as they are.
     """
     columns = docs.columns
-    gone = near_duplicates(docs, like).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.where("doc_id is null")).select(*columns)
+    gone = _placed(docs, like).where("not chosen").select(
+        F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")
+    ).distinct()
+    own = "sequence of words"
+    keyed = _with_key(docs, own)
+    same = (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.col(own) == F.col("gone_key"))
+    kept = keyed.join(gone, same, "left_anti")
+    # Rows without words have no key and are told apart by their text.
+    apart = F.when(F.col(own).isNull(), F.col("text"))
+    named = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col(own).alias("of_key"), apart.alias("of_text"))
+    one = named.agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("one")).select("one.*")
+    return one.unionByName(kept.where("doc_id is null").select(*columns)).select(*columns)

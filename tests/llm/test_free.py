@@ -154,6 +154,17 @@ def test_near_duplicate_edges(edges, empty):
     assert ids[5] == 1 and 6 not in ids and ids[2] == ids[3] == ids[4] == 1 and ids[None] == 2
 
 
+def test_ids_with_several_texts_lose_only_their_near_duplicates(spark):
+    like = neardup.Similarity(3, 85)
+    base, clean = sentence(31, 200), sentence(32, 200)
+    near, other = variants(base, 2, 2, 1)
+    alike, second = variants(sentence(33, 200), 2, 2, 2)
+    given = [(3, base), (7, clean), (7, near), (7, near), (8, alike), (8, second), (9, "Two words"), (9, "two  words"), (10, other)]
+    kept = neardup.one_of_each(documents(spark, given), like).collect()
+    assert Counter(r.doc_id for r in kept) == {3: 1, 7: 1, 8: 1, 9: 1}
+    assert {r.text for r in kept} >= {base, clean, "Two words"}
+
+
 def test_signatures_estimate_similarity():
     hashes = neardup._Hashes()
     a = neardup.shingles(sentence(1, 400).encode().split(), 3, hashes)
