@@ -19,6 +19,8 @@ CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",),
     "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
 }
+#: Besides elements whose content is no text, those that do not close an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*(?:>|\Z)",
@@ -60,11 +62,18 @@ def parse(html: str) -> list[Block]:
     current: Block | None = None
     at, end = 0, len(html)
 
+    def close_head() -> None:
+        for k, (tag, _, _) in enumerate(stack):
+            if tag == "head":
+                del stack[k:]
+                break
+
     def add(piece: str) -> None:
         nonlocal current
         if current is None:
             if not piece.strip():
                 return
+            close_head()
             path = tuple(t for _, tokens, _ in stack for t in tokens)
             current = Block(path, marked=any(m for _, _, m in stack))
             blocks.append(current)
@@ -103,6 +112,8 @@ def parse(html: str) -> list[Block]:
                 at = html.find(">", closing.start()) + 1 if closing else end
                 at = at or end
             continue
+        if tag not in IN_HEAD:
+            close_head()
         if tag not in INLINE:
             current = None
             closed = CLOSES.get(tag, ())
@@ -117,4 +128,4 @@ def parse(html: str) -> list[Block]:
             current.pieces.append(" ")
         if tag not in VOID and not m.group(3).endswith("/"):
             stack.append((tag, _tokens(tag, m.group(3)), "data-main" in m.group(3)))
-    return [b for b in blocks if b.text and "head" not in b.path]
+    return [b for b in blocks if b.text]

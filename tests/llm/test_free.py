@@ -253,6 +253,17 @@ def test_blocks_of_broken_markup():
     assert blocks.parse("") == [] and blocks.parse("<<<>") != []
 
 
+def test_head_without_end():
+    for page in (
+        "<html><head><title>x</title><meta charset=u><body><article><p>One<p>two",
+        "<head><title>x</title><article><p>One<p>two</article>",
+        "<head><link rel=a><script>no</script>One<p>two</p>",
+        "<head><title>x</title></head><body>One<p>two</p>",
+    ):
+        found = blocks.parse(page)
+        assert [b.text for b in found] == ["One", "two"] and not any("head" in b.path for b in found)
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     pages = [rng.random((n, labeller.INPUTS)).astype(np.float32) for n in (3, 5)]
