@@ -12,8 +12,11 @@ The test items are the stated query set. They are taken in blocks of bounded
 size, each of which is broadcast and held against all documents where these are
 read; documents are never shuffled.
 
-Edge cases: null or empty texts and items match nothing. Items shorter than a
-trigram need all their words in order. Repeated documents or items give repeated
+A copy has at least a few of the item's words in order. Of an item with fewer words
+than that, only all of them in a row are a copy, and only if few documents hold
+them: a common word or name is no leak.
+
+Edge cases: null or empty texts and items match nothing. Repeated documents or items give repeated
 rows. Null ids stay as they are. Without items, no document is contaminated.
 """
 
@@ -39,6 +42,8 @@ RARE_DOCUMENTS, RARE_SHARE, RARE_TIMES = 100, 1e-4, 4
 EQUAL, DIFFERENT, GAP = 2, -1, -1
 #: Least score of a copy, as a share of the score of the item with itself.
 LEAST_SCORE = 0.5
+#: Least words of an item that a copy has in order; shorter items are copied as a whole.
+LEAST_WORDS = 6
 #: UTF-8 bytes of the items of a block.
 BLOCK_BYTES = 16 << 20
 
@@ -55,18 +60,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+def align(
+    item: np.ndarray, passage: np.ndarray, equal: int = EQUAL, different: int = DIFFERENT, gap: int = GAP
+) -> tuple[int, int]:
     """Best local alignment: its score, and where it ends in the passage.
 
     One step per word of the item. Gaps in the item's words are a running
     maximum, as a gap costs the same for every word.
     """
-    steps = np.arange(len(passage) + 1, dtype=np.int64) * -GAP
+    steps = np.arange(len(passage) + 1, dtype=np.int64) * -gap
     row = np.zeros(len(passage) + 1, np.int64)
     best, end = 0, 0
     for word in item:
-        diagonal = row[:-1] + np.where(passage == word, EQUAL, DIFFERENT)
-        above = row + GAP
+        diagonal = row[:-1] + np.where(passage == word, equal, different)
+        above = row + gap
         row = np.maximum(above, 0)
         row[1:] = np.maximum(row[1:], diagonal)
         row = np.maximum.accumulate(row + steps) - steps
@@ -84,10 +91,12 @@ class Items:
         held = [(i, w) for i, w in held if w]
         names = sorted({w for _, ws in held for w in ws})
         self.vocabulary = {w: k for k, w in enumerate(names)}
+        # Odd, so that no word drops out of a code that wraps around.
+        self.base = (len(names) + 1) | 1
         self.ids = [i for i, _ in held]
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in held]
         self.distinct = [np.unique(w, return_counts=True) for w in self.words]
-        self.short_widths = sorted({len(w) for w in self.words if len(w) < GRAM})
+        self.short_widths = sorted({len(w) for w in self.words if len(w) < LEAST_WORDS})
         base = [self._grams(w) for w in self.words]
         self.grams = np.unique(np.concatenate(base)) if base else np.empty(0, np.int64)
         places: list[list[tuple[int, int]]] = [[] for _ in self.grams]
@@ -96,17 +105,20 @@ class Items:
                 places[g].append((k, at))
         self.places = places
         self.seed = np.ones(len(self.grams), bool)
+        # Short items that many documents hold; a longer item may have the same seed.
+        self.common: set[int] = set()
 
     def _grams(self, coded: np.ndarray) -> np.ndarray:
-        """Codes of an item's trigrams, of all its words where they are fewer.
+        """Codes of an item's trigrams; of a short item, the code of all its words.
 
-        A block has under two million different words, so a code fits 64 bits.
+        A block has under two million different words, so a trigram fits 64 bits.
+        Longer codes wrap around and may be equal by chance; the alignment decides.
         """
-        width = min(GRAM, len(coded))
+        width = GRAM if len(coded) >= LEAST_WORDS else len(coded)
         count = len(coded) - width + 1
         code = np.zeros(count, np.int64)
         for k in range(width):
-            code = code * (len(self.vocabulary) + 1) + coded[k : k + count] + 1
+            code = code * self.base + coded[k : k + count] + 1
         return code
 
     def code(self, text: str | None) -> np.ndarray:
@@ -116,7 +128,7 @@ class Items:
     def held_grams(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, number of the trigram) of the items' trigrams."""
         found_at, found = [], []
-        for width in (GRAM, *self.short_widths):
+        for width in sorted({GRAM, *self.short_widths}):
             if width > len(coded):
                 continue
             # Places from which as many known words follow.
@@ -129,7 +141,7 @@ class Items:
                 continue
             code = np.zeros(len(at), np.int64)
             for k in range(width):
-                code = code * (len(self.vocabulary) + 1) + coded[at + k] + 1
+                code = code * self.base + coded[at + k] + 1
             number = np.searchsorted(self.grams, code)
             number[number == len(self.grams)] = 0
             hit = self.grams[number] == code
@@ -147,9 +159,13 @@ class Items:
         for g, places in enumerate(self.places):
             for k, _ in places:
                 of_item[k].append(g)
-        for grams in of_item:
+        rare = max(RARE_DOCUMENTS, RARE_SHARE * documents)
+        for k, grams in enumerate(of_item):
             own = frequency[grams]
-            limit = max(RARE_DOCUMENTS, RARE_SHARE * documents, RARE_TIMES * float(np.median(own)))
+            short = len(self.words[k]) < LEAST_WORDS
+            if short and own.max() > rare:
+                self.common.add(k)
+            limit = rare if short else max(rare, RARE_TIMES * float(np.median(own)))
             self.seed[np.array(grams)[own <= limit]] = True
 
     def copies(self, text: str | None) -> list[tuple[int, float, int, int]]:
@@ -160,6 +176,8 @@ class Items:
         windows: dict[int, set[int]] = {}
         for place, g in zip(at[keep].tolist(), grams[keep].tolist(), strict=True):
             for k, offset in self.places[g]:
+                if k in self.common:
+                    continue
                 # Places of one copy differ little; a window takes in all of them.
                 span = len(self.words[k])
                 windows.setdefault(k, set()).add((place - offset) // span)
@@ -167,7 +185,7 @@ class Items:
         for k, starts in windows.items():
             item = self.words[k]
             best = self._best(k, coded, sorted(starts))
-            if best[0] >= LEAST_SCORE:
+            if best[0] >= (LEAST_SCORE if len(item) >= LEAST_WORDS else 1.0):
                 found.append((k, *best))
         return found
 
@@ -189,6 +207,12 @@ class Items:
                 continue
             score, end = align(item, coded[low:high])
             if score / most > best[0]:
+                if LEAST_SCORE * most < EQUAL * LEAST_WORDS <= most:
+                    # So low a score may come from too few words.
+                    _, length = align(item[::-1], coded[low : low + end][::-1])
+                    in_order, _ = align(item, coded[low + end - length : low + end], 1, 0, 0)
+                    if in_order < LEAST_WORDS:
+                        continue
                 _, length = align(item[::-1], coded[low : low + end][::-1])
                 best = (score / most, low + end - length, low + end)
             if best[0] == 1.0:

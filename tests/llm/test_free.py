@@ -361,6 +361,16 @@ def test_copies_are_found_and_clean_texts_left_alone(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in given} - {d for d, _ in pairs}
 
 
+def test_few_common_words_are_no_copy(spark):
+    items = [(1, "What is the capital of France?"), (2, "the"), (3, "New York City"), (4, "a b c d e f g h"), (5, "zeta eta theta"), (6, "the capital of")]
+    given = [(k, f"{sentence(k, 20)} the capital of {sentence(k + 500, 20)} new york city") for k in range(150)]
+    given += [(200, f"so: what is the capital of France {sentence(1, 9)}"), (201, "x a b c d f g h y"), (202, "p zeta eta theta"), (203, "p zeta eta q")]
+    block = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(documents(spark, given), block).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(200, 1), (201, 4), (202, 5)}
+    assert decontaminate.clean_documents(documents(spark, given), block).count() == len(given) - 3
+
+
 def plain_alignment(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
