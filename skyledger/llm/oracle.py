@@ -102,3 +102,32 @@ from texts left join per_text using (r) left join counted using (r)
 
 
 ORACLE["op9_licenses"] = _licenses()
+
+ORACLE["op11_negatives"] = """
+with given as (
+  select vec_id as id, embedding,
+         case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+), kept as (
+  select id, label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from given
+  where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), held as (
+  select *, row_number() over () as n from kept
+), scored as (
+  select a.n as an, a.id as anchor_id, b.n as bn, b.id as id, a.label = b.label as alike,
+         cast(list_dot_product(a.v, b.v) as bigint) as score
+  from held a join held b on a.n <> b.n where a.id % 100 = 0
+), positives as (
+  select an, anchor_id, bn, id as positive_id, score as positive_score
+  from scored where alike
+  qualify row_number() over (partition by an order by score desc, id) <= 5
+), ranked as (
+  select p.anchor_id, p.positive_id, s.id as negative_id, p.positive_score, s.score as negative_score,
+         row_number() over (partition by p.an, p.bn order by s.score desc, s.id) as rank
+  from positives p join scored s on s.an = p.an and not s.alike
+   and 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 10
+"""

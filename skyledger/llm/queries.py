@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.llm import decontaminate, licenses, maintext, mixing, neardup, packing, pii, quality, secrets, sharding
+from skyledger.llm import (
+    decontaminate,
+    language,
+    licenses,
+    maintext,
+    mixing,
+    neardup,
+    negatives,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secrets,
+    sharding,
+)
 from skyledger.llm.common import table
 from skyledger.llm.oracle import ORACLE  # noqa: F401
 
@@ -68,4 +82,36 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_neardup, op2_sharding, op3_packing, op4_mixing, op5_maintext, op6_decontaminate, op7_quality, op8_secrets, op9_licenses, op10_pii)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, against all."""
+    return negatives.hard_negatives(negatives.embedding_rows(table(spark, sf_dir, "embeddings")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs in the words of all documents."""
+    return periodic.run_table(table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a language model of nine tenths of them."""
+    return language.score_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_neardup,
+        op2_sharding,
+        op3_packing,
+        op4_mixing,
+        op5_maintext,
+        op6_decontaminate,
+        op7_quality,
+        op8_secrets,
+        op9_licenses,
+        op10_pii,
+        op11_negatives,
+        op12_runs,
+        op13_language,
+    )
+}
