@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,7 +258,7 @@ def _by_tokens(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Ite
         return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        lengths = np.diff(batch.column(column).offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
+        lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
         first = 0
         for k, length in enumerate((lengths // 6 + 1).tolist()):
             if size and size + length > most:
@@ -345,14 +346,18 @@ def score(texts: DataFrame, words_of: Vocabulary, counts: DataFrame, network: Ne
             n = len(held)
             listed = network.log_probabilities(*_contexts(place, number, size)) / math.log(10)
             frequent, unlisted = place >= 0, place >= size
-            total = np.bincount(number, minlength=n)
-            base = np.bincount(number[frequent], logs[place[frequent]], n)
-            rest = np.bincount(number[unlisted], logs[place[unlisted]], n)
             tails = _tails(held, place, number)
+
+            def counted(chosen: np.ndarray) -> pa.Array:
+                return pa.array(np.bincount(number[chosen], minlength=n), pa.int64())
+
+            def summed(chosen: np.ndarray, values: np.ndarray) -> pa.Array:
+                return pa.array(np.bincount(number[chosen], values, n).astype(float))
+
             columns = [c for k, c in enumerate(group.columns) if k != group_column]
-            columns += [pa.array(total), pa.array(np.bincount(number[frequent], minlength=n))]
-            columns += [pa.array(np.bincount(number, listed, n)), pa.array(base)]
-            columns += [pa.array(np.bincount(number[unlisted], minlength=n)), pa.array(rest), tails]
+            columns += [counted(place >= -1), counted(frequent), summed(place >= -1, listed)]
+            columns += [summed(frequent, logs[place[frequent]]), counted(unlisted)]
+            columns += [summed(unlisted, logs[place[unlisted]]), tails]
             yield pa.RecordBatch.from_arrays(columns, [*others, *_MADE])
 
     ordered = texts.select(*others, text_of(F.col(text)).alias(text))
