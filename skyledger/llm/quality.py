@@ -213,7 +213,7 @@ class LabelModel:
         """The same as an expression over vote columns."""
         odds = F.lit(self.base)
         for worth, vote in zip(self.worth, votes, strict=True):
-            odds = odds + F.when(vote == 1, worth[1]).when(vote == -1, worth[-1]).otherwise(0.0)
+            odds = odds + F.when(vote == 1, worth[1]).when(vote == -1, worth[-1]).otherwise(worth[0])
         return 1 / (1 + F.exp(-odds))
 
 
