@@ -1,7 +1,8 @@
 """Licence scan: passages against templates by Dice coefficient of word bigrams.
 
 A passage is a line, a paragraph of several lines, or a whole text of several
-lines. It is normalised (lower case, words of letters and digits) and compared
+paragraphs. A passage that matches and others inside it that match are one notice:
+the outer one counts if it is better than all of them, else they count. A passage is normalised (lower case, words of letters and digits) and compared
 to a template by 2 * shared / (bigrams of the one + bigrams of the other), over
 sets of bigrams. Sizes alone bound that from above, so a template is a candidate
 only for passages of a size that could reach the least coefficient; here a size
@@ -88,14 +89,6 @@ def size_bounds(size: int) -> tuple[int, int]:
     return least, size * (2000 - LEAST_DICE) // LEAST_DICE
 
 
-def passages(text: Column) -> Column:
-    """Lines, paragraphs of several lines, and the text if it has several lines."""
-    many = text.contains("\n")
-    paragraphs = F.filter(F.split(text, r"\n[\x20\t\r]*\n", -1), lambda p: p.contains("\n"))
-    whole = F.when(many & (F.size(paragraphs) != 1), F.array(text)).otherwise(F.array())
-    return F.concat(F.split(text, "\n", -1), F.when(many, paragraphs).otherwise(F.array()), whole)
-
-
 def _bigrams(w: Column) -> Column:
     count = F.size(w) - 1
     pairs = F.zip_with(
@@ -105,9 +98,10 @@ def _bigrams(w: Column) -> Column:
 
 
 def matches(text: Column, templates: dict[str, str]) -> Column:
-    """Array of (minus, license), the best template of each passage that has one.
+    """(best, notices): the best match of all passages and the number of notices.
 
-    ``minus`` is the coefficient with the sign changed, so the least is the best.
+    A match is (minus, license); ``minus`` is the coefficient with the sign changed,
+    so the least is the best.
     """
     grams = {name: template_bigrams(t) for name, t in templates.items()}
     bounds = {name: size_bounds(len(g)) for name, g in grams.items()}
@@ -124,26 +118,51 @@ def matches(text: Column, templates: dict[str, str]) -> Column:
             scored.append(F.when(sized["size"].between(*bounds[name]), score))
         return F.least(*scored)
 
-    split = F.transform(
-        passages(text),
-        lambda p: F.split(F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")), " "),
+    def found(passages: Column) -> Column:
+        split = F.transform(
+            passages,
+            lambda p: F.split(F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")), " "),
+        )
+        possible = F.filter(split, lambda w: (F.size(w) - 1).between(max(1, least), most))
+        return F.filter(F.transform(F.transform(possible, _bigrams), best), lambda b: b.isNotNull())
+
+    def judged(inner: Column, notices: Column, outer: Column) -> Column:
+        """The better of an outer match and the ones inside, and what counts."""
+        outside, inside = F.get(outer, F.lit(0)), F.array_min(inner)
+        wins = outside.isNotNull() & (inside.isNull() | (outside["minus"] < inside["minus"]))
+        return F.struct(
+            F.least(outside, inside).alias("best"),
+            F.when(wins, F.lit(1)).otherwise(notices).alias("notices"),
+        )
+
+    none = F.array().cast("array<string>")
+    paragraphs = F.transform(
+        F.split(text, r"\n[\x20\t\r]*\n", -1),
+        lambda p: F.struct(
+            found(F.split(p, "\n", -1)).alias("lines"),
+            found(F.when(p.contains("\n"), F.array(p)).otherwise(none)).alias("own"),
+        ),
     )
-    possible = F.filter(split, lambda w: (F.size(w) - 1).between(max(1, least), most))
-    return F.filter(F.transform(F.transform(possible, _bigrams), best), lambda b: b.isNotNull())
+    each = F.transform(paragraphs, lambda p: judged(p["lines"], F.size(p["lines"]), p["own"]))
+
+    def whole(parts: Column) -> Column:
+        total = F.aggregate(parts["notices"], F.lit(0), lambda n, x: n + x)
+        several = F.when(F.size(parts) > 1, F.array(text)).otherwise(none)
+        inner = F.filter(parts["best"], lambda b: b.isNotNull())
+        return let(found(several), lambda outer: judged(inner, total, outer))
+
+    return let(each, whole)
 
 
 def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per document: best licence, its coefficient in thousandths, matching passages.
+    """One row per document: best licence, its coefficient in thousandths, number of notices.
 
     Each row is judged where it is read; nothing is shuffled.
     """
-    found = let(
-        matches(text_of(F.col("text")), templates),
-        lambda m: F.struct(F.array_min(m).alias("best"), F.size(m).alias("passages")),
-    )
+    found = matches(text_of(F.col("text")), templates)
     return docs.select("doc_id", found.alias("found")).select(
         "doc_id",
         F.col("found.best.license").alias("license"),
         (-F.col("found.best.minus")).alias("dice"),
-        F.col("found.passages").cast("long").alias("n_passages"),
+        F.col("found.notices").cast("long").alias("n_passages"),
     )

@@ -65,38 +65,47 @@ with templates(license, grams, n, least, most) as (values {", ".join(rows)}),
 texts as (
   select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
 ), cut as (
-  select r, text, string_split(text, chr(10)) as lines,
-         list_filter(string_split_regex(text, '\n[\x20\t\r]*\n'), lambda p: contains(p, chr(10)))
-           as paragraphs
-  from texts
+  select r, text, string_split_regex(text, '\n[\x20\t\r]*\n') as paragraphs from texts
+), paragraphs as (
+  select r, unnest(range(len(paragraphs))) as place, unnest(paragraphs) as paragraph from cut
 ), passages as (
-  select r, unnest(list_concat(lines,
-           case when contains(text, chr(10)) then paragraphs else [] end,
-           case when contains(text, chr(10)) and len(paragraphs) <> 1 then [text] else [] end))
-         as passage
-  from cut
+  select r, place, 0 as level, unnest(string_split(paragraph, chr(10))) as passage from paragraphs
+  union all
+  select r, place, 1, paragraph from paragraphs where contains(paragraph, chr(10))
+  union all
+  select r, -1, 2, text from cut where len(paragraphs) > 1
 ), split as (
-  select r, string_split(trim(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w
+  select r, place, level,
+         string_split(trim(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w
   from passages
 ), sized as (
-  select r, len(w) - 1 as size, list_distinct(
+  select row_number() over () as k, r, place, level, len(w) - 1 as size, list_distinct(
            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bigrams
   from split where len(w) between 2 and 400
 ), scored as (
-  select r, license, cast(floor(2000 * len(list_intersect(bigrams, grams)) / (len(bigrams) + n)) as bigint)
-         as dice
+  select k, r, place, level, license,
+         cast(floor(2000 * len(list_intersect(bigrams, grams)) / (len(bigrams) + n)) as bigint) as dice
   from sized join templates on size between least and most
 ), ranked as (
-  select r, license, dice from scored where dice >= {licenses.LEAST_DICE}
+  select * from scored where dice >= {licenses.LEAST_DICE}
 ), per_text as (
   select r, arg_min(license, (-dice, license)) as license, max(dice) as dice from ranked group by r
+), per_passage as (
+  select k, r, place, level, max(dice) as dice from ranked group by k, r, place, level
+), per_paragraph as (
+  select r, place, max(dice) as dice, max(level) as level,
+         case when max(dice) filter (where level = 1) > coalesce(max(dice) filter (where level = 0), 0)
+              then 1 else count(*) filter (where level = 0) end as notices
+  from per_passage where level < 2 group by r, place
+), inside as (
+  select r, max(dice) as dice, sum(notices) as notices from per_paragraph group by r
+), outside as (
+  select r, dice from per_passage where level = 2
 ), counted as (
-  select r, count(*) as n_passages from sized s
-  where exists (select 1 from templates t where s.size between t.least and t.most and
-    floor(2000 * len(list_intersect(s.bigrams, t.grams)) / (len(s.bigrams) + t.n)) >= {licenses.LEAST_DICE})
-  group by r
+  select r, case when o.dice > coalesce(i.dice, 0) then 1 else i.notices end as n_passages
+  from inside i full join outside o using (r)
 )
-select doc_id, license, dice, coalesce(n_passages, 0) as n_passages
+select doc_id, license, dice, cast(coalesce(n_passages, 0) as bigint) as n_passages
 from texts left join per_text using (r) left join counted using (r)
 """
 
