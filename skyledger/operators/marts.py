@@ -1,8 +1,9 @@
 """The six marts, each straight from the staging rows.
 
 Every aggregate here combines on the map side, so what is shuffled is one row
-per key and task, however many flights a hub airport or big carrier has.
-``skyledger.plans.base`` builds the same marts from one shared scan.
+per key and task, however many flights a hub airport or big carrier has, and every
+mart reads the flights once. ``skyledger.plans.base`` builds all six from one shared
+aggregate by month, ``skyledger.plans.cells`` from one set of partial sums.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyledger.functions.delays import CATEGORIES, arrived_late
-from skyledger.functions.figures import flag_total, percent, round_half_up
+from skyledger.functions.figures import flag_total, mean, percent, round_half_up
 from skyledger.schema import CAUSES
 
 # Count column of each delay tier.
@@ -137,59 +138,139 @@ def top_carriers(counts: DataFrame) -> DataFrame:
     )
 
 
-def combine_bottlenecks(leaving: DataFrame, arriving: DataFrame) -> DataFrame:
-    """Both sides of each airport; the sides meet on the airport alone.
+# What is added up on either side of an airport.
+SIDE_SUMS = ["flights", "taxi_sum", "taxi_n", "delay_sum", "delay_n", "diverted"]
 
-    An airport with two city spellings stays two rows, as in the definition.
+
+def flight_measures(staging: DataFrame) -> DataFrame:
+    """The flights with the columns both airport marts add up, one flight a row."""
+    averaged = ["taxi_out", "taxi_in", "dep_delay", "arr_delay"]
+    return staging.select(
+        "origin", "origin_city_name", "dest", "dest_city_name", "reporting_airline",
+        F.lit(1).cast("bigint").alias("flights"),
+        F.col("diverted").cast("bigint").alias("diverted"),
+        *[F.col(c).cast("bigint").alias(f"{c}_sum") for c in averaged],
+        *[F.col(c).isNotNull().cast("bigint").alias(f"{c}_n") for c in averaged],
+    )
+
+
+def airport_sums(measures: DataFrame, cities: bool, leaders: bool) -> DataFrame:
+    """Both sides of every airport, from one reading of the flights.
+
+    Each row takes part twice where it is read, as a departure and as an arrival,
+    and a third time by its airline if ``leaders`` are asked for. Partial sums by
+    airport, side and city (arrivals by city only if ``cities``) or airline are the
+    only rows shuffled. What is finished, a few rows an airport, meets by airport:
+    ``leaving`` and ``arriving`` sides and the ``top_carrier``.
+    """
+
+    def role(side: str, airport: str, part: Column, way: str, delay: str) -> Column:
+        return F.struct(
+            F.lit(side).alias("side"),
+            F.col(airport).alias("airport_code"),
+            part.cast("string").alias("part"),
+            F.col("flights").alias("flights"),
+            *[F.col(f"{way}_{x}").alias(f"taxi_{x}") for x in ("sum", "n")],
+            *[F.col(f"{delay}_{x}").alias(f"delay_{x}") for x in ("sum", "n")],
+            F.col("diverted").alias("diverted"),
+        )
+
+    arriving_city = F.col("dest_city_name") if cities else F.lit(None)
+    roles = [
+        role("leaving", "origin", F.col("origin_city_name"), "taxi_out", "dep_delay"),
+        role("arriving", "dest", arriving_city, "taxi_in", "arr_delay"),
+    ]
+    if leaders:
+        roles.append(role("carrier", "origin", F.col("reporting_airline"), "taxi_out", "dep_delay"))
+    return meeting(
+        measures.select(F.inline(F.array(*roles)))
+        .groupBy("airport_code", "side", "part")
+        .agg(*[F.sum(c).alias(c) for c in SIDE_SUMS])
+    )
+
+
+def meeting(sums: DataFrame) -> DataFrame:
+    """A row an airport from finished sums by airport, side and part."""
+
+    def listed(side: str) -> Column:
+        return F.collect_list(F.when(F.col("side") == side, F.struct("part", *SIDE_SUMS)))
+
+    is_carrier = F.col("side") == "carrier"
+    busiest = F.when(is_carrier, F.struct(-F.col("flights"), F.col("part")))
+    return sums.groupBy("airport_code").agg(
+        listed("leaving").alias("leaving"),
+        listed("arriving").alias("arriving"),
+        F.min_by("part", busiest).alias("top_carrier"),
+    )
+
+
+def airport_rows(sides: DataFrame) -> DataFrame:
+    """Every leaving side ``d`` with every arriving side ``a`` of its airport.
+
+    The sides meet on the airport alone: one with two city spellings stays two rows,
+    as in the definition. A side without the other stays; flights of no airport have
+    nothing to meet.
     """
-    d, a = leaving.alias("d"), arriving.alias("a")
-    out_count = F.coalesce("d.total_departures", F.lit(0))
-    in_count = F.coalesce("a.total_arrivals", F.lit(0))
-    return d.join(a, F.col("d.airport_code") == F.col("a.airport_code"), "full_outer").select(
-        F.coalesce("d.airport_code", "a.airport_code").alias("airport_code"),
-        F.coalesce("d.city_name", "a.city_name").alias("city_name"),
+    side = sides.schema["leaving"].dataType.elementType.simpleString()
+    empty = F.lit(None).cast(side)
+
+    def pair(d: Column, a: Column) -> Column:
+        return F.struct(d.alias("d"), a.alias("a"))
+
+    def some(column: str) -> Column:
+        return F.when(F.size(column) == 0, F.array(empty)).otherwise(F.col(column))
+
+    met = F.flatten(F.transform(some("leaving"), lambda d: F.transform(some("arriving"), lambda a: pair(d, a))))
+    unmet = F.concat(
+        F.transform("leaving", lambda d: pair(d, empty)), F.transform("arriving", lambda a: pair(empty, a))
+    )
+    known = F.col("airport_code").isNotNull()
+    pairs = F.when(known, met).otherwise(unmet)
+    return sides.select("airport_code", F.when(known, F.col("top_carrier")).alias("top_carrier"), F.inline(pairs))
+
+
+def bottlenecks_of(sides: DataFrame) -> DataFrame:
+    """The bottleneck mart from the sides of the airports."""
+    out_count, in_count = (F.coalesce(f"{x}.flights", F.lit(0).cast("bigint")) for x in "da")
+    return airport_rows(sides).select(
+        "airport_code",
+        F.coalesce("d.part", "a.part").alias("city_name"),
         out_count.alias("total_departures"),
         in_count.alias("total_arrivals"),
         (out_count + in_count).alias("total_traffic"),
-        "d.avg_taxi_out_mins",
-        "d.avg_dep_delay_mins",
-        "a.avg_taxi_in_mins",
-        "a.avg_arr_delay_mins",
+        mean(F.col("d.taxi_sum"), F.col("d.taxi_n")).alias("avg_taxi_out_mins"),
+        mean(F.col("d.delay_sum"), F.col("d.delay_n")).alias("avg_dep_delay_mins"),
+        mean(F.col("a.taxi_sum"), F.col("a.taxi_n")).alias("avg_taxi_in_mins"),
+        mean(F.col("a.delay_sum"), F.col("a.delay_n")).alias("avg_arr_delay_mins"),
     )
 
 
-def airport_bottlenecks(staging: DataFrame) -> DataFrame:
-    """Traffic, taxi times and delays by airport."""
-    return combine_bottlenecks(departures(staging), arrivals(staging, by_city=True))
-
-
-def combine_detail(leaving: DataFrame, arriving: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Airport sides plus the top carrier; the city is the departing one only."""
-    d, a = leaving.alias("d"), arriving.alias("a")
-    out_count = F.coalesce("d.total_departures", F.lit(0))
-    in_count = F.coalesce("a.total_arrivals", F.lit(0))
-    sides = d.join(a, F.col("d.airport_code") == F.col("a.airport_code"), "full_outer").select(
-        F.coalesce("d.airport_code", "a.airport_code").alias("airport_code"),
-        "d.city_name",
+def detail_of(sides: DataFrame) -> DataFrame:
+    """The detail mart from the sides of the airports; the city is the departing one only."""
+    out_count, in_count = (F.coalesce(f"{x}.flights", F.lit(0).cast("bigint")) for x in "da")
+    return airport_rows(sides).select(
+        "airport_code",
+        F.col("d.part").alias("city_name"),
         out_count.alias("total_departures"),
         in_count.alias("total_arrivals"),
         (out_count + in_count).alias("total_traffic"),
-        "d.avg_taxi_out_mins",
-        "a.avg_taxi_in_mins",
-        "d.avg_dep_delay_mins",
-        "a.avg_arr_delay_mins",
-        F.coalesce("d.total_diverted", F.lit(0)).alias("total_diverted"),
+        mean(F.col("d.taxi_sum"), F.col("d.taxi_n")).alias("avg_taxi_out_mins"),
+        mean(F.col("a.taxi_sum"), F.col("a.taxi_n")).alias("avg_taxi_in_mins"),
+        mean(F.col("d.delay_sum"), F.col("d.delay_n")).alias("avg_dep_delay_mins"),
+        mean(F.col("a.delay_sum"), F.col("a.delay_n")).alias("avg_arr_delay_mins"),
+        F.coalesce("d.diverted", F.lit(0).cast("bigint")).alias("total_diverted"),
+        "top_carrier",
     )
-    return sides.join(leaders.select("airport_code", "top_carrier"), "airport_code", "left")
+
+
+def airport_bottlenecks(staging: DataFrame) -> DataFrame:
+    """Traffic, taxi times and delays by airport."""
+    return bottlenecks_of(airport_sums(flight_measures(staging), cities=True, leaders=False))
 
 
 def airport_detail(staging: DataFrame) -> DataFrame:
     """Traffic, taxi times, delays, diversions and top carrier by airport."""
-    return combine_detail(
-        departures(staging),
-        arrivals(staging, by_city=False),
-        top_carriers(carrier_departures(staging)),
-    )
+    return detail_of(airport_sums(flight_measures(staging), cities=False, leaders=True))
 
 
 # Order in which a mart is shown, busiest first; codes settle ties.

@@ -207,40 +207,26 @@ def distance_stats(flights: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed.
 
-    Rows per value are counted once; the bounds and the bins both come from
-    those counts. Empty bins are listed. One single value gets a width of one
-    around it.
+    The bounds come first, in an aggregate of their own; rows are then counted by bin
+    where they are read. So a task sends one row per bin at most, also where all
+    values differ, for reading one column twice. Empty bins are listed. One single
+    value gets a width of one around it.
     """
-    per_value = (
-        df.select(value.cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.count("*").alias("n"))
-    )
-    # The row total is not used; asking for it keeps both readers of the counts
-    # alike, so that Spark computes them once and shares the exchange.
-    bounds = per_value.agg(
-        F.struct(
-            F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("rows")
-        ).alias("bounds")
+    values = df.select(value.cast("double").alias("value")).where(F.col("value").isNotNull())
+    bounds = values.agg(
+        F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("bounds")
     ).scalar()
     low, high = bounds.getField("low"), bounds.getField("high")
     single = low == high
     start = F.when(single, low - 0.5).otherwise(low)
     span = F.when(single, F.lit(1.0)).otherwise(high - low)
-    place = F.least(
-        F.floor((F.col("value") - F.col("start")) * bins / F.col("span")), F.lit(bins - 1)
-    ).cast("int")
-    counts = (
-        per_value.withColumns({"start": start, "span": span})
-        .groupBy(place.alias("bin"), "start", "span")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("start", "span")
-        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled"))
-    )
-    every_bin = counts.select(
-        "start", "span", "filled", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    )
+    place = F.least(F.floor((F.col("value") - start) * bins / span), F.lit(bins - 1)).cast("int")
+    counts = values.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    filled = counts.agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("filled"))
+    every_bin = filled.where(low.isNotNull()).select(
+        start.alias("start"), span.alias("span"), "filled",
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
+    )
     edge = F.col("start") + F.col("bin") * F.col("span") / bins
     return every_bin.select(
         "bin",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.delays import CATEGORIES
@@ -134,3 +135,48 @@ def layer_row_counts(layers: Mapping[str, DataFrame]) -> DataFrame:
     for name in names[1:]:
         agree = agree & (F.col(f"{name}_rows") == F.col(f"{names[0]}_rows"))
     return merged.withColumn("agree", agree)
+
+
+class WriteChecks:
+    """The checks, counted by the jobs that write the tables.
+
+    ``watch`` adds counters to a table on its way to a writer; once all are written,
+    ``report`` has the results without a job of its own. Uniqueness is told from the
+    codes themselves, a code per mart row, which airports and airlines keep few; the
+    values outside a list are kept as a set. A task run again after its executor was
+    lost may count its failures twice, never fewer.
+    """
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, table: str) -> DataFrame:
+        """The same rows, counted as they pass."""
+        counters = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in NOT_NULL.get(table, [])]
+        counters += [F.collect_list(c).alias(f"unique_{c}") for c in UNIQUE.get(table, [])]
+        counters += [
+            F.collect_set(F.when(~F.col(c).isin(*values), F.col(c))).alias(f"outside_{c}")
+            for c, values in ACCEPTED.get(table, {}).items()
+        ]
+        if not counters:
+            return df
+        self.seen[table] = Observation()
+        return df.observe(self.seen[table], *counters)
+
+    def failures(self) -> list[tuple[str, str, str, int]]:
+        """Check, table, column and failures of everything that was written."""
+        out = []
+        for table, observation in self.seen.items():
+            got = observation.get
+            out += [("not_null", table, c, got[f"null_{c}"]) for c in NOT_NULL.get(table, [])]
+            for c in UNIQUE.get(table, []):
+                repeated = sum(n > 1 for n in Counter(got[f"unique_{c}"]).values())
+                out.append(("unique", table, c, repeated))
+            for c in ACCEPTED.get(table, {}):
+                out.append(("accepted_values", table, c, len(got[f"outside_{c}"])))
+        return out
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The results as the suites return them."""
+        kind = "check_name string, table_name string, column_name string, failures bigint"
+        return spark.createDataFrame(self.failures(), kind)

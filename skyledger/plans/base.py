@@ -9,6 +9,8 @@ direct form in ``skyledger.operators.marts``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,9 @@ from skyledger.operators.marts import (
     MONTH_CARRIER,
     ROUTE,
     TIER_COUNTS,
-    combine_bottlenecks,
-    combine_detail,
+    airport_sums,
+    bottlenecks_of,
+    detail_of,
     top_carriers,
 )
 from skyledger.schema import CAUSES
@@ -29,10 +32,13 @@ KEYS = ["flight_year", "flight_month", *CARRIER, *ROUTE]
 AVERAGED = ["dep_delay", "arr_delay", "taxi_out", "taxi_in", "air_time"]
 
 
-def flight_base(staging: DataFrame) -> DataFrame:
-    """Additive measures by month, airline and route."""
+Total = Callable[[str], Column]
+
+
+def measures() -> list[Column]:
+    """The additive measures of a group of staging rows."""
     is_late = arrived_late(F.col("arr_delay"))
-    return staging.groupBy(*KEYS).agg(
+    return [
         F.count("*").alias("flights"),
         flag_total(F.col("cancelled")).alias("cancelled"),
         flag_total(F.col("diverted")).alias("diverted"),
@@ -45,85 +51,84 @@ def flight_base(staging: DataFrame) -> DataFrame:
         F.count_if(is_late).alias("late_flights"),
         F.sum(F.when(is_late, F.col("arr_delay"))).alias("late_minutes"),
         *[F.sum(F.when(is_late, F.col(c))).alias(f"late_{c}") for c in CAUSES],
-    )
+    ]
 
 
-def _mean(column: str) -> Column:
-    return mean(F.sum(f"{column}_sum"), F.sum(f"{column}_n"))
+def flight_base(staging: DataFrame) -> DataFrame:
+    """Additive measures by month, airline and route."""
+    return staging.groupBy(*KEYS).agg(*measures())
 
 
-def delay_by_carrier(base: DataFrame) -> DataFrame:
-    """Mart of the same name, from the base."""
-    flights, cancelled, diverted = F.sum("flights"), F.sum("cancelled"), F.sum("diverted")
-    return base.groupBy(*MONTH_CARRIER).agg(
+def _mean(column: str, total: Total) -> Column:
+    return mean(total(f"{column}_sum"), total(f"{column}_n"))
+
+
+# The figures of each mart. ``total`` gives a measure of the whole group: its sum
+# over the rows of the base, or the column itself where groups are finished.
+
+
+def delay_figures(total: Total) -> list[Column]:
+    flights, cancelled, diverted = total("flights"), total("cancelled"), total("diverted")
+    return [
         flights.alias("total_flights"),
         cancelled.alias("total_cancelled_flights"),
         percent(cancelled, flights).alias("cancellation_rate_pct"),
         diverted.alias("total_diverted_flights"),
         percent(diverted, flights).alias("diverted_rate_pct"),
-        _mean("dep_delay").alias("avg_dep_delay_mins"),
-        _mean("arr_delay").alias("avg_arr_delay_mins"),
-        *[F.sum(name).alias(name) for name in TIER_COUNTS],
-    )
+        _mean("dep_delay", total).alias("avg_dep_delay_mins"),
+        _mean("arr_delay", total).alias("avg_arr_delay_mins"),
+        *[total(name).alias(name) for name in TIER_COUNTS],
+    ]
 
 
-def root_causes(base: DataFrame) -> DataFrame:
-    """Mart of the same name, from the base."""
-    minutes = F.sum("late_minutes")
-    return (
-        base.where(F.col("late_flights") > 0)
-        .groupBy(*CARRIER)
-        .agg(
-            F.sum("late_flights").alias("total_delayed_flights"),
-            minutes.alias("total_delay_minutes"),
-            *[percent(F.sum(f"late_{c}"), minutes).alias(f"{c}_pct") for c in CAUSES],
-        )
-    )
+def cause_figures(total: Total) -> list[Column]:
+    minutes = total("late_minutes")
+    return [
+        total("late_flights").alias("total_delayed_flights"),
+        minutes.alias("total_delay_minutes"),
+        *[percent(total(f"late_{c}"), minutes).alias(f"{c}_pct") for c in CAUSES],
+    ]
 
 
-def flights_by_carrier(base: DataFrame) -> DataFrame:
-    """Mart of the same name, from the base."""
-    flights, diverted = F.sum("flights"), F.sum("diverted")
-    return base.groupBy(*CARRIER).agg(
+def carrier_figures(total: Total) -> list[Column]:
+    flights, diverted = total("flights"), total("diverted")
+    return [
         flights.alias("total_flights"),
         diverted.alias("total_diverted_flights"),
         percent(diverted, flights).alias("diverted_rate_pct"),
-    )
+    ]
 
 
-def route_performance(base: DataFrame) -> DataFrame:
-    """Mart of the same name, from the base."""
-    flights, cancelled = F.sum("flights"), F.sum("cancelled")
-    return base.groupBy(*ROUTE).agg(
+def route_figures(total: Total) -> list[Column]:
+    flights, cancelled = total("flights"), total("cancelled")
+    return [
         flights.alias("total_flights"),
-        _mean("air_time").alias("avg_air_time_mins"),
+        _mean("air_time", total).alias("avg_air_time_mins"),
         cancelled.alias("total_cancelled"),
         percent(cancelled, flights).alias("cancellation_rate_pct"),
-        _mean("dep_delay").alias("avg_dep_delay_mins"),
-        _mean("arr_delay").alias("avg_arr_delay_mins"),
-    )
+        _mean("dep_delay", total).alias("avg_dep_delay_mins"),
+        _mean("arr_delay", total).alias("avg_arr_delay_mins"),
+    ]
 
 
-def _departures(base: DataFrame) -> DataFrame:
-    return base.groupBy(
-        F.col("origin").alias("airport_code"), F.col("origin_city_name").alias("city_name")
-    ).agg(
-        F.sum("flights").alias("total_departures"),
-        _mean("taxi_out").alias("avg_taxi_out_mins"),
-        _mean("dep_delay").alias("avg_dep_delay_mins"),
-        F.sum("diverted").alias("total_diverted"),
-    )
+def delay_by_carrier(base: DataFrame) -> DataFrame:
+    """Mart of the same name, from the base."""
+    return base.groupBy(*MONTH_CARRIER).agg(*delay_figures(F.sum))
 
 
-def _arrivals(base: DataFrame, by_city: bool) -> DataFrame:
-    keys = [F.col("dest").alias("airport_code")]
-    if by_city:
-        keys.append(F.col("dest_city_name").alias("city_name"))
-    return base.groupBy(*keys).agg(
-        F.sum("flights").alias("total_arrivals"),
-        _mean("taxi_in").alias("avg_taxi_in_mins"),
-        _mean("arr_delay").alias("avg_arr_delay_mins"),
-    )
+def root_causes(base: DataFrame) -> DataFrame:
+    """Mart of the same name, from the base."""
+    return base.where(F.col("late_flights") > 0).groupBy(*CARRIER).agg(*cause_figures(F.sum))
+
+
+def flights_by_carrier(base: DataFrame) -> DataFrame:
+    """Mart of the same name, from the base."""
+    return base.groupBy(*CARRIER).agg(*carrier_figures(F.sum))
+
+
+def route_performance(base: DataFrame) -> DataFrame:
+    """Mart of the same name, from the base."""
+    return base.groupBy(*ROUTE).agg(*route_figures(F.sum))
 
 
 def top_carrier(base: DataFrame) -> DataFrame:
@@ -136,12 +141,12 @@ def top_carrier(base: DataFrame) -> DataFrame:
 
 def airport_bottlenecks(base: DataFrame) -> DataFrame:
     """Mart of the same name, from the base."""
-    return combine_bottlenecks(_departures(base), _arrivals(base, by_city=True))
+    return bottlenecks_of(airport_sums(base, cities=True, leaders=False))
 
 
 def airport_detail(base: DataFrame) -> DataFrame:
     """Mart of the same name, from the base."""
-    return combine_detail(_departures(base), _arrivals(base, by_city=False), top_carrier(base))
+    return detail_of(airport_sums(base, cities=False, leaders=True))
 
 
 MARTS = {

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.operators.quality import WriteChecks
 from skyledger.operators.silver import build_silver
 from skyledger.operators.staging import staging_view, text_staging
 from skyledger.plans import base as base_marts
+from skyledger.plans import cells as cell_marts
 from skyledger.sources.landing import landing_months, read_landing_months
 from skyledger.sources.lookups import Lookups
 from skyledger.sources.tables import (
@@ -120,18 +122,21 @@ def refresh_marts(
     silver: str,
     folder: str,
     months: Iterable[Month] | None = None,
+    checks: WriteChecks | None = None,
 ) -> None:
     """Rewrite the six marts, scanning only the flights of changed months.
 
     The base aggregate is kept as a monthly table. With ``months`` only those
     months of it are computed again, and emptied if silver holds no row of
-    them; without, all of it is. The marts then roll up the whole base.
+    them; without, all of it is. The marts then roll up the whole base. ``checks``
+    ride on the writes: those on staging cover the flights that were scanned.
     """
     flights = read_silver(spark, silver)
     if months is not None:
         months = set(months)
         flights = flights.where(month_filter(months))
-    base = base_marts.flight_base(staging_view(flights))
+    staging = staging_view(flights)
+    base = base_marts.flight_base(checks.watch(staging, "staging") if checks else staging)
     stored = base.withColumnsRenamed({"flight_year": "year", "flight_month": "month"})
     if months is None:
         replace_all(stored, f"{folder}/flight_base")
@@ -141,12 +146,33 @@ def refresh_marts(
         {"year": "flight_year", "month": "flight_month"}
     )
 
+    _write_marts(whole, base_marts.MARTS, folder, checks)
+
+
+def rebuild_marts(
+    spark: SparkSession, silver: str, folder: str, checks: WriteChecks | None = None
+) -> None:
+    """Rewrite the six marts from one reading of all flights, by grouping sets.
+
+    For a build of everything, where no base is kept: the cells are far fewer rows.
+    """
+    staging = staging_view(read_silver(spark, silver))
+    cells = cell_marts.mart_cells(checks.watch(staging, "staging") if checks else staging)
+    cells.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/mart_cells")
+    whole = spark.read.schema(cells.schema).parquet(f"{folder}/mart_cells")
+    _write_marts(whole, cell_marts.MARTS, folder, checks)
+
+
+def _write_marts(
+    source: DataFrame, marts: Mapping[str, Callable], folder: str, checks: WriteChecks | None
+) -> None:
     def write(name: str) -> None:
-        write_mart(base_marts.MARTS[name](whole), f"{folder}/{name}")
+        mart = marts[name](source)
+        write_mart(checks.watch(mart, name) if checks else mart, f"{folder}/{name}")
 
     # Small independent jobs: side by side, none waits for another's last task.
     with ThreadPoolExecutor(MARTS_AT_ONCE) as pool:
-        list(pool.map(write, base_marts.MARTS))
+        list(pool.map(write, marts))
 
 
 def read_marts(spark: SparkSession, folder: str, cache: bool = False) -> dict[str, DataFrame]:

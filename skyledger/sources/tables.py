@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.parsing import whole_number
@@ -118,6 +118,69 @@ def write_clustered(
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+#: Rows whose keys set the bounds of an interleaved layout, and bits of each key.
+#: The sample shapes files only; what is stored and found does not depend on it.
+LAYOUT_ROWS, LAYOUT_BITS = 10_000, 6
+
+
+def _buckets(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Each key's place among the quantiles of a sample: 0 to 2 ** LAYOUT_BITS - 1."""
+    drawn = df.select(*keys).orderBy(F.xxhash64(*keys, F.monotonically_increasing_id())).limit(LAYOUT_ROWS)
+    rows = drawn.collect()
+
+    def tree(value: Column, bounds: list, low: int, high: int) -> Column:
+        """Number of bounds up to the value, by halving: few comparisons a row."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(bounds[middle]), tree(value, bounds, low, middle)).otherwise(
+            tree(value, bounds, middle + 1, high)
+        )
+
+    places = []
+    for key in keys:
+        known = sorted(r[key] for r in rows if r[key] is not None)
+        at = [k * len(known) >> LAYOUT_BITS for k in range(1, 1 << LAYOUT_BITS)] if known else []
+        bounds = sorted({known[k] for k in at})
+        places.append(F.when(F.col(key).isNull(), F.lit(0)).otherwise(tree(F.col(key), bounds, 0, len(bounds))))
+    return places
+
+
+def interleaved(places: Sequence[Column]) -> Column:
+    """One number of the bits of all places in turn, the highest first."""
+    total = F.lit(0)
+    for bit in range(LAYOUT_BITS):
+        for k, place in enumerate(places):
+            taken = F.shiftright(place, bit).bitwiseAND(1)
+            total = total + F.shiftleft(taken, bit * len(places) + len(places) - 1 - k)
+    return total
+
+
+def write_interleaved(
+    df: DataFrame,
+    path: str,
+    partition: Sequence[str] = MONTH_KEYS,
+    keys: Sequence[str] = CLUSTER_KEYS,
+    files: int | None = None,
+) -> None:
+    """Partitioned table whose files hold narrow ranges of every key at once.
+
+    A table ranged by one key after the other keeps only the first key together. Here
+    the bits of the keys' quantiles alternate, so a file is a small box in all of them
+    and a look-up by any one key alone skips most files, too. Bloom filters let it skip
+    row groups whose range holds the key but whose rows do not. ``files`` is the number
+    of ranges the whole table is cut into.
+    """
+    place = interleaved(_buckets(df, keys))
+    placed = df.withColumn("layout", place)
+    by = [*partition, "layout", *keys]
+    ranged = placed.repartitionByRange(files, *by) if files else placed.repartitionByRange(*by)
+    writer = ranged.sortWithinPartitions(*by).drop("layout").write.partitionBy(*partition)
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_mart(df: DataFrame, path: str) -> None:
     """Replace a mart as a whole."""
     df.write.mode("overwrite").parquet(path)

@@ -14,17 +14,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.operators.sampling import with_draw
 from skyledger.operators.silver import build_silver, enriched, filled
 from skyledger.operators.staging import staging_view
 from skyledger.schema import FLIGHT_COLUMNS
 from skyledger.plans.base import flight_base
+from skyledger.plans.cells import mart_cells
 from skyledger.sources.lookups import Lookups
 from skyledger.sources.tables import stored
 
 FLIGHTS = """
 with b as (
   select l_orderkey as ok, l_partkey as pk, l_suppkey as sk, l_linenumber as ln,
-         cast(l_quantity as int) as q, l_returnflag as rf, cast(l_shipdate as date) as d
+         cast(l_quantity as int) as q, l_returnflag as rf, cast(l_shipdate as date) as d{KEEP}
   from {LINEITEM}),
 k as (
   select *, (rf = 'R' and q <= 3) as canc, (rf = 'A' and q = 50) as divd,
@@ -68,7 +70,7 @@ select
   cast(case when ad >= 15 then ad {DIV} 100 end as int) as security_delay,
   cast(case when ad >= 15
        then ad - ad {DIV} 3 - ad {DIV} 10 - ad {DIV} 5 - ad {DIV} 100 end as int)
-    as late_aircraft_delay
+    as late_aircraft_delay{KEEP}
 from t
 """
 
@@ -76,9 +78,9 @@ SPARK_MARKS = {"DOW": "weekday(d) + 1", "STR": "string", "DIV": "div"}
 ORACLE_MARKS = {"DOW": "isodow(d)", "STR": "varchar", "DIV": "//"}
 
 
-def flights_sql(marks: dict[str, str], lineitem: str) -> str:
-    """The flight query in one engine's spelling."""
-    return FLIGHTS.format(LINEITEM=lineitem, **marks)
+def flights_sql(marks: dict[str, str], lineitem: str, keep: str = "") -> str:
+    """The flight query in one engine's spelling, with a further column if asked."""
+    return FLIGHTS.format(LINEITEM=lineitem, KEEP=f", {keep}" if keep else "", **marks)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,10 +88,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed flights as derived, before they become landing text."""
+def source_flights(spark: SparkSession, sf_dir: str, draws: bool = False) -> DataFrame:
+    """Typed flights as derived, before they become landing text.
+
+    The file is one row group, read by one task; its rows are dealt out first, so that
+    all tasks derive flights. With ``draws`` every flight has the ``draw`` of its row,
+    and stays where it was read.
+    """
     rows = table(spark, sf_dir, "lineitem")
-    return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}"), lineitem=rows)
+    if draws:
+        drawn = with_draw(rows, file=F.col("_metadata.file_name"))
+        return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}", "draw"), lineitem=drawn)
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+    dealt = rows.select(*used).repartition("l_orderkey", "l_linenumber")
+    return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}"), lineitem=dealt)
 
 
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +176,11 @@ def stored_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(flight_base(staging(spark, sf_dir)), "flight-base")
 
 
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all grouping sets behind the marts, built from the flights and stored."""
+    return stored(mart_cells(staging(spark, sf_dir)), "mart-cells")
+
+
 def write_landing_files(landing: DataFrame, root: str) -> None:
     """Landing CSV named after its month, one part per month and writing task.
 

@@ -7,9 +7,10 @@ from skyledger.functions.figures import CANCELLATION_LABELS, MONTH_NAMES, WEEKDA
 from skyledger.operators.marts import SHOWN_BY
 from skyledger.operators.profile import FLAGS, NUMERIC
 from skyledger.operators.quality import NOT_NULL, UNIQUE
+from skyledger.plans.moments import DESCRIBED
 from skyledger.schema import CAUSES, FLIGHT_COLUMNS, STAGING_COLUMNS, staging_type
 from verification.fixture import ORACLE_MARKS, flights_sql
-from verification.registry import AIRPORT, MONTH, SAMPLE_SIZE, SAMPLES, VOLUMES, YEAR
+from verification.registry import AIRPORT, MONTH, SAMPLE_SIZE, SAMPLES, STORED_SAMPLES, VOLUMES, YEAR
 
 
 def rnd(value: str, places: int = 2) -> str:
@@ -112,6 +113,40 @@ def sample_sql(name: str) -> str:
     )
 
 
+def stored_sample_sql(name: str) -> str:
+    """The lowest draws: digests of the file's name, the row's place in it and the seed."""
+    columns = SAMPLES[name]
+    kept = "true" if name == "sample_flights" else " and ".join(f"{c} is not null" for c in columns)
+    placed = """(select *, md5('lineitem.parquet|' || cast(place as varchar) || '|42') as draw
+      from (select *, row_number() over () - 1 as place from lineitem))"""
+    return f"""select {", ".join(columns)} from ({flights_sql(ORACLE_MARKS, placed, "draw")})
+      where {kept} order by draw limit {SAMPLE_SIZE}"""
+
+
+def figures_sql(columns: list[str], where: str = "") -> str:
+    """Minimum, mean, maximum and deviation of each column, one row each."""
+    return each(
+        [
+            f"""select '{name}' as column_name, {rnd(f"min({c})")} as min_value,
+            {rnd(f"avg({c})")} as mean_value, {rnd(f"max({c})")} as max_value,
+            {rnd(f"stddev_samp({c})")} as std_value from flights {where}"""
+            for name, c in {n: f"cast({n} as int)" for n in columns}.items()
+        ]
+    )
+
+
+def corr_sql(where: str = "") -> str:
+    """Correlation of every two chosen columns."""
+    return each(
+        [
+            f"""select '{a}' as column_a, '{b}' as column_b,
+            {rnd(f"corr({a}, {b})", 6)} as correlation from flights {where}"""
+            for a in CHOSEN
+            for b in CHOSEN
+        ]
+    )
+
+
 MARTS = {
     "delay_by_carrier": f"""select flight_year, flight_month, reporting_airline,
       count(*) as total_flights, {big("sum(cast(cancelled as bigint))")} as total_cancelled_flights,
@@ -273,6 +308,11 @@ CHOSEN = [*CAUSES, "arr_delay"]
 NULL_GROUPS = [*CAUSES, "cancellation_code", "dep_time", "arr_time"]
 
 
+ACCEPTED_ROWS = """select 'accepted_values' as check_name, 'staging' as table_name,
+  'delay_category' as column_name, count(distinct delay_category) filter
+  (delay_category not in ('No Delay', 'Minor', 'Major', 'Severe')) as failures from stg"""
+
+
 def clock(hhmm: str) -> str:
     return (
         f"case when {hhmm} >= 0 and {hhmm} <= 2400 and {hhmm} % 100 < 60 then cast(flight_date as timestamp)"
@@ -297,7 +337,7 @@ _base_tiers = {
 def oracle_sql() -> dict[str, str]:
     """SQL per query name."""
     sql = {name: over(STG, text) for name, text in MARTS.items()}
-    sql |= {f"{name}_from_base": text for name, text in list(sql.items())}
+    sql |= {f"{name}_{way}": text for way in ("from_base", "from_cells") for name, text in sql.items()}
     sql |= {
         "bronze_roundtrip": over(F, LANDING),
         "scan_month": over(F, f"{LANDING} where year = {YEAR} and month = {MONTH}"),
@@ -326,6 +366,9 @@ def oracle_sql() -> dict[str, str]:
             SILVER,
             f"select * from silver where reporting_airline = 'C03' and origin = '{AIRPORT}'",
         ),
+        "interleaved_scan": over(
+            SILVER, f"select * from silver where year = {YEAR} and origin = '{AIRPORT}'"
+        ),
         "clustered_day": over(
             SILVER, f"select * from silver where flight_date = date '{YEAR}-03-15'"
         ),
@@ -397,12 +440,15 @@ def oracle_sql() -> dict[str, str]:
         ),
         "root_causes_ranked": ranked_sql("root_causes"),
         "airport_detail_ranked": ranked_sql("airport_detail"),
-        "mart_refresh": over(
-            STG,
-            " union all ".join(
-                f"""select '{name}' as mart, count(*) as row_count,
-                {big(f"sum({volume})")} as volume from ({MARTS[name]})"""
-                for name, volume in VOLUMES.items()
+        **dict.fromkeys(
+            ("mart_refresh", "mart_rebuild"),
+            over(
+                STG,
+                " union all ".join(
+                    f"""select '{name}' as mart, count(*) as row_count,
+                    {big(f"sum({volume})")} as volume from ({MARTS[name]})"""
+                    for name, volume in VOLUMES.items()
+                ),
             ),
         ),
         "kpi": kpi_sql(""),
@@ -454,17 +500,8 @@ def oracle_sql() -> dict[str, str]:
         "row_counts": over(
             F, "select count(*) as row_count, cast(28 as int) as column_count from flights"
         ),
-        "describe": over(
-            F,
-            each(
-                [
-                    f"""select '{name}' as column_name, {rnd(f"min({c})")} as min_value,
-                    {rnd(f"avg({c})")} as mean_value, {rnd(f"max({c})")} as max_value,
-                    {rnd(f"stddev_samp({c})")} as std_value from flights"""
-                    for name, c in {n: f"cast({n} as int)" for n in NUMERIC + FLAGS}.items()
-                ]
-            ),
-        ),
+        "describe": over(F, figures_sql(NUMERIC + FLAGS)),
+        "describe_merged": over(F, figures_sql(DESCRIBED, f"where year = {YEAR}")),
         "null_profile": over(F, f"select * from ({null_rows()}) where null_count > 0"),
         "critical_nulls": over(
             F,
@@ -492,6 +529,23 @@ def oracle_sql() -> dict[str, str]:
                 for c in ("year", "month", "origin")
             ),
         ),
+        "distinct_counts_merged": over(
+            F,
+            " union all ".join(
+                f"""select count(distinct reporting_airline) as reporting_airline_count,
+                count(distinct origin) as origin_count, count(distinct dest) as dest_count,
+                cast({year} as int) as year from flights {where}"""
+                for year, where in (("null", ""), (YEAR, f"where year = {YEAR}"))
+            ),
+        ),
+        "preview": over(
+            F, f"select * from flights order by {', '.join(f'{n} nulls first' for _, n, _ in FLIGHT_COLUMNS)} limit 5"
+        ),
+        "missing_months": over(
+            F,
+            f"""select cast(month as varchar) as month_text, count(*) as flight_count, true as refused
+            from flights where year = {YEAR} and month <> {MONTH} group by month""",
+        ),
         "distinct_counts": over(
             F,
             """select count(distinct reporting_airline) as reporting_airline_count,
@@ -574,17 +628,9 @@ def oracle_sql() -> dict[str, str]:
                 ]
             ),
         ),
-        "delay_corr": over(
-            F,
-            each(
-                [
-                    f"""select '{a}' as column_a, '{b}' as column_b,
-                    {rnd(f"corr({a}, {b})", 6)} as correlation from flights"""
-                    for a in CHOSEN
-                    for b in CHOSEN
-                ]
-            ),
-        ),
+        "delay_corr": over(F, corr_sql()),
+        "delay_corr_merged": over(F, corr_sql(f"where year = {YEAR}")),
+        **{name: stored_sample_sql(like) for name, like in STORED_SAMPLES.items()},
         **{name: sample_sql(name) for name in SAMPLES},
         "outlier_counts": over(
             F,
@@ -606,11 +652,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dq_not_null": over(ALL_MARTS, not_null_rows()),
         "dq_unique": over(ALL_MARTS, unique_rows()),
-        "dq_accepted": over(
-            STG,
-            """select 'accepted_values' as check_name, 'staging' as table_name,
-            'delay_category' as column_name, count(distinct delay_category) filter
-            (delay_category not in ('No Delay', 'Minor', 'Major', 'Severe')) as failures from stg""",
+        "dq_accepted": over(STG, ACCEPTED_ROWS),
+        "dq_on_write": over(
+            ALL_MARTS,
+            f"""select * from ({not_null_rows()}) union all select * from ({unique_rows()})
+            union all {ACCEPTED_ROWS}""",
         ),
         "dq_row_counts": over(
             F,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import delays, figures, parsing
 from skyledger.operators import marts, profile, quality, reports, sampling
 from skyledger.operators.staging import register_staging, text_staging
-from skyledger.plans import base, monthly
+from skyledger.plans import base, cells, moments, monthly, sketches
 from skyledger.schema import FLIGHT_TYPES
 from skyledger.session import configure
 from skyledger.sources import landing as landing_files
@@ -34,6 +34,8 @@ SAMPLES = {
     "sample_times": ["air_time", "actual_elapsed_time"],
     "sample_flights": list(FLIGHT_TYPES),
 }
+# The same samples of rows as they are stored.
+STORED_SAMPLES = {f"stored_{name}": name for name in SAMPLES}
 
 # What each mart counts.
 VOLUMES = {"delay_by_carrier": "total_flights"} | {k: v[0] for k, v in marts.SHOWN_BY.items()}
@@ -92,6 +94,24 @@ def lookup_publish(spark, sf_dir):
     )
 
 
+@query
+def missing_months(spark, sf_dir):
+    """A year whose landing files lack a month: refused by default, or read without it."""
+    root = tables.work_folder(spark, "landing")
+    year = fixture.landing(spark, sf_dir).where((F.col("Year") == str(YEAR)) & (F.col("Month") != str(MONTH)))
+    fixture.write_landing_files(year, root)
+    months = monthly.months_between((YEAR, 1), (YEAR, 12))
+    try:
+        landing_files.read_landing_months(spark, root, months)
+        refused = False
+    except FileNotFoundError:
+        refused = True
+    rows = landing_files.read_landing_months(spark, root, months, "skip")
+    return rows.groupBy(F.col("Month").alias("month_text")).agg(
+        F.count("*").alias("flight_count"), F.lit(refused).alias("refused")
+    )
+
+
 def _text_table(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "raw")
     for _ in range(2):
@@ -171,6 +191,15 @@ def clustered_scan(spark, sf_dir):
     )
 
 
+@query
+def interleaved_scan(spark, sf_dir):
+    """Look-up by one cluster key alone, the second, of the interleaved table."""
+    path = tables.work_folder(spark, "interleaved")
+    year = fixture.silver(spark, sf_dir).where(F.col("year") == YEAR)
+    tables.write_interleaved(year, path, ["year"])
+    return tables.read_silver(spark, path).where(F.col("origin") == AIRPORT)
+
+
 @query
 def clustered_day(spark, sf_dir):
     """One day of a table partitioned by flight date."""
@@ -326,6 +355,10 @@ def _register_marts() -> None:
         QUERIES[f"{name}_from_base"] = lambda spark, sf_dir, b=build: b(
             fixture.stored_base(configure(spark), sf_dir)
         )
+    for name, build in cells.MARTS.items():
+        QUERIES[f"{name}_from_cells"] = lambda spark, sf_dir, b=build: b(
+            fixture.stored_cells(configure(spark), sf_dir)
+        )
 
 
 _register_marts()
@@ -344,7 +377,7 @@ def top_carrier(spark, sf_dir):
 
 
 def _mart(name: str, spark, sf_dir) -> DataFrame:
-    return base.MARTS[name](fixture.stored_base(spark, sf_dir))
+    return marts.MARTS[name](fixture.staging(spark, sf_dir))
 
 
 def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -383,15 +416,26 @@ def mart_refresh(spark, sf_dir):
     months = monthly.months_between((YEAR, 1), (YEAR, 12))
     monthly.refresh_marts(spark, silver_path, folder, months)
     stored = monthly.read_marts(spark, folder)
-    sums = [
+    return _sums(stored)
+
+
+def _sums(stored: dict[str, DataFrame]) -> DataFrame:
+    """Rows and volume of stored marts."""
+    parts = [
         stored[name].agg(
-            F.lit(name).alias("mart"),
-            F.count("*").alias("row_count"),
-            F.sum(volume).alias("volume"),
+            F.lit(name).alias("mart"), F.count("*").alias("row_count"), F.sum(volume).alias("volume")
         )
         for name, volume in VOLUMES.items()
     ]
-    return reduce(DataFrame.unionByName, sums)
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def mart_rebuild(spark, sf_dir):
+    """Marts stored from one reading of stored silver; rows and volume of each."""
+    silver_path, folder = _monthly_silver(spark, sf_dir), tables.work_folder(spark, "marts")
+    monthly.rebuild_marts(spark, silver_path, folder)
+    return _sums(monthly.read_marts(spark, folder))
 
 
 # --- reports ----------------------------------------------------------------
@@ -490,6 +534,7 @@ def _register_profile() -> None:
         "delay_corr": profile.delay_corr,
         "outlier_counts": profile.outlier_counts,
         "taxi_time": profile.taxi_time,
+        "preview": lambda f: profile.preview(f, f.columns),
         "sample_pairs": lambda f: sampling.sample_rows(f, SAMPLES["sample_pairs"], SAMPLE_SIZE),
         "sample_times": lambda f: sampling.sample_rows(f, SAMPLES["sample_times"], SAMPLE_SIZE),
         "sample_flights": lambda f: sampling.sample_rows(
@@ -500,11 +545,49 @@ def _register_profile() -> None:
         QUERIES[name] = lambda spark, sf_dir, b=build: b(
             fixture.source_flights(configure(spark), sf_dir)
         )
+    for name, like in STORED_SAMPLES.items():
+        QUERIES[name] = lambda spark, sf_dir, n=like: sampling.lowest_draws(
+            fixture.source_flights(configure(spark), sf_dir, draws=True),
+            SAMPLES[n], SAMPLE_SIZE, keep_nulls=n == "sample_flights",
+        )
 
 
 _register_profile()
 
 
+def _changed_year(spark, sf_dir, refresh: Callable[..., None], name: str, **options) -> str:
+    """A monthly table of a first load without the year, then the year alone."""
+    flights, path = fixture.source_flights(spark, sf_dir), tables.work_folder(spark, name)
+    refresh(flights.where(F.col("year") != YEAR), path, **options)
+    refresh(flights, path, monthly.months_between((YEAR, 1), (YEAR, 12)), **options)
+    return path
+
+
+@query
+def distinct_counts_merged(spark, sf_dir):
+    """Distinct counts of all years and of one, from sketches by month."""
+    path = _changed_year(spark, sf_dir, sketches.refresh_sketches, "sketches")
+    parts = [
+        sketches.distinct_estimates(spark, path, year).withColumn("year", F.lit(year).cast("int"))
+        for year in (None, YEAR)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def describe_merged(spark, sf_dir):
+    """Column figures of one year, from sums by month."""
+    path = _changed_year(spark, sf_dir, moments.refresh_moments, "moments", correlated=[])
+    return moments.describe(spark, path, YEAR)
+
+
+@query
+def delay_corr_merged(spark, sf_dir):
+    """Correlations of one year, from sums by month."""
+    path = _changed_year(spark, sf_dir, moments.refresh_moments, "moments", described=[])
+    return moments.correlation(spark, path, YEAR)
+
+
 # --- quality ----------------------------------------------------------------
 
 
@@ -532,6 +615,15 @@ def dq_accepted(spark, sf_dir):
     return quality.accepted_suite(_checked_tables(spark, sf_dir))
 
 
+@query
+def dq_on_write(spark, sf_dir):
+    """All 18 checks, counted by the jobs that write the marts."""
+    silver_path, folder = _monthly_silver(spark, sf_dir), tables.work_folder(spark, "marts")
+    checks = quality.WriteChecks()
+    monthly.rebuild_marts(spark, silver_path, folder, checks)
+    return checks.report(spark)
+
+
 @query
 def dq_row_counts(spark, sf_dir):
     """Rows per month of the stored text table, bronze and silver."""
