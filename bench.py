@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from skyledger.operators import marts  # noqa: E402
+from skyledger.operators import marts, quality  # noqa: E402
 from skyledger.operators.staging import staging_view  # noqa: E402
 from skyledger.plans import monthly  # noqa: E402
 from skyledger.session import configure  # noqa: E402
@@ -39,6 +39,7 @@ HEADLINE = [
     "hist_distance",
     "delay_corr",
     "sample_pairs",
+    "stored_sample_pairs",
     "clustered_scan",
     "dq_unique",
 ]
@@ -81,6 +82,10 @@ def main() -> None:
     for name, build in marts.MARTS.items():
         jobs[f"stored_{name}"] = lambda b=build: run(b(stored_silver()))
     jobs["six_marts_direct"] = six_direct
+    jobs["six_marts_from_cells"] = lambda: monthly.rebuild_marts(spark, silver, f"{folder}/cells")
+    jobs["six_marts_with_checks"] = lambda: monthly.rebuild_marts(
+        spark, silver, f"{folder}/checked", quality.WriteChecks()
+    )
     jobs["six_marts_from_base"] = lambda: monthly.refresh_marts(spark, silver, f"{folder}/base")
 
     times = {}

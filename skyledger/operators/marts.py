@@ -8,6 +8,8 @@ aggregate by month, ``skyledger.plans.cells`` from one set of partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,54 +140,84 @@ def top_carriers(counts: DataFrame) -> DataFrame:
     )
 
 
-# What is added up on either side of an airport.
+# The groups that make up the two sides of an airport, and what is added up in them.
+LEAVING, ARRIVING = ["origin", "origin_city_name"], ["dest"]
+ARRIVING_CITY, AIRPORT_CARRIER = ["dest", "dest_city_name"], ["origin", "reporting_airline"]
+AVERAGED_SIDES = ["taxi_out", "taxi_in", "dep_delay", "arr_delay"]
 SIDE_SUMS = ["flights", "taxi_sum", "taxi_n", "delay_sum", "delay_n", "diverted"]
+# Group key, city or airline, and the columns averaged, by side.
+ROLES = {
+    "leaving": ("origin", "origin_city_name", "taxi_out", "dep_delay"),
+    "arriving": ("dest", "dest_city_name", "taxi_in", "arr_delay"),
+    "carrier": ("origin", "reporting_airline", "taxi_out", "dep_delay"),
+}
 
 
-def flight_measures(staging: DataFrame) -> DataFrame:
-    """The flights with the columns both airport marts add up, one flight a row."""
-    averaged = ["taxi_out", "taxi_in", "dep_delay", "arr_delay"]
-    return staging.select(
-        "origin", "origin_city_name", "dest", "dest_city_name", "reporting_airline",
-        F.lit(1).cast("bigint").alias("flights"),
-        F.col("diverted").cast("bigint").alias("diverted"),
-        *[F.col(c).cast("bigint").alias(f"{c}_sum") for c in averaged],
-        *[F.col(c).isNotNull().cast("bigint").alias(f"{c}_n") for c in averaged],
-    )
+def grouping_sets(rows: DataFrame, sets: dict[str, list[str]], sums: list[Column]) -> DataFrame:
+    """One aggregate over several groupings; ``cell`` names the one a row belongs to.
 
+    Every row counts once per grouping where it is read, and only partial sums are
+    shuffled. Keys that are not of a row's grouping are null; a null among those that
+    are is a group of its own.
+    """
+    keys = list(dict.fromkeys(key for kept in sets.values() for key in kept))
+    last = len(keys) - 1
+    # Spark's number of a grouping: a bit for every key left out, the first key highest.
+    number = {name: sum(1 << (last - k) for k, key in enumerate(keys) if key not in kept) for name, kept in sets.items()}
+    grouped = rows.groupingSets([[F.col(key) for key in kept] for kept in sets.values()], *keys)
+    named = F.create_map(*[F.lit(x) for name in sets for x in (number[name], name)])
+    counted = grouped.agg(F.grouping_id().cast("int").alias("set"), *sums)
+    return counted.withColumn("cell", named[F.col("set")]).drop("set")
+
+
+def side_measures() -> list[Column]:
+    """What both airport marts add up, over staging rows."""
+    return [
+        F.count("*").alias("flights"),
+        flag_total(F.col("diverted")).alias("diverted"),
+        *[F.sum(c).alias(f"{c}_sum") for c in AVERAGED_SIDES],
+        *[F.count(c).alias(f"{c}_n") for c in AVERAGED_SIDES],
+    ]
 
-def airport_sums(measures: DataFrame, cities: bool, leaders: bool) -> DataFrame:
-    """Both sides of every airport, from one reading of the flights.
 
-    Each row takes part twice where it is read, as a departure and as an arrival,
-    and a third time by its airline if ``leaders`` are asked for. Partial sums by
-    airport, side and city (arrivals by city only if ``cities``) or airline are the
-    only rows shuffled. What is finished, a few rows an airport, meets by airport:
-    ``leaving`` and ``arriving`` sides and the ``top_carrier``.
+def airport_sums(rows: DataFrame, sums: list[Column], cities: bool, leaders: bool) -> DataFrame:
+    """Both sides of every airport, from one reading of the rows.
+
+    Arrivals are summed by city only if ``cities``, departures by airline, too, if
+    ``leaders`` are asked for.
     """
+    sets = {"leaving": LEAVING, "arriving": ARRIVING_CITY if cities else ARRIVING}
+    if leaders:
+        sets["carrier"] = AIRPORT_CARRIER
+    return sides(grouping_sets(rows, sets, sums), {name: name for name in sets})
 
-    def role(side: str, airport: str, part: Column, way: str, delay: str) -> Column:
-        return F.struct(
-            F.lit(side).alias("side"),
-            F.col(airport).alias("airport_code"),
-            part.cast("string").alias("part"),
-            F.col("flights").alias("flights"),
-            *[F.col(f"{way}_{x}").alias(f"taxi_{x}") for x in ("sum", "n")],
-            *[F.col(f"{delay}_{x}").alias(f"delay_{x}") for x in ("sum", "n")],
-            F.col("diverted").alias("diverted"),
-        )
 
-    arriving_city = F.col("dest_city_name") if cities else F.lit(None)
-    roles = [
-        role("leaving", "origin", F.col("origin_city_name"), "taxi_out", "dep_delay"),
-        role("arriving", "dest", arriving_city, "taxi_in", "arr_delay"),
-    ]
-    if leaders:
-        roles.append(role("carrier", "origin", F.col("reporting_airline"), "taxi_out", "dep_delay"))
+def sides(cells: DataFrame, cell_of: dict[str, str]) -> DataFrame:
+    """The sides of every airport from finished groups, named per side by ``cell_of``."""
+
+    def by_side(column: Callable[[str], Column]) -> Column:
+        chosen = F.lit(None)
+        for side, cell in cell_of.items():
+            chosen = F.when(F.col("cell") == cell, column(side)).otherwise(chosen)
+        return chosen
+
+    def key(side: str, place: int) -> Column:
+        name = ROLES[side][place]
+        return F.col(name) if name in cells.columns else F.lit(None).cast("string")
+
+    def average(side: str, place: int, part: str) -> Column:
+        return F.col(f"{ROLES[side][place]}_{part}")
+
     return meeting(
-        measures.select(F.inline(F.array(*roles)))
-        .groupBy("airport_code", "side", "part")
-        .agg(*[F.sum(c).alias(c) for c in SIDE_SUMS])
+        cells.where(F.col("cell").isin(*cell_of.values())).select(
+            by_side(F.lit).alias("side"),
+            by_side(lambda s: key(s, 0)).alias("airport_code"),
+            by_side(lambda s: key(s, 1)).alias("part"),
+            "flights",
+            *[by_side(lambda s, x=x: average(s, 2, x)).alias(f"taxi_{x}") for x in ("sum", "n")],
+            *[by_side(lambda s, x=x: average(s, 3, x)).alias(f"delay_{x}") for x in ("sum", "n")],
+            "diverted",
+        )
     )
 
 
@@ -265,12 +297,12 @@ def detail_of(sides: DataFrame) -> DataFrame:
 
 def airport_bottlenecks(staging: DataFrame) -> DataFrame:
     """Traffic, taxi times and delays by airport."""
-    return bottlenecks_of(airport_sums(flight_measures(staging), cities=True, leaders=False))
+    return bottlenecks_of(airport_sums(staging, side_measures(), cities=True, leaders=False))
 
 
 def airport_detail(staging: DataFrame) -> DataFrame:
     """Traffic, taxi times, delays, diversions and top carrier by airport."""
-    return detail_of(airport_sums(flight_measures(staging), cities=False, leaders=True))
+    return detail_of(airport_sums(staging, side_measures(), cities=False, leaders=True))
 
 
 # Order in which a mart is shown, busiest first; codes settle ties.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.delays import arrived_late
 from skyledger.functions.figures import flag_total, mean, percent
 from skyledger.operators.marts import (
+    AVERAGED_SIDES,
     CARRIER,
     MONTH_CARRIER,
     ROUTE,
@@ -139,14 +140,19 @@ def top_carrier(base: DataFrame) -> DataFrame:
     return top_carriers(counts)
 
 
+def _side_sums() -> list[Column]:
+    names = ["flights", "diverted", *[f"{c}_{x}" for c in AVERAGED_SIDES for x in ("sum", "n")]]
+    return [F.sum(name).alias(name) for name in names]
+
+
 def airport_bottlenecks(base: DataFrame) -> DataFrame:
     """Mart of the same name, from the base."""
-    return bottlenecks_of(airport_sums(base, cities=True, leaders=False))
+    return bottlenecks_of(airport_sums(base, _side_sums(), cities=True, leaders=False))
 
 
 def airport_detail(base: DataFrame) -> DataFrame:
     """Mart of the same name, from the base."""
-    return detail_of(airport_sums(base, cities=False, leaders=True))
+    return detail_of(airport_sums(base, _side_sums(), cities=False, leaders=True))
 
 
 MARTS = {

@@ -11,37 +11,38 @@ so that one changed month can be summed again; the cells are for a build of ever
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.marts import CARRIER, MONTH_CARRIER, ROUTE, bottlenecks_of, detail_of, meeting
+from skyledger.operators.marts import (
+    AIRPORT_CARRIER,
+    ARRIVING,
+    ARRIVING_CITY,
+    CARRIER,
+    LEAVING,
+    MONTH_CARRIER,
+    ROUTE,
+    bottlenecks_of,
+    detail_of,
+    grouping_sets,
+    sides,
+)
 from skyledger.plans import base
 
 SETS = {
     "month_carrier": MONTH_CARRIER,
     "carrier": CARRIER,
     "route": ROUTE,
-    "leaving": ["origin", "origin_city_name"],
-    "arriving_city": ["dest", "dest_city_name"],
-    "arriving": ["dest"],
-    "airport_carrier": ["origin", "reporting_airline"],
+    "leaving": LEAVING,
+    "arriving_city": ARRIVING_CITY,
+    "arriving": ARRIVING,
+    "airport_carrier": AIRPORT_CARRIER,
 }
 
 
-def _grouping_id(kept: list[str]) -> int:
-    """Spark's number of a grouping set: a bit for every key left out, the first key highest."""
-    last = len(base.KEYS) - 1
-    return sum(1 << (last - k) for k, key in enumerate(base.KEYS) if key not in kept)
-
-
 def mart_cells(staging: DataFrame) -> DataFrame:
     """One row per group of every set: ``cell`` names the set, keys of others are null."""
-    sets = [[F.col(key) for key in kept] for kept in SETS.values()]
-    sums = staging.groupingSets(sets, *base.KEYS).agg(F.grouping_id().alias("set"), *base.measures())
-    named = F.create_map(*[F.lit(x) for name, kept in SETS.items() for x in (_grouping_id(kept), name)])
-    return sums.withColumn("cell", named[F.col("set").cast("int")]).drop("set")
+    return grouping_sets(staging, SETS, base.measures())
 
 
 def _of(cells: DataFrame, name: str) -> DataFrame:
@@ -69,42 +70,15 @@ def route_performance(cells: DataFrame) -> DataFrame:
     return _of(cells, "route").select(*ROUTE, *base.route_figures(F.col))
 
 
-def _sides(cells: DataFrame, leaving: str, arriving: str, carrier: str | None = None) -> DataFrame:
-    """The sides of every airport, from the sets that hold them."""
-    roles = {
-        leaving: ("leaving", "origin", F.col("origin_city_name"), "taxi_out", "dep_delay"),
-        arriving: ("arriving", "dest", F.col("dest_city_name"), "taxi_in", "arr_delay"),
-    }
-    if carrier:
-        roles[carrier] = ("carrier", "origin", F.col("reporting_airline"), "taxi_out", "dep_delay")
-
-    def by_role(column: Callable) -> Column:
-        chosen = F.lit(None)
-        for cell, role in roles.items():
-            chosen = F.when(F.col("cell") == cell, column(role)).otherwise(chosen)
-        return chosen
-
-    return meeting(
-        cells.where(F.col("cell").isin(*roles)).select(
-            by_role(lambda r: F.lit(r[0])).alias("side"),
-            by_role(lambda r: F.col(r[1])).alias("airport_code"),
-            by_role(lambda r: r[2]).alias("part"),
-            "flights",
-            *[by_role(lambda r, x=x: F.col(f"{r[3]}_{x}")).alias(f"taxi_{x}") for x in ("sum", "n")],
-            *[by_role(lambda r, x=x: F.col(f"{r[4]}_{x}")).alias(f"delay_{x}") for x in ("sum", "n")],
-            "diverted",
-        )
-    )
-
-
 def airport_bottlenecks(cells: DataFrame) -> DataFrame:
     """Mart of the same name, from the cells."""
-    return bottlenecks_of(_sides(cells, "leaving", "arriving_city"))
+    return bottlenecks_of(sides(cells, {"leaving": "leaving", "arriving": "arriving_city"}))
 
 
 def airport_detail(cells: DataFrame) -> DataFrame:
     """Mart of the same name, from the cells."""
-    return detail_of(_sides(cells, "leaving", "arriving", "airport_carrier"))
+    cell_of = {"leaving": "leaving", "arriving": "arriving", "carrier": "airport_carrier"}
+    return detail_of(sides(cells, cell_of))
 
 
 MARTS = {

@@ -8,7 +8,7 @@ from skyledger.operators.silver import build_silver
 from skyledger.plans.monthly import Month
 from skyledger.sources.landing import is_present, landing_files, read_landing_months
 from skyledger.sources.lookups import Lookups
-from skyledger.sources.tables import replace_months
+from skyledger.sources.tables import replace_months, stored
 
 LOADED = "path string, modified timestamp, length bigint"
 
@@ -36,19 +36,19 @@ def load_new_files(
     time, length); any state of a file not in it makes its month be read again,
     from all of its files, and replaced. Files that are gone change nothing.
 
-    The ledger is written after silver. A run that was broken off in between
-    loads the same months again, which leaves one copy.
+    The states found are stored before anything is read, and these very states are
+    written to the ledger after silver: a file that changes during the load is found
+    again by the next run, and one broken off in between loads the same months again,
+    which leaves one copy. File names stay in tables; only months reach the driver.
     """
     files = landing_files(spark, landing_root, ignore=ignore)
     changed = files.join(_loaded(spark, ledger), ["path", "modified", "length"], "left_anti")
-    # Names and states of what changed, taken now: files may change during the load.
-    states = changed.select("path", "modified", "length", "year", "month").collect()
-    months = sorted({(row.year, row.month) for row in states})
+    states = stored(changed.select("path", "modified", "length", "year", "month"), "changed-files")
+    months = sorted((row.year, row.month) for row in states.select("year", "month").distinct().collect())
     if not months:
         return []
     lists = lookups if lookups.is_counted else lookups.counted()
     landing = read_landing_months(spark, landing_root, months, ignore=ignore)
     replace_months(build_silver(landing, lists), silver, not lists.fit, months)
-    now = spark.createDataFrame([tuple(row)[:3] for row in states], LOADED)
-    now.write.mode("append").parquet(ledger)
+    states.select("path", "modified", "length").write.mode("append").parquet(ledger)
     return months

@@ -17,6 +17,7 @@ from skyledger.schema import LANDING_COLUMNS, SILVER_COLUMNS
 from skyledger.sources import landing as files
 from skyledger.sources import tables
 from skyledger.sources.lookups import Lookups, publish_lookups, read_lookup
+from skyledger.streaming import landing as arriving
 from skyledger.streaming.landing import load_new_files
 from tests import edge_rows
 
@@ -237,6 +238,26 @@ def test_new_and_corrected_files(spark, tmp_path, lists):
     assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 6}
 
 
+def test_file_that_changes_during_the_load(spark, tmp_path, lists, monkeypatch):
+    """The ledger holds the states that were found, so the change is found by the next run."""
+    root, silver, ledger = (str(tmp_path / n) for n in ("in", "silver", "ledger"))
+    file = tmp_path / "in" / "2023" / "2023_1.csv"
+    put(file, text_of(month_rows(2023, 1, 2)))
+    write = arriving.replace_months
+
+    def replaced(*given):
+        write(*given)
+        put(file, text_of(month_rows(2023, 1, 7)))
+
+    monkeypatch.setattr(arriving, "replace_months", replaced)
+    assert load_new_files(spark, root, silver, lists, ledger) == [(2023, 1)]
+    assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 2}
+    monkeypatch.setattr(arriving, "replace_months", write)
+    assert load_new_files(spark, root, silver, lists, ledger) == [(2023, 1)]
+    assert counts(tables.read_silver(spark, silver)) == {(2023, 1): 7}
+    assert load_new_files(spark, root, silver, lists, ledger) == []
+
+
 QUOTED = 'Say "Hi", NY \\ end'
 
 

@@ -592,8 +592,8 @@ def delay_corr_merged(spark, sf_dir):
 
 
 def _checked_tables(spark, sf_dir) -> dict[str, DataFrame]:
-    shared = fixture.stored_base(spark, sf_dir)
-    built = {name: build(shared) for name, build in base.MARTS.items()}
+    shared = fixture.stored_cells(spark, sf_dir)
+    built = {name: build(shared) for name, build in cells.MARTS.items()}
     return {"staging": fixture.staging(spark, sf_dir), **built}
 
 
