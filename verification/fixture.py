@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.functions.figures import MONTH_NAMES, WEEKDAY_LABELS, label
 from skyledger.operators.sampling import with_draw
 from skyledger.operators.silver import build_silver, enriched, filled
 from skyledger.operators.staging import staging_view
@@ -142,6 +143,27 @@ def lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     )
 
 
+def code_lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All six code lists, (Code, Description) each, with the codes the flights have."""
+    lists, flights = lookups(spark, sf_dir), source_flights(spark, sf_dir)
+
+    def seen(column: str, labels: dict) -> DataFrame:
+        codes = flights.select(column).distinct()
+        return codes.select(F.col(column).cast("string"), label(F.col(column), labels)).toDF("Code", "Description")
+
+    flags = flights.select(F.col("cancelled").cast("int").alias("flag")).distinct()
+    return {
+        "months": seen("month", MONTH_NAMES),
+        "weekdays": seen("day_of_week", WEEKDAY_LABELS),
+        "carriers": lists.carriers.frame.toDF("Code", "Description"),
+        "airports": lists.airports.frame.toDF("Code", "Description"),
+        "yes_no": flags.select(
+            F.col("flag").cast("string"), F.when(F.col("flag") == 1, "Yes").otherwise("No")
+        ).toDF("Code", "Description"),
+        "cancellation": lists.cancellation.frame.toDF("Code", "Description"),
+    }
+
+
 def counted_lookups(spark: SparkSession, sf_dir: str) -> Lookups:
     """The code lists with their sizes."""
     return lookups(spark, sf_dir).counted()

@@ -343,9 +343,15 @@ def oracle_sql() -> dict[str, str]:
         "scan_month": over(F, f"{LANDING} where year = {YEAR} and month = {MONTH}"),
         "landing_csv": over(F, LANDING),
         "lookup_publish": over(
-            CODES,
-            """select code, name as description from carriers union all
-            select * from airports union all select * from reasons""",
+            f"{F}, {CODES}",
+            f"""select 'carriers' as list, code, name as description from carriers
+            union all select 'airports', * from airports union all select 'cancellation', * from reasons
+            union all select distinct 'months', cast(month as varchar),
+              {case_label("month", MONTH_NAMES)} from flights
+            union all select distinct 'weekdays', cast(day_of_week as varchar),
+              {case_label("day_of_week", WEEKDAY_LABELS)} from flights
+            union all select distinct 'yes_no', case when cancelled then '1' else '0' end,
+              case when cancelled then 'Yes' else 'No' end from flights""",
         ),
         "raw_text_table": over(F, LANDING),
         "scan_text_month": over(F, f"{LANDING} where year = {YEAR} and month = {MONTH}"),

@@ -82,16 +82,18 @@ def landing_csv(spark, sf_dir):
 
 @query
 def lookup_publish(spark, sf_dir):
-    """Code lists as CSV files, published to parquet and read back."""
+    """All six code lists as CSV files, published to parquet and read back."""
     folder, target = tables.work_folder(spark, "codes"), tables.work_folder(spark, "lookups")
-    lists = fixture.lookups(spark, sf_dir)
-    for key in ("carriers", "airports", "cancellation"):
-        codes = getattr(lists, key).frame.toDF("Code", "Description")
+    for key, codes in fixture.code_lists(spark, sf_dir).items():
         codes.write.csv(f"{folder}/{lookup_files.LOOKUP_FILES[key]}", header=True)
     published = lookup_files.publish_lookups(spark, folder, target)
-    return spark.read.parquet(*[f"{target}/{key}" for key in published]).select(
-        F.col("Code").alias("code"), F.col("Description").alias("description")
-    )
+    parts = [
+        spark.read.parquet(f"{target}/{key}").select(
+            F.lit(key).alias("list"), F.col("Code").alias("code"), F.col("Description").alias("description")
+        )
+        for key in published
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
