@@ -134,7 +134,7 @@ def minima(tokens: np.ndarray) -> np.ndarray:
     return least
 
 
-_SIGNED = "doc_id long, key binary, n_shingles long, signature binary, roots array<long>"
+_SIGNED = "doc_id long, text_hash long, key binary, n_shingles long, signature binary, roots array<long>"
 
 
 def sign(docs: DataFrame, width: int) -> DataFrame:
@@ -160,31 +160,37 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(keys, pa.binary()),
                     pa.array(sizes, pa.int64()),
                     pa.array(signatures, pa.binary()),
                     pa.array(roots, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n_shingles", "signature", "roots"],
+                names=["doc_id", "text_hash", "key", "n_shingles", "signature", "roots"],
             )
 
     return _plain(docs).mapInArrow(run, _SIGNED)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
     )
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """One row per word sequence: uid, rep (its least id), key, set size, signature, roots."""
+    """One row per word sequence: uid, rep (its least id), key, set size, signature, roots.
+
+    ``rep_hash`` is the hash of a text under that id, of which there may be many.
+    """
     linked = signed.where("doc_id is not null and n_shingles > 0")
     least = linked.groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+        F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"), F.first("roots").alias("roots"),
     )
-    return least.withColumn("uid", F.monotonically_increasing_id())
+    named = least.withColumns({"rep": F.col("one.doc_id"), "rep_hash": F.col("one.text_hash")}).drop("one")
+    return named.withColumn("uid", F.monotonically_increasing_id())
 
 
 def _coordinates(level: int) -> list[list[int]]:
@@ -460,8 +466,17 @@ def joining_links(members: DataFrame, percent: int) -> DataFrame:
     return _by_node(members, "a long, b long", use)
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, key, text) of wanted (uid, rep, rep_hash, key).
+
+    Texts are found by id and hash, so an id with many texts gives each its own class.
+    """
+    named = wanted.withColumnsRenamed({"rep": "doc_id", "rep_hash": "text_hash"})
+    return _plain(docs).join(named, ["doc_id", "text_hash"]).select("uid", "key", "text")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(uid, tokens) of wanted (uid, rep, key), the set as bytes, from the whole texts."""
+    """(uid, tokens) of wanted (uid, rep, rep_hash, key), the set as bytes, from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -477,8 +492,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [pa.array(uids, pa.int64()), pa.array(tokens, pa.binary())], names=["uid", "tokens"]
             )
 
-    texts = _plain(docs).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
-    found = texts.select("uid", "key", "text").mapInArrow(run, "uid long, tokens binary")
+    found = texts_of(docs, wanted).mapInArrow(run, "uid long, tokens binary")
     return found.dropDuplicates(["uid"])
 
 
@@ -510,7 +524,7 @@ def links_of(docs: DataFrame, classes: DataFrame, like: Similarity) -> DataFrame
     first = stored(spanning_pairs(members, like), "dedup-pairs")
     # In small nodes every class with a likely partner is an end of one of these pairs.
     ends = first.select(F.col("a").alias("uid")).union(first.select("b")).distinct()
-    wanted = classes.select("uid", "rep", "key")
+    wanted = classes.select("uid", "rep", "rep_hash", "key")
     sets = stored(sets_of(docs, wanted.join(ends, "uid"), like.width), "dedup-sets")
     links = stored(confirmed(first, sets, like.percent), "dedup-links")
     labels = components(links).select(F.col("a").alias("uid"), F.col("b").alias("label"))
@@ -579,7 +593,8 @@ def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
     """One document of each component, the one of least id and then of least key.
 
     An id may stand for several texts; each is judged for itself. Of rows with this
-    id and word sequence the least text stays, once. Rows without words stay once
+    id and word sequence the least text stays, once; of rows alike in these, but not in
+    other columns, the one whose row has the least hash. Rows without words stay once
     for each id and text; rows without an id stay as they are.
     """
     columns = docs.columns
@@ -593,5 +608,6 @@ def one_of_each(docs: DataFrame, like: Similarity) -> DataFrame:
     # Rows without words have no key and are told apart by their text.
     apart = F.when(F.col(own).isNull(), F.col("text"))
     named = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("of_id"), F.col(own).alias("of_key"), apart.alias("of_text"))
-    one = named.agg(F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("one")).select("one.*")
+    first = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*columns))
+    one = named.agg(F.min_by(F.struct(*columns), first).alias("one")).select("one.*")
     return one.unionByName(kept.where("doc_id is null").select(*columns)).select(*columns)

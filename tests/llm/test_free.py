@@ -183,6 +183,25 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_texts_under_one_id_are_found_one_by_one(spark):
+    """A hot id is no square of its texts: each class meets its own text alone."""
+    base = sentence(1, 60)
+    given = documents(spark, [(7, t) for t in variants(base, 300, 3, 5)] + [(8, base), (9, sentence(2, 60))])
+    classes = neardup.stored(neardup.classes_of(neardup.sign(given, 3)), "classes")
+    wanted = classes.select("uid", "rep", "rep_hash", "key")
+    assert classes.count() > 150
+    copies = given.groupBy("doc_id", "text").count().select("count")
+    assert neardup.texts_of(given, wanted).count() <= copies.agg({"count": "sum"}).first()[0]
+    assert neardup.sets_of(given, wanted, 3).count() == classes.count()
+
+
+def test_one_of_rows_alike_is_always_the_same(spark):
+    rows = [(5, "one two three four five six seven", source) for source in "bca"]
+    like = neardup.Similarity(width=3, percent=85)
+    kept = {neardup.one_of_each(documents(spark, order), like).first().source for order in (rows, rows[::-1], rows[1:] + rows[:1])}
+    assert len(kept) == 1
+
+
 # --- packing ----------------------------------------------------------------
 
 
