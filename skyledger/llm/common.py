@@ -73,3 +73,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Copies that one step of ``numbered_copies`` makes of a row.
+COPY_BLOCK = 10_000
+
+
+def numbered_copies(counted: DataFrame, count: str, name: str) -> DataFrame:
+    """Every row as often as ``count`` says, its copies numbered from 1 in ``name``.
+
+    Rows that are alike can so be counted before they are shuffled and still be
+    placed one by one. Copies are made in blocks, so none of any number is held.
+    """
+    kept = [c for c in counted.columns if c != count]
+    last = F.floor((F.col(count) - 1) / F.lit(COPY_BLOCK)).cast("long")
+    blocks = counted.where(F.col(count) > 0).select(
+        *kept, count, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_block")
+    )
+    before = F.col("_block") * F.lit(COPY_BLOCK)
+    copies = F.sequence(before + 1, F.least(F.col(count), before + COPY_BLOCK))
+    return blocks.select(*kept, F.explode(copies).alias(name))
+
+
+def digest_of(record: Column) -> Column:
+    """Digest of a whole record, its columns in order with their names."""
+    return F.sha2(F.to_json(record), 256)

@@ -1,7 +1,9 @@
 """Mixing sources to target weights, exact to the word.
 
-Every document gets a random key: the hash of its id and a seed. Each source is
-ordered by that key. As the keys are uniform, their leading bits cut a source
+Every document gets a random key: the hash of a seed, its id, its text and the
+number of the copy. Rows alike are counted on the map side and numbered from
+their count, so neither an id nor a record that a third of the rows hold lands
+in one range. Each source is ordered by that key. As the keys are uniform, their leading bits cut a source
 into ranges of even size, whatever share of the rows it has; sums over ranges,
 then running sums within a range, make the prefix sums, and no task holds more
 than a range. A source is taken in whole epochs as long as its budget lasts,
@@ -9,9 +11,8 @@ then from the front of its order up to the budget, which the last document
 meets in part.
 
 Edge cases: a null source is a source of its own, after all others. A null or
-wordless text has size 0 and is taken 0 times. Equal keys (a repeated id) are
-ordered by size; rows alike in both are interchangeable. A null id is a key like
-any other. An empty table gives no rows. Other columns of the input are ignored.
+wordless text has size 0 and is taken 0 times. Copies of a row are rows of their
+own, but interchangeable. A null id is a key like any other. An empty table gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import count_words
+from skyledger.llm.common import count_words, digest_of, numbered_copies, text_of
 
 #: Weights of the sources in order of name, repeating; the mix as
 #: a share of all words; the most epochs of one source.
@@ -70,20 +71,25 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def random_key(key: Column, seed: int) -> Column:
+def random_key(seed: int) -> Column:
     """Uniform key as text of 32 hexadecimal digits."""
-    named = F.coalesce(key.cast("string"), F.lit("null"))
-    return F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary"))
-
-
-def mix(docs: DataFrame, key: str, size: Column, source: Column, seed: int) -> DataFrame:
-    """Every row as ``record``, with size, source_size, target and taken."""
-    rows = docs.select(
-        F.struct(*docs.columns).alias("record"),
-        size.alias("size"),
-        source.alias("source"),
-        random_key(F.col(key), seed).alias("at"),
-    ).withColumn("range", F.substring("at", 1, RANGE_DIGITS))
+    named = F.coalesce(F.col("key").cast("string"), F.lit("null"))
+    parts = F.concat_ws(":", F.lit(str(seed)), named, "digest", F.col("copy").cast("string"))
+    return F.md5(parts.cast("binary"))
+
+
+def records(docs: DataFrame, key: Column, size: Column, source: Column, digest: Column) -> DataFrame:
+    """One row per row of ``docs``: key, size, source, digest and number of the copy."""
+    narrow = docs.select(
+        key.alias("key"), size.alias("size"), source.alias("source"), digest.alias("digest")
+    )
+    alike = narrow.groupBy("key", "size", "source", "digest").agg(F.count("*").alias("copies"))
+    return numbered_copies(alike, "copies", "copy")
+
+
+def mix(rows: DataFrame, seed: int) -> DataFrame:
+    """Every row of ``records`` with source_size, target and taken."""
+    rows = rows.withColumn("at", random_key(seed)).withColumn("range", F.substring("at", 1, RANGE_DIGITS))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     ranges_before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +113,8 @@ def mix(docs: DataFrame, key: str, size: Column, source: Column, seed: int) -> D
     rest = budget - epochs * F.col("source_size") - F.col("range_starts") - F.col("starts")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return joined.select(
-        "record",
+        "key",
+        "digest",
         F.col("d.size").alias("size"),
         "source_size",
         "target",
@@ -115,16 +122,16 @@ def mix(docs: DataFrame, key: str, size: Column, source: Column, seed: int) -> D
     )
 
 
-def _document_size() -> Column:
-    return F.coalesce(count_words(F.col("text")), F.lit(0)).cast("long")
+def _document_size(text: Column) -> Column:
+    return F.coalesce(count_words(text), F.lit(0)).cast("long")
 
 
 def mix_table(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix of ``documents`` by number of words."""
-    narrow = docs.select("doc_id", "source", _document_size().alias("n_words"))
-    mixed_rows = mix(narrow, "doc_id", F.col("n_words"), F.col("source"), seed)
-    return mixed_rows.select(
-        F.col("record")["doc_id"].alias("doc_id"), "size", "source_size", "target", "taken"
+    digest = F.md5(text_of(F.col("text")).cast("binary"))
+    rows = records(docs, F.col("doc_id"), _document_size(F.col("text")), F.col("source"), digest)
+    return mix(rows, seed).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"
     )
 
 
@@ -133,9 +140,19 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     A document taken in part at the end of a budget is given whole, so a source
     exceeds its budget by less than one document. Documents without words add
-    nothing to a mix and are left out.
+    nothing to a mix and are left out. What is taken is decided on narrow rows;
+    of records alike in all columns one is shuffled, with the number wanted.
     """
-    taken = mix(docs, "doc_id", _document_size(), F.col("source"), seed).where("taken > 0")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    repeated = taken.select("record", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
-    return repeated.select("record.*")
+    whole = docs.select(F.struct(*docs.columns).alias("record")).withColumn(
+        "digest", digest_of(F.col("record"))
+    )
+    size = _document_size(F.col("record")["text"])
+    rows = records(whole, F.col("record")["doc_id"], size, F.col("record")["source"], F.col("digest"))
+    wanted = (
+        mix(rows, seed)
+        .where("taken > 0")
+        .groupBy("digest")
+        .agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("long").alias("times"))
+    )
+    given = whole.dropDuplicates(["digest"]).join(wanted, "digest").select("record", "times")
+    return numbered_copies(given, "times", "copy").select("record.*")

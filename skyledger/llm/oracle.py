@@ -12,7 +12,8 @@ _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 ORACLE["op4_mixing"] = f"""
 with sized as (
   select doc_id, source, {_WORDS} as size,
-         md5('0:' || coalesce(cast(doc_id as varchar), 'null')) as at
+         md5('0:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, '')) || ':' ||
+             row_number() over (partition by doc_id, source, coalesce(text, ''))) as at
   from documents
 ), sources as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source

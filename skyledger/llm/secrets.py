@@ -65,9 +65,9 @@ BASE_RULES = (
 MORE_RULES = (
     Rule(
         "private_key",
-        1,
-        r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----",
-        r"-----BEGIN [A-Z0-9 ]{0,60}PRIVATE KEY",
+        2,
+        r"-----BEGIN (?:[A-Z0-9 ]* )?PRIVATE KEY-----",
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY",
     ),
     Rule("github", 1, r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule(
@@ -80,9 +80,9 @@ MORE_RULES = (
     Rule("slack", 1, r"(?<![A-Za-z0-9-])xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-"),
     Rule(
         "url_login",
-        1,
-        r"(?<![A-Za-z])[a-z]{2,12}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@",
-        r"://[^\s:/@]{1,64}:",
+        2,
+        r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]{3,}+@",
+        r"://[^\s:/@]+:",
     ),
 )
 RULES = BASE_RULES + MORE_RULES

@@ -8,8 +8,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from skyledger.llm import licenses, mixing, quality, secrets, sharding
+from skyledger.llm import common, licenses, mixing, quality, secrets, sharding
 from skyledger.llm.common import shared_path
 from tests.llm.helpers import EDGES, WORD, documents, with_clashes
 
@@ -78,9 +79,57 @@ def test_no_rows_no_shards(empty):
     assert sharding.shard_table(empty, 40).count() == 0
 
 
+def hot(spark):
+    """One id on a third of all rows with unlike texts, one record on another third."""
+    return documents(
+        spark,
+        [(7, f"text {k} of the hot id") for k in range(600)]
+        + [(8, "one record again and again")] * 600
+        + [(100 + k, f"text {k}") for k in range(600)],
+    )
+
+
+def test_no_bucket_holds_a_hot_id_or_record(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 8_000)
+    narrow = hot(spark).select(F.col("doc_id").alias("key"), F.octet_length("text").cast("long").alias("size"), "text")
+    placed = sharding.external_shuffle(sharding._numbered(narrow), 4, 0)
+    held = [r["sum"] for r in placed.groupBy("shard", "bucket").agg(F.sum(F.col("size") + 128).alias("sum")).collect()]
+    assert placed.count() == 1800 and max(held) < 1.6 * 8_000
+    slots = defaultdict(list)
+    for r in rows(sharding.shard_table(hot(spark), 4)):
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 1800
+
+
 # --- mixing -----------------------------------------------------------------
 
 
+def test_no_range_holds_a_hot_id_or_record(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_DIGITS", 1)  # 16 ranges
+    docs = hot(spark)
+    placed = mixing.records(docs, F.col("doc_id"), F.lit(1), F.col("source"), F.md5("text")).withColumn(
+        "range", F.substring(mixing.random_key(0), 1, 1)
+    )
+    held = [r["count"] for r in placed.groupBy("range").count().collect()]
+    assert sum(held) == 1800 and len(held) == 16 and max(held) < 1.5 * 1800 / 16
+    found = rows(mixing.mix_table(docs))
+    assert len(found) == 1800 and all(r["taken"] <= 2 * r["size"] for r in found)
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 1
+    given = Counter((r.doc_id, r.text) for r in mixing.mixed(docs).collect())
+    words = sum(n * len(WORD.findall(t)) for (_, t), n in given.items())
+    assert 0 <= words - found[0]["target"] < 6
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter(
+        (r.doc_id, len(WORD.findall(r.text))) for r in docs.collect()
+    )
+
+
+def test_copies_are_made_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPY_BLOCK", 3)
+    counted = spark.createDataFrame([("a", 7), ("b", 3), ("c", 1), ("d", 0)], "name string, n long")
+    made = sorted((r["name"], r["copy"]) for r in rows(common.numbered_copies(counted, "n", "copy")))
+    assert made == [(c, k + 1) for c, n in (("a", 7), ("b", 3), ("c", 1)) for k in range(n)]
+
+
 def plain_targets(sizes: dict) -> dict:
     """Resharing the excess until none is above its cap."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -269,9 +318,24 @@ def test_further_kinds(spark):
     assert kinds == ["private_key", "github", "hex", "url_login"]
 
 
-def test_ledger_scans_only_unseen_pairs(spark):
-    from pyspark.sql import functions as F
+def test_formats_have_no_length_of_their_own(spark):
+    texts = [
+        f"see https://user:{'p' * 70}@host.example and postgres+driver2://{'u' * 90}:secret@db",
+        f"-----BEGIN {'LONG NAME OF A ' * 9}PRIVATE KEY----- then -----BEGIN PRIVATE KEY----- and -----BEGIN XPRIVATE KEY-----",
+        "no://login here: only a colon, and http://host:80/path@x",
+    ]
+    found = secrets.scan_table(documents(spark, list(enumerate(texts)))).collect()
+    cut = {
+        r.doc_id: [texts[r.doc_id][int(b) : int(e)] for k, b, e in (s.split(":") for s in r.spans.split(",") if s)
+                   if k in ("url_login", "private_key")]
+        for r in found
+    }
+    assert cut[0] == [f"https://user:{'p' * 70}@", f"postgres+driver2://{'u' * 90}:secret@"]
+    assert cut[1] == [f"-----BEGIN {'LONG NAME OF A ' * 9}PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"]
+    assert cut[2] == []
 
+
+def test_ledger_scans_only_unseen_pairs(spark):
     ledger = secrets.Ledger(spark, shared_path(spark, "ledger-test"))
     assert secrets.scan_documents(documents(spark, SECRETS[:4]), ledger).count() == 4
     pairs = ledger.scanned().count()
