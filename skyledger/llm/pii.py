@@ -1,10 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Formats that can be checked (email, ip, card, phone) give the seeds. The words
-around a seed are a lexical pattern; patterns and the values they surround form
-a graph. Spark scores it in rounds: a pattern is believed as far as the values
-it surrounds are, a value as far as its patterns are. A pattern believed enough
-then marks identifiers whose own format says nothing.
+Formats that can be checked (email, ip, card, phone) give the seeds. What stands
+around a seed gives lexical patterns of several widths: two words before, one
+before and one after, one before with the shape of the value's digits, and a
+label such as ``tel:`` alone. Patterns and the values they surround form a graph
+that Spark scores in rounds: a pattern is trusted if nearly all of its values are
+believed, and a value is believed if it is a seed or a trusted pattern surrounds
+it. Both only grow, so the rounds end when no pattern is added. A trusted pattern
+marks identifiers whose own format says nothing: numbered ones anywhere, words
+without digits only after a label, where all values are in the graph and so count
+against the pattern.
 
 Finding formats and contexts is per text and runs in Arrow batches; everything
 over the corpus (edges, scores, the join back) is DataFrame work. Edges are
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,18 +38,18 @@ from skyledger.llm.common import stored
 #: The base kinds in order.
 KINDS = ("email", "ip", "card", "phone")
 
-#: Rounds of scoring.
-ROUNDS = 3
 #: Distinct believed values a pattern needs, and doubt added to every pattern as
 #: so many values that are not believed.
 LEAST_VALUES = 3
 DOUBT = 0.5
-#: Belief from which a pattern supports values, and from which it marks them.
-SUPPORTS, MARKS = 0.5, 0.8
-#: An identifier without a known format: at least so many characters and digits.
-LEAST_CHARACTERS, LEAST_DIGITS = 6, 4
-#: Characters to either side in which the words of a context lie.
-CONTEXT = 80
+#: Share of believed values from which a pattern is trusted, and from which it is
+#: trusted with words that have few digits.
+MARKS, STRONG = 0.8, 0.9
+#: An identifier without a known format: at least so many characters and digits;
+#: after a label any value of two characters.
+LEAST_CHARACTERS, LEAST_DIGITS, LEAST_LABELLED = 6, 4, 2
+#: Words longer than this stand in patterns by their digest.
+LONG_WORD = 64
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -53,6 +59,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBERED = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 _DIGIT = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"\S+")
+_LABELLED = re.compile(r"""(?<![\w-])[^\W\d_][\w-]*+["']?[:=#]["']?\s?(\S++)""")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_SHAPES = ((re.compile(r"[0-9]"), "9"), (re.compile(r"[^\W\d_]+"), "a"))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -112,42 +122,99 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(b, e, KINDS[k]) for b, k, e in sorted(found)]
 
 
-def _patterns(text: str, begin: int, end: int) -> list[str]:
-    """The contexts of a place: two words before, one word before and one after."""
-    before = text[max(0, begin - CONTEXT) : begin].lower().split()
-    after = text[end : end + CONTEXT].lower().split()
-    patterns = [f"{' '.join(before[-2:])} _"] if len(before) > 1 else []
-    if before and after:
-        patterns.append(f"{before[-1]} _ {after[0]}")
-    return patterns
-
-
-def occurrences(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Seeds and identifiers without a format, with the patterns around them."""
-    marks = [(b, e, kind) for b, e, kind in base]
-    taken = sorted((b, e) for b, e, _ in base)
-    if _DIGIT.search(text):
-        at = 0
-        for m in _NUMBERED.finditer(text):
-            begin, end = m.span()
-            while at < len(taken) and taken[at][1] <= begin:
+def _short(word: str) -> str:
+    return word if len(word) <= LONG_WORD else hashlib.sha1(word.encode("utf-8", "replace")).hexdigest()
+
+
+def _word(token: str) -> str:
+    """A token as patterns name it: lower case, bare, a label with its colon."""
+    bare = _EDGES.sub("", token.lower())
+    return _short(bare) + ":" * bool(bare and token.rstrip("\"'(")[-1:] in (":", "=", "#"))
+
+
+def shape_of(value: str) -> str:
+    """Digits as 9, letters of a stretch as one a, the rest as it is."""
+    for what, sign in _SHAPES:
+        value = what.sub(sign, value)
+    return _short(value)
+
+
+class _Contexts:
+    """The patterns around places of a text, asked for from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tokens = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts = [b for b, _ in self.tokens]
+        self.done = 0
+
+    def _token(self, k: int) -> str:
+        return _word(self.text[slice(*self.tokens[k])]) if 0 <= k < len(self.tokens) else ""
+
+    def patterns(self, begin: int, end: int) -> list[str]:
+        at = bisect_right(self.starts, begin) - 1
+        glued = _word(self.text[max(self.starts[at], min(self.done, begin)) : begin])
+        self.done = max(self.done, end)
+        before, earlier = (glued, self._token(at - 1)) if glued else (self._token(at - 1), self._token(at - 2))
+        after = self._token(bisect_left(self.starts, end))
+        if not before:
+            return []
+        found = [f"{before} _ {shape_of(self.text[begin:end])}"]
+        if earlier:
+            found.append(f"{earlier} {before} _")
+        if after:
+            found.append(f"{before} _ {after}")
+        if before.endswith(":"):
+            found.append(f"{before} _")
+        return sorted(set(found))
+
+
+def _unknown(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of values without a format, by begin, outside the places taken."""
+    after_label = [m.span(1) for m in _LABELLED.finditer(text)]
+    numbered = [m.span() for m in _NUMBERED.finditer(text)] if _DIGIT.search(text) else []
+    found = []
+    for places, labelled in ((after_label, True), (numbered, False)):
+        at, held = 0, sorted(taken + found)
+        for begin, end in places:
+            while at < len(held) and held[at][1] <= begin:
                 at += 1
-            if at < len(taken) and taken[at][0] < end:
+            if at < len(held) and held[at][0] < end:
                 continue
             while begin < end and not text[begin].isalnum():
                 begin += 1
             while end > begin and not text[end - 1].isalnum():
                 end -= 1
-            value = text[begin:end]
-            if len(value) >= LEAST_CHARACTERS and sum(map(str.isdigit, value)) >= LEAST_DIGITS:
-                marks.append((begin, end, None))
+            if end - begin >= LEAST_LABELLED and (labelled or _is_numbered(text[begin:end])):
+                found.append((begin, end))
+    return sorted(found)
+
+
+def _is_numbered(value: str) -> bool:
+    return len(value) >= LEAST_CHARACTERS and sum(map(str.isdigit, value)) >= LEAST_DIGITS
+
+
+def occurrences(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
+    """Seeds and values without a format, with the patterns around them."""
+    places = [(b, e, kind) for b, e, kind in base]
+    places += [(b, e, None) for b, e in _unknown(text, [(b, e) for b, e, _ in base])]
+    if not places:
+        return []
+    around = _Contexts(text)
     return [
-        {"begins": b, "ends": e, "kind": k, "value": text[b:e], "patterns": _patterns(text, b, e)}
-        for b, e, k in marks
+        {
+            "begins": b,
+            "ends": e,
+            "kind": k,
+            "value": text[b:e],
+            "plain": k is None and not _is_numbered(text[b:e]),
+            "patterns": around.patterns(b, e),
+        }
+        for b, e, k in sorted(places, key=lambda p: p[:2])
     ]
 
 
-_MARK = "struct<begins:long,ends:long,kind:string,value:string,patterns:array<string>>"
+_MARK = "struct<begins:long,ends:long,kind:string,value:string,plain:boolean,patterns:array<string>>"
 _SCANNED = (
     "row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long,"
     f" base_sha256 string, base array<string>, marks array<{_MARK}>"
@@ -158,6 +225,7 @@ _MARK_ARROW = pa.struct(
         ("ends", pa.int64()),
         ("kind", pa.string()),
         ("value", pa.string()),
+        ("plain", pa.bool_()),
         ("patterns", pa.list_(pa.string())),
     ]
 )
@@ -198,47 +266,56 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def edges_of(scanned: DataFrame) -> DataFrame:
-    """Distinct (pattern, value, kind); kind is null where the format is unknown."""
+    """Distinct (pattern, value, kind, plain); kind is null where the format is unknown."""
     marks = scanned.select(F.explode("marks").alias("m"))
-    return marks.select(F.explode("m.patterns").alias("pattern"), "m.value", "m.kind").distinct()
+    return marks.select(
+        F.explode("m.patterns").alias("pattern"), "m.value", "m.kind", "m.plain"
+    ).distinct()
+
+
+def _reach(patterns: DataFrame, places: DataFrame) -> DataFrame:
+    """Places with the patterns trusted enough for what stands there."""
+    return places.join(patterns, "pattern").where(~F.col("plain") | (F.col("belief") >= STRONG))
 
 
 def score_patterns(edges: DataFrame) -> DataFrame:
-    """(pattern, kind, belief) after the rounds, for patterns that support anything."""
+    """(pattern, kind, belief) of all trusted patterns.
+
+    In each round belief is the share of believed values, with doubt; it is
+    that of the round that added the last pattern.
+    """
     edges = stored(edges, "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    seeds = edges.where("kind is not null").select("value", "kind", F.lit(1.0).alias("belief")).distinct()
-    unknown = edges.where("kind is null").select("pattern", "value")
-    pairs = edges.select("pattern", "value")
-    values = seeds
-    patterns = None
-    for _ in range(ROUNDS):
-        support = (
-            pairs.join(values, "value")
-            .groupBy("pattern", "kind")
-            .agg(F.sum("belief").alias("sum"), F.count("*").alias("held"))
-            .where(F.col("held") >= LEAST_VALUES)
-        )
-        believed = support.join(sizes, "pattern").select(
-            "pattern", "kind", (F.col("sum") / (F.col("n") + DOUBT)).alias("belief")
-        )
-        patterns = stored(believed.where(F.col("belief") >= SUPPORTS), "pii-patterns")
-        learned = (
-            unknown.join(patterns, "pattern")
-            .groupBy("value", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("belief"))))).alias("belief"))
-        )
-        values = stored(seeds.unionByName(learned), "pii-values")
-    return patterns
+    seeds = edges.where("kind is not null").select("value", "kind").distinct()
+    unknown = edges.where("kind is null").select("pattern", "value", "plain")
+    # A pattern too small for the doubt or without a seed on the way is never trusted.
+    pairs = stored(
+        edges.join(sizes.where(F.col("n") >= LEAST_VALUES), "pattern")
+        .select("pattern", "value", "n")
+        .distinct(),
+        "pii-pairs",
+    )
+    values, known = seeds, -1
+    while True:
+        support = pairs.join(values, "value").groupBy("pattern", "kind", "n").agg(F.count("*").alias("held"))
+        belief = F.col("held") / (F.col("n") + DOUBT)
+        trusted = support.where((F.col("held") >= LEAST_VALUES) & (belief >= MARKS))
+        patterns = stored(trusted.select("pattern", "kind", belief.alias("belief")), "pii-patterns")
+        learned = _reach(patterns, unknown).select("value", "kind")
+        values = stored(seeds.union(learned).distinct(), "pii-values")
+        believed = values.count()
+        if believed == known:
+            return patterns
+        known = believed
 
 
 def discover(scanned: DataFrame, patterns: DataFrame) -> DataFrame:
     """(row, found): spans of identifiers that a trusted pattern surrounds."""
-    trusted = patterns.where(F.col("belief") >= MARKS)
     places = scanned.select("row", F.explode("marks").alias("m")).where("m.kind is null")
-    hits = places.select("row", "m.begins", "m.ends", F.explode("m.patterns").alias("pattern")).join(
-        trusted, "pattern"
+    around = places.select(
+        "row", "m.begins", "m.ends", "m.plain", F.explode("m.patterns").alias("pattern")
     )
+    hits = _reach(patterns, around)
     best = hits.groupBy("row", "begins", "ends").agg(
         F.min(F.struct((-F.col("belief")).alias("minus"), "kind")).alias("best")
     )

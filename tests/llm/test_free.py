@@ -475,6 +475,96 @@ def test_contexts_discover_identifiers(spark):
     assert all(found[d][1] == 0 for d, _ in phones + other)
 
 
+def plain_trust(edges):
+    """Trusted patterns by the rule, in plain Python, over (pattern, value, kind, plain)."""
+    around = defaultdict(set)
+    for pattern, value, _, _ in edges:
+        around[pattern].add(value)
+    believed = {(v, k) for _, v, k, _ in edges if k}
+    while True:
+        trusted = {}
+        for pattern, values in around.items():
+            for kind in pii.KINDS:
+                held = sum((v, kind) in believed for v in values)
+                share = held / (len(values) + pii.DOUBT)
+                if held >= pii.LEAST_VALUES and share >= pii.MARKS:
+                    trusted[pattern, kind] = share
+        learned = {
+            (v, kind)
+            for p, v, k, plain in edges
+            if k is None
+            for kind in pii.KINDS
+            if trusted.get((p, kind), 0) >= (pii.STRONG if plain else pii.MARKS)
+        }
+        if learned <= believed:
+            return trusted
+        believed |= learned
+
+
+def planted_contexts(seed: int):
+    """Texts with seeds in lasting contexts, hidden identifiers in the same ones, and decoys."""
+    draw = random.Random(seed)
+    texts, hidden = [], {}
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(6))
+    forms = (
+        ("please call {} today", lambda: f"+1 212 555 {digits(4)}", lambda: f"555-{digits(4)}"),
+        ("Mailbox: {}", lambda: f"{word()}@{word()}.org", word),
+        ('the host="{}" is up', lambda: f"10.{draw.randrange(256)}.1.{draw.randrange(256)}", lambda: f"node-{digits(5)}"),
+    )
+    for kind, (form, seed_value, unseen) in zip(("phone", "email", "ip"), forms, strict=True):
+        for k in range(60):
+            value, is_hidden = (unseen(), True) if k >= 55 else (seed_value(), False)
+            lead = f"{word()} {word()} "
+            text = lead + form.format(value) + f" {word()} {word()}"
+            if is_hidden:
+                begin = text.index(value, len(lead))
+                hidden[len(texts)] = f"like_{kind}:{begin}:{begin + len(value)}"
+            texts.append(text)
+    for _ in range(60):  # decoys: the same values in contexts of their own
+        texts.append(f"{word()} order 555-{digits(4)} of {word()}")
+        texts.append(f"{word()} colour: {word()} and part {digits(3)}-{digits(5)}")
+    return texts, hidden
+
+
+def test_held_out_identifiers_are_found_by_their_contexts(spark):
+    right = marked = wanted = 0
+    for seed in (1, 2, 3):
+        texts, hidden = planted_contexts(seed)
+        docs = documents(spark, list(enumerate(texts)))
+        for r in pii.pii_table(docs).collect():
+            spans = [s for s in r.spans.split(",") if s.startswith("like_")]
+            assert len(spans) == r.n_found
+            marked += len(spans)
+            right += hidden.get(r.doc_id) in spans
+        wanted += len(hidden)
+    assert wanted == 45 and right / wanted >= 0.9 and right / marked >= 0.95
+
+
+def test_pattern_scores_equal_the_plain_rule(spark):
+    texts, _ = planted_contexts(4)
+    # A chain: values learned after "call" make "ring" trusted, which marks one more.
+    chain = [f"please call 555-{k}00{k} now" for k in range(8)] + [f"do ring 555-{k}00{k} soon" for k in range(8)]
+    chain.append("do ring 777-1234 soon")
+    scanned = pii.scan(documents(spark, list(enumerate(texts + chain))))
+    edges = pii.edges_of(scanned)
+    plain = plain_trust([tuple(r) for r in edges.collect()])
+    scored = {(r.pattern, r.kind): r.belief for r in pii.score_patterns(edges).collect()}
+    assert scored == pytest.approx(plain) and len(scored) >= 5
+    assert ("do ring _", "phone") in scored
+
+
+def test_contexts_are_words_and_labels():
+    text = 'my "Tel": +1 212 555 0000, or id=ab12cd34 ' + "x" * 500 + " 12345678"
+    marks = pii.occurrences(text, pii.base_spans(text))
+    found = {m["value"]: m["patterns"] for m in marks}
+    assert {"tel: _", "my tel: _", "tel: _ or"} <= set(found["+1 212 555 0000"])
+    assert {"id: _", "or id: _", "id: _ a9a9"} <= {p.replace("a99a99", "a9a9") for p in found["ab12cd34"]}
+    assert all(len(p) < 200 for p in found["12345678"]) and len(found["12345678"]) == 2
+    many = ",".join(f"a{k}@b{k}.org" for k in range(20_000))  # one word, many marks
+    assert len(pii.occurrences(many, pii.base_spans(many))) == 20_000
+
+
 def test_copies_are_no_evidence(spark):
     copies = [(k, "please call +1 212 555 1000 today") for k in range(50)]
     found = pii.pii_table(documents(spark, [*copies, (99, "please call 5551234 today")]))
