@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ CELLS = 60_000
 EPOCHS, RATE, BATCH = 14, 0.01, 32
 
 _HEADINGS = frozenset(f"h{k}" for k in range(1, 7))
+_DIGIT = re.compile(r"\d")
 _slots: dict[tuple[str, int], int] = {}
 
 
@@ -31,16 +33,29 @@ def _slot(token: str, size: int) -> int:
     return found
 
 
+def _with_slots(before: np.ndarray, tokens: tuple[str, ...]) -> np.ndarray:
+    """The slots of a path and of the tokens that follow it."""
+    slots = [_slot(t, PATH) for t in tokens]
+    if before[slots].all():
+        return before
+    after = before.copy()
+    after[slots] = True
+    return after
+
+
+_NO_SLOTS = np.zeros(PATH, bool)
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
     """One row per block."""
     out = np.zeros((len(blocks), INPUTS), np.float32)
     for k, block in enumerate(blocks):
         row = out[k]
-        path = block.path
+        place = block.place
+        near = place.last(3)
+        row[:PATH] = place.summed("slots", _NO_SLOTS, _with_slots)
         # The nearest tags count once more, under names of their own.
-        for token in path:
-            row[_slot(token, PATH)] = 1
-        for token in path[-3:]:
+        for token in near:
             row[_slot(f"near {token}", PATH)] = 1
         text = block.text
         held = text.split()
@@ -54,10 +69,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         plain[2] = len(held) > 12
         plain[3] = (text.count(".") + text.count(",")) / len(held)
         plain[4] = text[-1] in ".!?:;\"'"
-        plain[5] = any(t in _HEADINGS for t in path[-2:])
-        plain[6] = "p" in path
+        plain[5] = any(t in _HEADINGS for t in near[-2:])
+        plain[6] = place.summed("p", False, lambda before, tokens: before or "p" in tokens)
         plain[7] = k / len(blocks)
-        plain[8] = sum(map(str.isdigit, text[:200])) / min(200, letters)
+        plain[8] = len(_DIGIT.findall(text)) / letters
         plain[9] = 1
     return out
 

@@ -32,8 +32,6 @@ from skyledger.llm.labeller import Labeller, vectors
 
 #: Pages the labeller is trained on, and rearranged pages made of each.
 SAMPLE, VARIANTS = 160, 4
-#: Characters of a sampled page that training looks at; labelling reads whole pages.
-SAMPLE_CHARACTERS = 20_000
 
 # Words in tags, classes, ids and roles that tell main text from the rest.
 MAIN = frozenset("article main .article .post .entry .story .content .body .main".split())
@@ -47,9 +45,9 @@ REST = frozenset(
 
 def teacher(block: Block) -> int:
     """1 main text, 0 not, -1 where the markup does not say."""
-    if any(t in REST for t in block.path):
-        return 0
-    return 1 if block.marked or any(t in MAIN for t in block.path) else -1
+    rest = block.place.summed("rest", False, lambda before, tokens: before or not REST.isdisjoint(tokens))
+    main = block.place.summed("main", False, lambda before, tokens: before or not MAIN.isdisjoint(tokens))
+    return 0 if rest else 1 if block.marked or main else -1
 
 
 _CONTAINERS = (
@@ -130,19 +128,13 @@ def _rearranged(main: list[str], rest: list[str], draw: random.Random) -> str:
     return f"<html><body>{''.join(parts)}</body></html>"
 
 
-def _without_marks(blocks: list[Block]) -> list[Block]:
-    for b in blocks:
-        b.path = tuple(t for t in b.path if t != "x-main")
-    return blocks
-
-
 def trained(pages: list[str]) -> Labeller:
     """The labeller from a sample of pages."""
     draw = random.Random(11)
     inputs: list[np.ndarray] = []
     labels: list[np.ndarray] = []
     for html in pages:
-        blocks = parse(html[:SAMPLE_CHARACTERS])
+        blocks = parse(html)
         known = [teacher(b) for b in blocks]
         if blocks:
             inputs.append(vectors(blocks))
@@ -152,7 +144,7 @@ def trained(pages: list[str]) -> Labeller:
         if not main or not rest:
             continue
         for _ in range(VARIANTS):
-            made = _without_marks(parse(_rearranged(main[: draw.randint(2, 25)], rest, draw)))
+            made = parse(_rearranged(main[: draw.randint(2, 25)], rest, draw))
             inputs.append(vectors(made))
             labels.append(np.array([b.marked for b in made], np.float32))
     labeller = Labeller()
@@ -166,7 +158,7 @@ def fit(pages: DataFrame) -> Labeller:
     """
     html = F.col("html").cast("string")
     ranked = pages.where(F.length(html) > 0).select(
-        F.xxhash64("page_id", "url").alias("rank"), F.substring(html, 1, SAMPLE_CHARACTERS).alias("html")
+        F.xxhash64("page_id", "url").alias("rank"), html.alias("html")
     )
     ranks = [r.rank for r in ranked.select("rank").orderBy("rank").limit(SAMPLE).collect()]
     if not ranks:

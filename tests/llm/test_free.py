@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -283,6 +284,33 @@ def test_head_without_end():
         assert [b.text for b in found] == ["One", "two"] and not any("head" in b.path for b in found)
 
 
+def test_markup_left_open_loses_no_text():
+    texts = lambda html: [b.text for b in blocks.parse(html)]
+    for comment in ("<!-->", "<!--->", "<!-- x -->", "<!-- x --!>"):
+        assert texts(f"<body>{comment}<p>Kept one</p><p>Kept two</p>") == ["Kept one", "Kept two"]
+    for tag in ("svg", "object", "select", "iframe", "noscript", "template"):
+        assert texts(f"<p>One</p><{tag}><p>Two</p>")[:2] == ["One", "Two"]
+        assert texts(f"<p>One</p><{tag}><b>x</b></{tag}><p>Two</p>") == ["One", "Two"]
+    assert texts("<p>One</p><script>var x = 1") == ["One"]
+    (block,) = blocks.parse("<a><span><b><i><em><u>text")
+    assert block.linked == 4
+    found = blocks.parse("<li><b><i><u><em><s>one<li>two")
+    assert [b.path for b in found] == [("li", "b", "i", "u", "em", "s"), ("li",)]
+
+
+def test_open_tags_cost_their_number():
+    html = "<body>" + "".join(f'<div class="c{k}"><b>t{k}' for k in range(6000)) + "</x></y>" * 6000
+    began = time.process_time()
+    found = blocks.parse(html)
+    made = labeller.vectors(found)
+    assert time.process_time() - began < 3 and len(found) == 6000
+    assert [maintext.teacher(b) for b in found] == [-1] * 6000
+    plain = {labeller._slot(t, labeller.PATH) for t in found[40].path}
+    plain |= {labeller._slot(f"near {t}", labeller.PATH) for t in found[40].path[-3:]}
+    assert set(np.flatnonzero(made[40, : labeller.PATH])) == plain
+    assert found[3].place.last(3) == found[3].path[-3:]
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     pages = [rng.random((n, labeller.INPUTS)).astype(np.float32) for n in (3, 5)]
@@ -320,7 +348,7 @@ def test_held_out_pages(spark):
         known = [maintext.teacher(b) for b in found]
         main = [b.text for b, k in zip(found, known, strict=True) if k == 1]
         rest = [b.text for b, k in zip(found, known, strict=True) if k == 0]
-        made = maintext._without_marks(blocks.parse(maintext._rearranged(main, rest, draw)))
+        made = blocks.parse(maintext._rearranged(main, rest, draw))
         p = net.probabilities([labeller.vectors(made)])[0]
         wrong += sum((c >= 0.5) != b.marked for b, c in zip(made, p, strict=True))
         total += len(made)
