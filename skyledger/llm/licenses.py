@@ -1,21 +1,31 @@
 """Licence scan: passages against templates by Dice coefficient of word bigrams.
 
-A passage is a line, a paragraph of several lines, or a whole text of several
-paragraphs. A passage that matches and others inside it that match are one notice:
-the outer one counts if it is better than all of them, else they count. A passage is normalised (lower case, words of letters and digits) and compared
-to a template by 2 * shared / (bigrams of the one + bigrams of the other), over
-sets of bigrams. Sizes alone bound that from above, so a template is a candidate
-only for passages of a size that could reach the least coefficient; here a size
-is the number of bigrams, repeats counted, so it is known before any set is made.
-
-Edge cases: a null or empty text has no passage. A passage of one word has no
-bigram and matches nothing. Of equal coefficients the first name wins. Repeated
-rows are rows of their own; null ids stay; an empty table gives no rows. Columns
-but doc_id and text are ignored.
+Texts and templates are normalised (lower case, words of letters and digits); line
+ends, comment signs and punctuation vanish. A passage is a window of a template's
+length, cut back to the first and last bigram that the template has, and is compared
+by 2 * shared / (bigrams of the one + bigrams of the other), over sets of bigrams. So
+a notice is found within a line, within prose, or wrapped over lines.
+
+Sizes alone bound the coefficient: a match shares at least 7/13 of the template's
+bigrams. So it has one of any of them that leave fewer than that out, which are
+the template's seeds, and a window is laid only where a seed is, so that the seed
+stands in its place. A passage with fewer or more distinct bigrams than could match
+is not compared.
+
+Passages that match and overlap are one notice. It carries the licence of greatest
+coefficient, of equal ones the longer template, then the first name. A document
+carries the notice of greatest coefficient, of equal ones the first name.
+
+Edge cases: a null or empty text has no passage, a text of one word no bigram.
+Repeated rows are rows of their own; null ids stay; an empty table gives no rows.
+Columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +34,7 @@ from skyledger.llm.common import let, text_of
 #: Least coefficient of a match, in thousandths.
 LEAST_DICE = 700
 
-# Public licence notices and openings, by short name.
+# Public licence notices, openings and whole texts, by short name.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -74,84 +84,217 @@ TEMPLATES = {
         " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR"
         " PURPOSE AND NONINFRINGEMENT."
     ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are"
+        " permitted provided that the following conditions are met:"
+        " 1. Redistributions of source code must retain the above copyright notice, this list of"
+        " conditions and the following disclaimer."
+        " 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials"
+        " provided with the distribution."
+        ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS'
+        " OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF"
+        " MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE"
+        " COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,"
+        " EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF"
+        " SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+        " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR"
+        " TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+        " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "isc-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted, provided that the above copyright notice and this"
+        " permission notice appear in all copies."
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO'
+        " THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT"
+        " SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR"
+        " ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF"
+        " CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE"
+        " OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mit-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
+        ' software and associated documentation files (the "Software"), to deal in the Software'
+        " without restriction, including without limitation the rights to use, copy, modify, merge,"
+        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons"
+        " to whom the Software is furnished to do so, subject to the following conditions:"
+        " The above copyright notice and this permission notice shall be included in all copies or"
+        " substantial portions of the Software."
+        ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,'
+        " INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR"
+        " PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE"
+        " FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER"
+        " DEALINGS IN THE SOFTWARE."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will"
+        " the authors be held liable for any damages arising from the use of this software."
+        " Permission is granted to anyone to use this software for any purpose, including commercial"
+        " applications, and to alter it and redistribute it freely, subject to the following"
+        " restrictions: 1. The origin of this software must not be misrepresented; you must not claim"
+        " that you wrote the original software. If you use this software in a product, an"
+        " acknowledgment in the product documentation would be appreciated but is not required."
+        " 2. Altered source versions must be plainly marked as such, and must not be misrepresented"
+        " as being the original software. 3. This notice may not be removed or altered from any"
+        " source distribution."
+    ),
 }
 
 
-def template_bigrams(template: str) -> list[str]:
-    """Distinct bigrams of a template, which is plain ASCII."""
-    kept = "".join(c if c.isalnum() else " " for c in template.lower()).split()
-    return sorted({f"{a} {b}" for a, b in zip(kept, kept[1:], strict=False)})
-
-
 def size_bounds(size: int) -> tuple[int, int]:
-    """Least and most bigrams of a passage that could match this many."""
+    """Least and most distinct bigrams of a passage that could match this many."""
     least = -(-size * LEAST_DICE // (2000 - LEAST_DICE))
     return least, size * (2000 - LEAST_DICE) // LEAST_DICE
 
 
-def _bigrams(w: Column) -> Column:
-    count = F.size(w) - 1
-    pairs = F.zip_with(
-        F.slice(w, 1, count), F.slice(w, 2, count), lambda a, b: F.concat(a, F.lit(" "), b)
+class Template:
+    """A template, which is plain ASCII, with its bigrams and seeds."""
+
+    def __init__(self, name: str, text: str) -> None:
+        self.name = name
+        self.words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        self.pairs = [f"{a} {b}" for a, b in zip(self.words, self.words[1:], strict=False)]
+
+    @cached_property
+    def bigrams(self) -> list[str]:
+        """The distinct ones."""
+        return sorted(set(self.pairs))
+
+    @cached_property
+    def bounds(self) -> tuple[int, int]:
+        """Least and most bigrams of a match; the least is also how many it shares."""
+        return size_bounds(len(self.bigrams))
+
+    @cached_property
+    def seeds(self) -> list[tuple[str, int]]:
+        """(bigram, place) of so many bigrams that every match has one of them.
+
+        Those that stand once in the template, and long ones, are rare in texts.
+        """
+        times = Counter(self.pairs)
+        rare = sorted(times, key=lambda g: (times[g], -len(g), g))
+        chosen = set(rare[: len(rare) - self.bounds[0] + 1])
+        return [(g, at) for at, g in enumerate(self.pairs) if g in chosen]
+
+
+def parsed(templates: dict[str, str]) -> list[Template]:
+    """Templates ready to be held against texts; one without a bigram matches nothing."""
+    return [t for t in (Template(name, text) for name, text in templates.items()) if t.pairs]
+
+
+def _listed(values: list[str]) -> Column:
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _bigrams(text: Column) -> Column:
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
+
+    def pairs(w: Column) -> Column:
+        count = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, count), F.slice(w, 2, count), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return let(words, pairs)
+
+
+def _places(bigrams: Column, wanted: list[str]) -> Column:
+    """(place, gram) of the bigrams that are among the wanted ones."""
+    marked = F.transform(
+        bigrams, lambda g, i: F.when(g.isin(wanted), F.struct(i.alias("place"), g.alias("gram")))
     )
-    return F.struct(count.alias("size"), F.array_distinct(pairs).alias("bigrams"))
+    return F.filter(marked, lambda m: m.isNotNull())
 
 
-def matches(text: Column, templates: dict[str, str]) -> Column:
-    """(best, notices): the best match of all passages and the number of notices.
+def _passage(template: Template, bigrams: Column, start: Column) -> Column:
+    """The window that starts there as (begins, ends, minus, shorter, license), null if it is no match."""
+    least, most = template.bounds
 
-    A match is (minus, license); ``minus`` is the coefficient with the sign changed,
-    so the least is the best.
-    """
-    grams = {name: template_bigrams(t) for name, t in templates.items()}
-    bounds = {name: size_bounds(len(g)) for name, g in grams.items()}
-    least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-
-    def best(sized: Column) -> Column:
-        scored = []
-        for name, own in grams.items():
-            shared = F.size(F.array_intersect(sized["bigrams"], F.array(*map(F.lit, own))))
-            dice = F.floor(2000 * shared / (F.size(sized["bigrams"]) + len(own))).cast("long")
-            score = F.when(
-                dice >= LEAST_DICE, F.struct((-dice).alias("minus"), F.lit(name).alias("license"))
+    def compared(window: Column, held: Column) -> Column:
+        first = F.get(held, F.lit(0))["place"]
+        last = F.element_at(held, -1)["place"]
+
+        def scored(passage: Column) -> Column:
+            shared = F.size(F.array_intersect(passage, _listed(template.bigrams)))
+            dice = F.floor(2000 * shared / (F.size(passage) + len(template.bigrams))).cast("int")
+            match = F.struct(
+                (start + first).alias("begins"),
+                (start + last + 2).alias("ends"),
+                (-dice).alias("minus"),
+                F.lit(-len(template.bigrams)).alias("shorter"),
+                F.lit(template.name).alias("license"),
             )
-            scored.append(F.when(sized["size"].between(*bounds[name]), score))
-        return F.least(*scored)
+            return F.when(F.size(passage).between(least, most) & (dice >= LEAST_DICE), match)
+
+        cut = F.array_distinct(F.slice(window, first + 1, last - first + 1))
+        return F.when(F.size(held) >= least, let(cut, scored))
+
+    return let(
+        F.slice(bigrams, start + 1, len(template.pairs)),
+        lambda window: let(_places(window, template.bigrams), lambda held: compared(window, held)),
+    )
 
-    def found(passages: Column) -> Column:
-        split = F.transform(
-            passages,
-            lambda p: F.split(F.trim(F.regexp_replace(F.lower(p), r"[^\p{L}\p{N}]+", " ")), " "),
-        )
-        possible = F.filter(split, lambda w: (F.size(w) - 1).between(max(1, least), most))
-        return F.filter(F.transform(F.transform(possible, _bigrams), best), lambda b: b.isNotNull())
 
-    def judged(inner: Column, notices: Column, outer: Column) -> Column:
-        """The better of an outer match and the ones inside, and what counts."""
-        outside, inside = F.get(outer, F.lit(0)), F.array_min(inner)
-        wins = outside.isNotNull() & (inside.isNull() | (outside["minus"] < inside["minus"]))
+def _matches(template: Template, bigrams: Column, seeds: Column) -> Column:
+    """All passages that match a template."""
+    own = F.expr("array(" + ", ".join(f"named_struct('gram', '{g}', 'at', {at})" for g, at in template.seeds) + ")")
+    grams = sorted({g for g, _ in template.seeds})
+
+    def starts(seed: Column) -> Column:
+        places = F.filter(own, lambda s: s["gram"] == seed["gram"])
+        return F.transform(places, lambda s: F.greatest(seed["place"] - s["at"], F.lit(0)))
+
+    laid = F.array_distinct(F.flatten(F.transform(F.filter(seeds, lambda s: s["gram"].isin(grams)), starts)))
+    return F.filter(F.transform(laid, lambda start: _passage(template, bigrams, start)), lambda m: m.isNotNull())
+
+
+def _notices(matches: Column) -> Column:
+    """(best, notices) of matching passages: those that overlap are one notice."""
+    top, best = "struct<minus:int,shorter:int,license:string>", "struct<minus:int,license:string>"
+
+    def named(t: Column) -> Column:
+        return F.when(t.isNotNull(), F.struct(t["minus"].alias("minus"), t["license"].alias("license")))
+
+    def joined(seen: Column, m: Column) -> Column:
+        apart = m["begins"] >= seen["until"]
+        this = F.struct(m["minus"].alias("minus"), m["shorter"].alias("shorter"), m["license"].alias("license"))
         return F.struct(
-            F.least(outside, inside).alias("best"),
-            F.when(wins, F.lit(1)).otherwise(notices).alias("notices"),
+            (seen["notices"] + apart.cast("int")).alias("notices"),
+            F.greatest(seen["until"], m["ends"]).alias("until"),
+            F.when(apart, this).otherwise(F.least(seen["top"], this)).alias("top"),
+            F.when(apart, F.least(seen["best"], named(seen["top"]))).otherwise(seen["best"]).alias("best"),
         )
 
-    none = F.array().cast("array<string>")
-    paragraphs = F.transform(
-        F.split(text, r"\n[\x20\t\r]*\n", -1),
-        lambda p: F.struct(
-            found(F.split(p, "\n", -1)).alias("lines"),
-            found(F.when(p.contains("\n"), F.array(p)).otherwise(none)).alias("own"),
+    none = F.struct(
+        F.lit(0).alias("notices"),
+        F.lit(0).alias("until"),
+        F.lit(None).cast(top).alias("top"),
+        F.lit(None).cast(best).alias("best"),
+    )
+    return F.aggregate(
+        F.array_sort(matches),
+        none,
+        joined,
+        lambda seen: F.struct(
+            F.least(seen["best"], named(seen["top"])).alias("best"), seen["notices"].alias("notices")
         ),
     )
-    each = F.transform(paragraphs, lambda p: judged(p["lines"], F.size(p["lines"]), p["own"]))
 
-    def whole(parts: Column) -> Column:
-        total = F.aggregate(parts["notices"], F.lit(0), lambda n, x: n + x)
-        several = F.when(F.size(parts) > 1, F.array(text)).otherwise(none)
-        inner = F.filter(parts["best"], lambda b: b.isNotNull())
-        return let(found(several), lambda outer: judged(inner, total, outer))
 
-    return let(each, whole)
+def matches(text: Column, templates: dict[str, str]) -> Column:
+    """(best, notices): the best match of a text and the number of its notices.
+
+    A match is (minus, license); ``minus`` is the coefficient with the sign changed,
+    so the least is the best. Null for a text without any seed.
+    """
+    held = parsed(templates)
+    wanted = sorted({g for t in held for g, _ in t.seeds})
+
+    def found(bigrams: Column, seeds: Column) -> Column:
+        every = F.flatten(F.array(*[_matches(t, bigrams, seeds) for t in held]))
+        return F.when(F.size(seeds) > 0, _notices(every))
+
+    return let(_bigrams(text), lambda b: let(_places(b, wanted), lambda seeds: found(b, seeds)))
 
 
 def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -163,6 +306,6 @@ def license_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Dat
     return docs.select("doc_id", found.alias("found")).select(
         "doc_id",
         F.col("found.best.license").alias("license"),
-        (-F.col("found.best.minus")).alias("dice"),
-        F.col("found.notices").cast("long").alias("n_passages"),
+        (-F.col("found.best.minus")).cast("long").alias("dice"),
+        F.coalesce(F.col("found.notices"), F.lit(0)).cast("long").alias("n_passages"),
     )

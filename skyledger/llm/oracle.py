@@ -55,59 +55,54 @@ from budgeted
 
 
 def _licenses() -> str:
-    rows = []
-    for name, template in licenses.TEMPLATES.items():
-        grams = licenses.template_bigrams(template)
-        least, most = licenses.size_bounds(len(grams))
-        listed = ", ".join(f"'{g}'" for g in grams)
-        rows.append(f"('{name}', [{listed}], {len(grams)}, {least}, {most})")
+    rows, seeds = [], []
+    for t in licenses.parsed(licenses.TEMPLATES):
+        listed = ", ".join(f"'{g}'" for g in t.bigrams)
+        rows.append(f"('{t.name}', [{listed}], {len(t.bigrams)}, {len(t.pairs)}, {t.bounds[0]}, {t.bounds[1]})")
+        seeds += [f"('{t.name}', '{g}', {at})" for g, at in t.seeds]
     return rf"""
-with templates(license, grams, n, least, most) as (values {", ".join(rows)}),
+with templates(license, own, n, span, least, most) as (values {", ".join(rows)}),
+seeds(license, gram, stands) as (values {", ".join(seeds)}),
 texts as (
-  select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+  select row_number() over () as r, doc_id,
+         string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w
+  from documents
+), grams as (
+  select r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as grams from texts
+), placed as (
+  select r, unnest(range(len(grams))) as place, unnest(grams) as gram from grams
+), laid as (
+  select distinct r, license, greatest(place - stands, 0) as start from placed join seeds using (gram)
+), windows as (
+  select r, license, start, own, n, least, most, list_slice(grams, start + 1, start + span) as grams
+  from laid join grams using (r) join templates using (license)
+), held as (
+  select *, list_filter(range(len(grams)), lambda j: list_contains(own, grams[j + 1])) as places from windows
 ), cut as (
-  select r, text, string_split_regex(text, '\n[\x20\t\r]*\n') as paragraphs from texts
-), paragraphs as (
-  select r, unnest(range(len(paragraphs))) as place, unnest(paragraphs) as paragraph from cut
-), passages as (
-  select r, place, 0 as level, unnest(string_split(paragraph, chr(10))) as passage from paragraphs
-  union all
-  select r, place, 1, paragraph from paragraphs where contains(paragraph, chr(10))
-  union all
-  select r, -1, 2, text from cut where len(paragraphs) > 1
-), split as (
-  select r, place, level,
-         string_split(trim(regexp_replace(lower(passage), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w
-  from passages
-), sized as (
-  select row_number() over () as k, r, place, level, len(w) - 1 as size, list_distinct(
-           list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bigrams
-  from split where len(w) between 2 and 400
-), scored as (
-  select k, r, place, level, license,
-         cast(floor(2000 * len(list_intersect(bigrams, grams)) / (len(bigrams) + n)) as bigint) as dice
-  from sized join templates on size between least and most
+  select r, license, n, own, least, most, start + places[1] as begins, start + places[-1] + 2 as ends,
+         list_distinct(list_slice(grams, places[1] + 1, places[-1] + 1)) as passage
+  from held where len(places) >= least
+), matched as (
+  select r, license, n, begins, ends,
+         cast(floor(2000 * len(list_intersect(passage, own)) / (len(passage) + n)) as bigint) as dice
+  from cut where len(passage) between least and most
 ), ranked as (
-  select * from scored where dice >= {licenses.LEAST_DICE}
-), per_text as (
-  select r, arg_min(license, (-dice, license)) as license, max(dice) as dice from ranked group by r
-), per_passage as (
-  select k, r, place, level, max(dice) as dice from ranked group by k, r, place, level
-), per_paragraph as (
-  select r, place, max(dice) as dice, max(level) as level,
-         case when max(dice) filter (where level = 1) > coalesce(max(dice) filter (where level = 0), 0)
-              then 1 else count(*) filter (where level = 0) end as notices
-  from per_passage where level < 2 group by r, place
-), inside as (
-  select r, max(dice) as dice, sum(notices) as notices from per_paragraph group by r
-), outside as (
-  select r, dice from per_passage where level = 2
+  select *, coalesce(begins >= max(ends) over (partition by r order by begins, ends, license
+              rows between unbounded preceding and 1 preceding), true) as opens
+  from matched where dice >= {licenses.LEAST_DICE}
+), numbered as (
+  select *, sum(cast(opens as int)) over (partition by r order by begins, ends, license
+              rows between unbounded preceding and current row) as notice
+  from ranked
+), notices as (
+  select r, notice, max(dice) as dice, arg_min(license, (-dice, -n, license)) as license
+  from numbered group by r, notice
 ), counted as (
-  select r, case when o.dice > coalesce(i.dice, 0) then 1 else i.notices end as n_passages
-  from inside i full join outside o using (r)
+  select r, max(dice) as dice, arg_min(license, (-dice, license)) as license, count(*) as n_passages
+  from notices group by r
 )
 select doc_id, license, dice, cast(coalesce(n_passages, 0) as bigint) as n_passages
-from texts left join per_text using (r) left join counted using (r)
+from texts left join counted using (r)
 """
 
 

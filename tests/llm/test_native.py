@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -390,3 +392,79 @@ def test_size_bounds_lose_nothing():
         for other in range(1, 200):
             possible = 2000 * min(size, other) >= licenses.LEAST_DICE * (size + other)
             assert possible == (least <= other <= most)
+
+
+def plain_license(text):
+    """The best licence, its coefficient and the number of notices, window by window."""
+    words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    matched = []
+    for t in licenses.parsed(licenses.TEMPLATES):
+        own = set(t.bigrams)
+        starts = {max(0, i - at) for i, g in enumerate(pairs) for seed, at in t.seeds if seed == g}
+        for start in starts:
+            held = [i for i in range(start, min(len(pairs), start + len(t.pairs))) if pairs[i] in own]
+            passage = set(pairs[held[0] : held[-1] + 1]) if held else set()
+            dice = 2000 * len(passage & own) // (len(passage) + len(own))
+            if dice >= licenses.LEAST_DICE:
+                matched.append((held[0], held[-1] + 2, -dice, -len(own), t.name))
+    notices, until = [], 0
+    for begins, ends, *match in sorted(matched):
+        if begins >= until:
+            notices.append([])
+        notices[-1].append(tuple(match))
+        until = max(until, ends)
+    best = min(((m[0], m[2]) for m in map(min, notices)), default=(None, None))
+    return best[1], -best[0] if notices else None, len(notices)
+
+
+def test_licences_equal_plain_windows(spark):
+    draw = random.Random(5)
+    pieces = list(licenses.TEMPLATES.values())
+    prose = "the software and the license of this work are provided without any version for a copy".split()
+    given = []
+    for k in range(120):
+        parts = []
+        for _ in range(draw.randint(0, 4)):
+            notice = draw.choice(pieces).split()
+            low = draw.randint(0, len(notice) // 4)
+            kept = [w for w in notice[low:] if draw.random() > 0.05]
+            parts += kept + draw.choices(prose, k=draw.randint(0, 30))
+        given.append((k, draw.choice([" ", "\n", "\n# "]).join(parts)))
+    found = {r.doc_id: (r.license, r.dice, r.n_passages) for r in licenses.license_table(documents(spark, given)).collect()}
+    assert found == {k: plain_license(text) for k, text in given}
+    assert sum(n > 1 for _, _, n in found.values()) > 20
+
+
+def test_licences_inside_longer_passages(spark):
+    full = licenses.TEMPLATES["mit-full"]
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(full, 70))
+    given = documents(
+        spark,
+        [
+            (1, "Copyright (c) 2019 Jane Doe. All rights reserved."),
+            (2, "a paragraph of prose in which something is Released under the MIT License. and goes on for long"),
+            (3, "All rights reserved. All rights reserved."),
+            (4, "prose before\n\n/*\n" + wrapped + "\n */\nint main() { return 0; }\n" + "code and more code " * 300),
+            (5, full + "\n" + full),
+            (6, "of the software and of the license " * 2000),
+            (7, "prose " * 50_000 + licenses.TEMPLATES["zlib"]),
+        ],
+    )
+    found = {r.doc_id: (r.license, r.dice, r.n_passages) for r in licenses.license_table(given).collect()}
+    assert found[1] == ("all-rights-reserved", 1000, 1)
+    assert found[2] == ("mit", 1000, 1)
+    assert found[3] == ("all-rights-reserved", 1000, 2)
+    assert found[4] == ("mit-full", 1000, 1)
+    assert found[5] == ("mit-full", 1000, 2)
+    assert found[6] == (None, None, 0)
+    assert found[7] == ("zlib", 1000, 1)
+
+
+def test_seeds_are_in_every_match():
+    draw = random.Random(3)
+    for t in licenses.parsed(licenses.TEMPLATES):
+        seeds, (least, _) = {g for g, _ in t.seeds}, t.bounds
+        for _ in range(200):
+            assert seeds & set(draw.sample(t.bigrams, least))
+        assert len(t.bigrams) - len(seeds) == least - 1
