@@ -298,10 +298,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no copy of an item, with their columns as they were."""
+    """The documents that hold no copy of an item, with their columns as they were.
+
+    Seeds are chosen by counts over all given documents, as in ``leaks``, so the blocks
+    do not depend on each other: each costs one counting scan of ``docs``, and one last
+    scan applies them all.
+    """
 
     def without_copies(kept: DataFrame, block: DataFrame) -> DataFrame:
-        items = _with_items(kept, block)
+        items = _with_items(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -310,6 +315,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return kept.mapInArrow(run, kept.schema)
 
+    clean = docs
     for block in _blocks(benchmark):
-        docs = without_copies(docs, block)
-    return docs
+        clean = without_copies(clean, block)
+    return clean
