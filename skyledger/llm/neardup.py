@@ -574,15 +574,22 @@ def near_duplicates(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _with_key(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the key of each row's word sequence, null without an id or words."""
+    """``docs`` with the key of each row's word sequence, null without an id or words.
+
+    The words of one text are held at a time; those of a batch take many times its size.
+    """
+
+    def key_of(doc: int | None, text: str | None) -> bytes | None:
+        held = words_of(text) if doc is not None else []
+        return xxhash.xxh3_128_digest(b" ".join(held)) if held else None
+
     added = docs.withColumn(key, F.lit(None).cast("binary"))
     schema = added.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            held = [words_of(t) if i is not None else [] for i, t in zip(ids, texts, strict=True)]
-            keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in held]
+            keys = list(map(key_of, ids, texts))
             columns = [*batch.columns[:-1], pa.array(keys, batch.schema.field(key).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
