@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -10,6 +11,8 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.csv as pacsv
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,25 +163,68 @@ def only_months(landing: DataFrame, months: Iterable[tuple[int, int]]) -> DataFr
     return landing.withColumn("Year", checked)
 
 
-def _first_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the first CSV member of each archive, chunk by chunk."""
+def _by_arrow(text: io.BufferedIOBase) -> Iterator[pa.RecordBatch]:
+    """Rows of a CSV stream, block by block; every column as text, empty as null."""
+    names = next(csv.reader([text.readline().decode("utf-8-sig")]), [])
+    if any(names.count(name) != 1 for name in LANDING_COLUMNS):
+        raise pa.ArrowInvalid("no plain header")
+    with pacsv.open_csv(
+        text,
+        pacsv.ReadOptions(column_names=[f"{k} {name}" for k, name in enumerate(names)], use_threads=False),
+        pacsv.ParseOptions(newlines_in_values=True),
+        pacsv.ConvertOptions(
+            column_types={f"{k} {name}": pa.string() for k, name in enumerate(names)},
+            null_values=[""],
+            strings_can_be_null=True,
+            include_columns=[f"{names.index(name)} {name}" for name in LANDING_COLUMNS],
+        ),
+    ) as blocks:
+        for block in blocks:
+            yield block.rename_columns(LANDING_COLUMNS)
+
+
+def _by_pandas(text: io.BufferedIOBase) -> Iterator[pa.RecordBatch]:
+    """The same of any CSV, also with short lines, of which the rest is null."""
+    chunks = pd.read_csv(
+        text,
+        dtype=str,
+        usecols=LANDING_COLUMNS,
+        keep_default_na=False,
+        na_values=[""],
+        chunksize=ARCHIVE_CHUNK_ROWS,
+    )
+    kind = pa.schema([(name, pa.string()) for name in LANDING_COLUMNS])
+    for chunk in chunks:
+        yield pa.RecordBatch.from_pandas(chunk[LANDING_COLUMNS], kind, preserve_index=False)
+
+
+def _member_rows(archive: zipfile.ZipFile, member: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a member; where its lines differ in width, the slower reader goes on."""
+    given = 0
+    try:
+        with archive.open(member) as text:
+            for block in _by_arrow(text):
+                yield block
+                given += block.num_rows
+        return
+    except (pa.ArrowInvalid, UnicodeDecodeError):
+        pass
+    with archive.open(member) as text:
+        for block in _by_pandas(text):
+            known = min(given, block.num_rows)
+            given -= known
+            yield block.slice(known)
+
+
+def _first_csv(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the first CSV member of each archive, block by block."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
                 member = next((n for n in archive.namelist() if n.endswith(".csv")), None)
                 if member is None:
                     raise ValueError(f"no CSV member in {path}")
-                with archive.open(member) as text:
-                    chunks = pd.read_csv(
-                        text,
-                        dtype=str,
-                        usecols=LANDING_COLUMNS,
-                        keep_default_na=False,
-                        na_values=[""],
-                        chunksize=ARCHIVE_CHUNK_ROWS,
-                    )
-                    for chunk in chunks:
-                        yield chunk[LANDING_COLUMNS].astype(object).where(chunk.notna(), None)
+                yield from _member_rows(archive, member)
 
 
 def read_archives(spark: SparkSession, path: str, path_filter: str = "*.zip") -> DataFrame:
@@ -196,4 +242,4 @@ def read_archives(spark: SparkSession, path: str, path_filter: str = "*.zip") ->
         .load(path)
         .select("path", "content")
     )
-    return archives.mapInPandas(_first_csv, landing_schema())
+    return archives.mapInArrow(_first_csv, landing_schema())

@@ -386,3 +386,17 @@ def test_work_folder_is_the_shared_one(spark):
     assert path.rsplit("/", 1)[1].startswith("x-")
     assert shared is None or path.startswith(shared)
     assert tables.work_folder(spark, "x") != path
+
+
+def test_archive_rows_do_not_pass_through_pandas(spark, tmp_path):
+    rows = month_rows(2023, 1, 3, OriginCityName='two\nlines, "NY"', AirTime=None)
+    short = text_of(rows) + "2023,1\n"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("flights.csv", text_of(rows))
+    df = files.read_archives(spark, str(tmp_path))
+    assert "MapInArrow" in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.OriginCityName, r.AirTime) for r in df.collect()} == {('two\nlines, "NY"', None)}
+    # A short line is still a row, and no row before it is given twice.
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        archive.writestr("flights.csv", short)
+    assert files.read_archives(spark, str(tmp_path)).count() == 4

@@ -229,9 +229,22 @@ def write_landing_files(landing: DataFrame, root: str) -> None:
     gathered.mapInPandas(split, landing.schema).write.format("noop").mode("overwrite").save()
 
 
+def _csv_lines(landing: DataFrame) -> DataFrame:
+    """Every row as a line of CSV."""
+    plain = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    row = F.struct(*[F.col(name) for name in landing.columns])
+    return landing.select(F.concat(F.to_csv(row, plain), F.lit("\n")).alias("line"))
+
+
+def _joined(lines) -> bytes:
+    """The lines of an Arrow array as one text."""
+    return "".join(lines.to_pylist()).encode()
+
+
 def write_archives(landing: DataFrame, folder: str) -> None:
     """Landing rows as ZIP archives with one CSV member, one per writing task."""
 
+    lines = _csv_lines(landing)
     header_line = (",".join(landing.columns) + "\n").encode()
 
     def pack(batches):
@@ -244,7 +257,7 @@ def write_archives(landing: DataFrame, folder: str) -> None:
         ):
             member.write(header_line)
             for batch in batches:
-                member.write(batch.to_csv(index=False, header=False).encode())
+                member.write(_joined(batch.column(0)))
         yield from ()
 
-    landing.mapInPandas(pack, landing.schema).write.format("noop").mode("overwrite").save()
+    lines.mapInArrow(pack, lines.schema).write.format("noop").mode("overwrite").save()
