@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from html import unescape
 from typing import Any
 
@@ -94,8 +95,9 @@ class Block:
         """Tags, classes, ids and roles from outside in."""
         return tuple(t for tokens in reversed(list(self.place.inward())) for t in tokens)
 
-    @property
+    @cached_property
     def text(self) -> str:
+        """The text, worked out once; asked for when the pieces are complete."""
         return " ".join(unescape("".join(self.pieces)).split())
 
 

@@ -285,3 +285,13 @@ def test_rows_keep_their_columns(spark):
     scored = language.score(docs, known, counts, language.train(docs, known, "tenth"))
     assert scored.columns == ["doc_id", "lang", "source", "n_chars", "tenth", "n_tokens", "n_known", "base_score", "score"]
     assert scored.count() == 30
+
+
+def test_text_of_a_block_is_worked_out_once(monkeypatch):
+    from skyledger.llm import blocks, labeller
+
+    calls = []
+    monkeypatch.setattr(blocks, "unescape", lambda text: calls.append(text) or text)
+    found = blocks.parse("<p>one</p><p>two</p>")
+    labeller.vectors(found)
+    assert [b.text for b in found] == calls == ["one", "two"]
