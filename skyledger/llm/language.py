@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import stored, text_of, without, words
+from skyledger.llm.common import SPACE_CLASS, stored, text_of, without
 
 #: Tokens the network tells apart (under 2**16), and numbers in a vector.
 SHORTLIST, WIDTH = 1024, 32
@@ -66,16 +66,10 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= KEY_BYTES else b" " + hashlib.sha256(word).hexdigest().encode()
 
 
-def token_keys(text: Column) -> Column:
-    """Keys of the tokens of a text, in lower case, its end last."""
-    held = words(F.translate(text_of(text), _UPPER, _LOWER))
-    keyed = F.transform(
-        held,
-        lambda w: F.when(F.octet_length(w) <= KEY_BYTES, w).otherwise(
-            F.concat(F.lit(" "), F.sha2(w.cast("binary"), 256))
-        ),
-    )
-    return F.concat(keyed, F.array(F.lit(END)))
+def _key(word: Column) -> Column:
+    """Key of a token; a blank, which no word is, stands for the end."""
+    long = F.concat(F.lit(" "), F.sha2(word.cast("binary"), 256))
+    return F.when(word == " ", F.lit(END)).when(F.octet_length(word) <= KEY_BYTES, word).otherwise(long)
 
 
 def remainder(number: Column) -> Column:
@@ -213,8 +207,15 @@ class Vocabulary:
 
 
 def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``key`` and ``c`` of every token of the texts; summed before the shuffle."""
-    return texts.select(F.explode(token_keys(F.col(text))).alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    """``key`` and ``c`` of every token of the texts; summed before the shuffle.
+
+    Texts are split into rows first: a step on rows is compiled, one on the elements
+    of an array is not.
+    """
+    lowered = F.translate(text_of(F.col(text)), _UPPER, _LOWER)
+    tokens = F.concat(F.split(lowered, f"[{SPACE_CLASS}]+"), F.array(F.lit(" ")))
+    held = texts.select(F.explode(tokens).alias("word")).where(F.col("word") != "")
+    return held.select(_key(F.col("word")).alias("key")).groupBy("key").agg(F.count("*").alias("c"))
 
 
 def vocabulary(counts: DataFrame, shortlist: int = SHORTLIST, head: int = HEAD) -> Vocabulary:

@@ -287,6 +287,14 @@ def test_rows_keep_their_columns(spark):
     assert scored.count() == 30
 
 
+def test_tokens_are_counted_without_functions_on_arrays(spark):
+    docs = spark.createDataFrame([("a  B\tb", ), (None,), (" ",), ("x" * 70,)], "text string")
+    counts = language.count_tokens(docs)
+    assert "lambda" not in counts._jdf.queryExecution().executedPlan().toString()
+    long = language.key_of(b"x" * 70).decode()
+    assert {(r.key, r.c) for r in counts.collect()} == {("a", 1), ("b", 2), ("", 4), (long, 1)}
+
+
 def test_text_of_a_block_is_worked_out_once(monkeypatch):
     from skyledger.llm import blocks, labeller
 
