@@ -57,16 +57,19 @@ def sample_rows(
     and however often a task is run again.
 
     Copies of a row are counted before they are shuffled, and numbered in
-    slices, so no task holds all copies of one row. The counts are stored, as
-    they are read three times. Draws above a cut that leaves slightly more
+    slices, so no task holds all copies of one row. Rows of one slice are drawn
+    where their counts were stored; only the slices of others are dealt out. The
+    counts are stored, as they are read several times. Draws above a cut that leaves slightly more
     than ``n`` are dropped before the final sort; should the cut leave too
     few, it is lifted.
     """
     chosen = df.select(*columns) if keep_nulls else df.select(*columns).dropna()
     counted = stored(chosen.groupBy(*columns).agg(F.count("*").alias("copies")), "sample")
     last_slice = F.floor((F.col("copies") - 1) / COPIES_PER_TASK_ROW).cast("bigint")
-    slices = counted.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), last_slice)))
-    spread = slices.repartition(*columns, "slice")
+    few = F.col("copies") <= COPIES_PER_TASK_ROW
+    slices = counted.where(~few).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), last_slice)))
+    dealt = slices.repartition(*columns, "slice")
+    spread = counted.where(few).withColumn("slice", F.lit(0).cast("bigint")).unionByName(dealt)
     first = F.col("slice") * COPIES_PER_TASK_ROW
     until = F.least(first + COPIES_PER_TASK_ROW, F.col("copies")) - 1
     rows = spread.withColumn("copy", F.explode(F.sequence(first, until)))

@@ -294,3 +294,19 @@ def test_interleaved_table_of_nulls_and_of_nothing(spark, tmp_path):
     tables.write_interleaved(rows, str(tmp_path / "z"), ["year"])
     assert spark.read.parquet(str(tmp_path / "z")).count() == 3
     tables.write_interleaved(rows.limit(0), str(tmp_path / "empty"), ["year"])
+
+
+def test_only_slices_of_many_copies_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(0, 500, 1, 4).select((F.col("id") % 400).alias("a"))
+    deal, dealt = type(rows).repartition, []
+
+    def note(self, *args):
+        dealt.append(self.count())
+        return deal(self, *args)
+
+    monkeypatch.setattr(type(rows), "repartition", note)
+    assert sampling.sample_rows(rows, ["a"], 40).count() == 40
+    assert dealt == [0]
+    monkeypatch.setattr(sampling, "COPIES_PER_TASK_ROW", 1)
+    again = sampling.sample_rows(rows, ["a"], 500)
+    assert dealt[1] == 200 and again.count() == 500
