@@ -31,6 +31,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,36 +141,52 @@ class Training:
         self.tokens = 0
 
     @staticmethod
-    def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        """Sums of the values by row."""
+    def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that are there, once each and in order, and the sums of their values."""
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits sort by digits
         held = rows[order]
         firsts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
-        out = np.zeros((n, values.shape[1]), np.float32)
-        out[held[firsts]] = np.add.reduceat(values[order], firsts, axis=0)
-        return out
+        return held[firsts], np.add.reduceat(values[order], firsts, axis=0)
+
+    @staticmethod
+    def _move(value: np.ndarray, past: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Adagrad on the rows a batch touches; the others have no gradient and stay."""
+        height = past[rows] + gradient * gradient
+        past[rows] = height
+        value[rows] += STEP * gradient / np.sqrt(height)
 
     def step(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
         """One batch: every token against the same noise words."""
         net, n = self.net, self.net.size + 1
         noise = np.minimum(np.searchsorted(self.heights, self.draw.random(NOISE) * self.heights[-1]), n - 1)
         predicted = net.predicted(first, second)
-        own = net.after[target]
+        own, others = net.after[target], net.after[noise]
         true = np.einsum("ij,ij->i", predicted, own) + net.bias[target] - self.offset[target]
-        false = predicted @ net.after[noise].T + (net.bias[noise] - self.offset[noise])
+        false = predicted @ others.T
+        false += net.bias[noise] - self.offset[noise]
         # Gradients of the log-likelihood of "from the text" and "from the noise".
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        pull = up[:, None] * own + down @ net.after[noise]
+        down = np.negative(false, out=false)  # the largest table of a batch: worked on in place
+        np.exp(np.clip(down, -30, 30, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        pull = up[:, None] * own
+        pull += down @ others
         grow = np.zeros((n, net.after.shape[1] + 1), np.float32)
         np.add.at(grow, noise, np.hstack([down.T @ predicted, down.sum(axis=0)[:, None]]))
-        grow += self._sums(target, np.hstack([up[:, None] * predicted, up[:, None]]), n)
-        before = np.stack([self._sums(x, pull, n + 1) for x in (first, second)])
-        gradients = (before, grow[:, :-1], grow[:, -1])
-        for value, past, gradient in zip((net.before, net.after, net.bias), self.past, gradients):
-            gradient = gradient / len(target) ** 0.5
-            past += gradient * gradient
-            value += STEP * gradient / np.sqrt(past)
+        own_rows, own_sums = self._sums(target, np.hstack([up[:, None] * predicted, up[:, None]]))
+        grow[own_rows] += own_sums
+        touched = np.zeros(n, bool)
+        touched[own_rows] = touched[noise] = True
+        rows = np.flatnonzero(touched)
+        scale = len(target) ** 0.5
+        before, after, bias = self.past
+        for place, words in enumerate((first, second)):
+            held, sums = self._sums(words, pull)
+            self._move(net.before[place], before[place], held, sums / scale)
+        gradient = grow[rows] / scale
+        self._move(net.after, after, rows, gradient[:, :-1])
+        self._move(net.bias, bias, rows, gradient[:, -1])
 
     def learn(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> None:
         """All tokens once, in random order."""
@@ -227,16 +244,15 @@ def vocabulary(counts: DataFrame, shortlist: int = SHORTLIST, head: int = HEAD)
     return Vocabulary(total.n, total.v, places, np.array([c for c, _ in held], np.int64), min(shortlist, len(held)))
 
 
-def _tokens(texts: list[str | None], places: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array, places: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of the texts, places of all tokens (-1: not frequent) and each text's number."""
-    held = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    held = [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
     sizes = np.array([len(w) + 1 for w in held])
-    out = np.empty(int(sizes.sum()), np.int64)
-    at, end, get = 0, places.get(END.encode(), -1), places.get
-    for w in held:
-        out[at : at + len(w)] = [get(x, -1) for x in w]
-        at += len(w) + 1
-        out[at - 1] = end
+    out = np.full(int(sizes.sum()), places.get(END.encode(), -1))
+    is_word = np.ones(len(out), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    found = map(places.get, chain.from_iterable(held), repeat(-1))
+    out[is_word] = np.fromiter(found, np.int64, len(out) - len(held))
     return held, out, np.repeat(np.arange(len(held)), sizes)
 
 
@@ -293,7 +309,7 @@ def train(texts: DataFrame, words_of: Vocabulary, tenth: str, text: str = "text"
             start, places, size, shares = given.value
             training = Training(start, shares, TaskContext.get().partitionId())
             for group in _by_tokens(batches, 0, TRAIN_TOKENS):
-                _, place, number = _tokens(group.column(0).to_pylist(), places)
+                _, place, number = _tokens(group.column(0), places)
                 training.learn(*_contexts(place, number, size))
             if not training.tokens:
                 return
@@ -343,7 +359,7 @@ def score(texts: DataFrame, words_of: Vocabulary, counts: DataFrame, network: Ne
         network, places, counts, size = given.value
         logs = np.log10(counts + SMOOTHING)
         for group in _by_tokens(batches, group_column, SCORE_TOKENS):
-            held, place, number = _tokens(group.column(group_column).to_pylist(), places)
+            held, place, number = _tokens(group.column(group_column), places)
             n = len(held)
             listed = network.log_probabilities(*_contexts(place, number, size)) / math.log(10)
             frequent, unlisted = place >= 0, place >= size

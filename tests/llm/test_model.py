@@ -287,6 +287,24 @@ def test_rows_keep_their_columns(spark):
     assert scored.count() == 30
 
 
+def test_a_step_moves_only_rows_that_occur():
+    draw = np.random.default_rng(1)
+    shares = np.full(301, 1 / 301)
+    training = language.Training(language.Network.start(shares, 8), shares, 3)
+    start = language.Training(language.Network.start(shares, 8), shares, 3).net
+    first, second, target = draw.integers(0, 9, (3, 200))
+    held, sums = training._sums(first, np.ones((200, 1), np.float32))
+    assert held.tolist() == sorted(set(first.tolist()))
+    assert sums[:, 0].tolist() == [Counter(first.tolist())[w] for w in held.tolist()]
+    training.step(first, second, target)
+    net = training.net
+    assert (net.before[:, :9] != start.before[:, :9]).any(axis=2).all()
+    assert (net.before[:, 9:] == start.before[:, 9:]).all()
+    moved = np.flatnonzero((net.after != start.after).any(axis=1))
+    assert set(range(9)) <= set(moved.tolist()) and len(moved) <= 9 + language.NOISE
+    assert (np.flatnonzero(net.bias != start.bias) == moved).all()
+
+
 def test_tokens_are_counted_without_functions_on_arrays(spark):
     docs = spark.createDataFrame([("a  B\tb", ), (None,), (" ",), ("x" * 70,)], "text string")
     counts = language.count_tokens(docs)
