@@ -54,6 +54,15 @@ def _clear(spark: SparkSession, path: str, folders: Iterable[str]) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a month brought together, a month too big for one task split.
+
+    Best done while rows are narrow: columns made from them later, row by row, need no
+    shuffle, and a writer given the wide rows then needs no ``gather``.
+    """
+    return df.hint("rebalance", *keys)
+
+
 def replace_months(
     df: DataFrame,
     path: str,
@@ -74,7 +83,7 @@ def replace_months(
     hint lets adaptive execution split a month too big for one task, which a
     plain repartition by the same keys would not.
     """
-    arranged = df.hint("rebalance", *keys) if gather else df
+    arranged = gathered(df, *keys) if gather else df
     seen = Observation()
     if months is not None:
         arranged = arranged.observe(seen, F.collect_set(F.struct(*keys)).alias("months"))
@@ -189,7 +198,7 @@ def write_mart(df: DataFrame, path: str) -> None:
 def replace_all(df: DataFrame, path: str) -> None:
     """Write a monthly table anew; months it held before are gone."""
     (
-        df.hint("rebalance", *MONTH_KEYS)
+        gathered(df, *MONTH_KEYS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(*MONTH_KEYS)

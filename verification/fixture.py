@@ -22,7 +22,7 @@ from skyledger.schema import FLIGHT_COLUMNS
 from skyledger.plans.base import flight_base
 from skyledger.plans.cells import mart_cells
 from skyledger.sources.lookups import Lookups
-from skyledger.sources.tables import stored
+from skyledger.sources.tables import gathered, stored
 
 FLIGHTS = """
 with b as (
@@ -89,23 +89,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source_flights(spark: SparkSession, sf_dir: str, draws: bool = False) -> DataFrame:
+def source_flights(
+    spark: SparkSession, sf_dir: str, draws: bool = False, by_month: bool = False
+) -> DataFrame:
     """Typed flights as derived, before they become landing text.
 
     The file is one row group, read by one task; its rows are dealt out first, so that
-    all tasks derive flights. With ``draws`` every flight has the ``draw`` of its row,
-    and stays where it was read.
+    all tasks derive flights. With ``by_month`` that brings the rows of a month together,
+    as monthly files have them: seven short columns are shuffled, not the 28 of a flight.
+    With ``draws`` every flight has the ``draw`` of its row, and stays where it was read.
     """
     rows = table(spark, sf_dir, "lineitem")
     if draws:
         drawn = with_draw(rows, file=F.col("_metadata.file_name"))
         return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}", "draw"), lineitem=drawn)
     used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
-    dealt = rows.select(*used).repartition("l_orderkey", "l_linenumber")
+    if by_month:
+        day = F.col("l_shipdate")
+        dealt = gathered(rows.select(*used, F.year(day).alias("y"), F.month(day).alias("m")), "y", "m")
+    else:
+        dealt = rows.select(*used).repartition("l_orderkey", "l_linenumber")
     return spark.sql(flights_sql(SPARK_MARKS, "{lineitem}"), lineitem=dealt)
 
 
-def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def landing(spark: SparkSession, sf_dir: str, by_month: bool = False) -> DataFrame:
     """The flights as landing text: ``12.00`` for measures and flags."""
     decimal_text = {"dep_delay", "taxi_out", "taxi_in", "arr_delay", "air_time", "distance"}
 
@@ -116,7 +123,7 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
             return F.concat(F.col(name).cast("string"), F.lit(".00"))
         return F.col(name).cast("string")
 
-    flights = source_flights(spark, sf_dir)
+    flights = source_flights(spark, sf_dir, by_month=by_month)
     return flights.select(*[text(name, kind).alias(src) for src, name, kind in FLIGHT_COLUMNS])
 
 
@@ -174,9 +181,9 @@ def silver_from_text(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return build_silver(landing(spark, sf_dir), counted_lookups(spark, sf_dir), **options)
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+def silver(spark: SparkSession, sf_dir: str, by_month: bool = False) -> DataFrame:
     """The silver rows, from the typed flights."""
-    return enriched(filled(source_flights(spark, sf_dir)), counted_lookups(spark, sf_dir))
+    return enriched(filled(source_flights(spark, sf_dir, by_month=by_month)), counted_lookups(spark, sf_dir))
 
 
 def staging(spark: SparkSession, sf_dir: str) -> DataFrame:

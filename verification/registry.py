@@ -53,13 +53,13 @@ def query(function: Query) -> Query:
 
 def _monthly_bronze(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "bronze")
-    tables.to_bronze(fixture.landing(spark, sf_dir), path, gather=True)
+    tables.to_bronze(fixture.landing(spark, sf_dir, by_month=True), path)
     return path
 
 
 def _monthly_silver(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "silver")
-    tables.replace_months(fixture.silver(spark, sf_dir), path, gather=True)
+    tables.replace_months(fixture.silver(spark, sf_dir, by_month=True), path)
     return path
 
 
