@@ -153,7 +153,7 @@ def test_rerun_and_append(spark, tmp_path, lists):
     assert tables.read_silver(spark, path).count() == 2 * len(edge_rows.EDGES)
 
 
-@pytest.mark.parametrize("name", ["backfill"])
+@pytest.mark.parametrize("name", ["raw_text_table", "backfill"])
 def test_months_are_gathered_while_rows_are_narrow(spark, tmp_path, monkeypatch, name):
     days = [f"2023-{1 + k % 3:02d}-05" for k in range(60)]
     rows = [(k, k, k % 9, 1 + k % 7, float(k), "RAN"[k % 3], day) for k, day in enumerate(days)]

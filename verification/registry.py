@@ -117,7 +117,7 @@ def missing_months(spark, sf_dir):
 def _text_table(spark: SparkSession, sf_dir: str) -> str:
     path = tables.work_folder(spark, "raw")
     for _ in range(2):
-        tables.load_raw_text(fixture.landing(spark, sf_dir), path, gather=True)
+        tables.load_raw_text(fixture.landing(spark, sf_dir, by_month=True), path)
     return path
 
 
