@@ -20,7 +20,7 @@ from skyledger.sources.lookups import Lookups, publish_lookups, read_lookup
 from skyledger.streaming import landing as arriving
 from skyledger.streaming.landing import load_new_files
 from tests import edge_rows
-from verification import registry
+from verification import fixture, registry
 
 
 def text_of(rows, extra=True, header=LANDING_COLUMNS):
@@ -153,7 +153,7 @@ def test_rerun_and_append(spark, tmp_path, lists):
     assert tables.read_silver(spark, path).count() == 2 * len(edge_rows.EDGES)
 
 
-@pytest.mark.parametrize("name", ["raw_text_table", "backfill"])
+@pytest.mark.parametrize("name", ["raw_text_table", "backfill", "stream_landing"])
 def test_months_are_gathered_while_rows_are_narrow(spark, tmp_path, monkeypatch, name):
     days = [f"2023-{1 + k % 3:02d}-05" for k in range(60)]
     rows = [(k, k, k % 9, 1 + k % 7, float(k), "RAN"[k % 3], day) for k, day in enumerate(days)]
@@ -170,6 +170,20 @@ def test_months_are_gathered_while_rows_are_narrow(spark, tmp_path, monkeypatch,
     assert widths and max(widths) < 10
 
 
+def test_landing_files_hold_the_rows_as_they_are(spark, tmp_path):
+    rows = edge_rows.landing(spark)
+    odd = rows.withColumn("OriginCityName", F.lit('a "b", c')).withColumn("DestCityName", F.lit(None).cast("string"))
+    monthless = odd.withColumn("Month", F.lit(None).cast("string"))
+    fixture.write_landing_files(odd.unionByName(monthless), str(tmp_path))
+    assert {p.name.rsplit("_", 1)[0] for p in tmp_path.rglob("*.csv")} == {"2023_1"}
+    found = files.read_landing_months(spark, str(tmp_path), [(2023, 1)])
+
+    def as_read(df):
+        return Counter(tuple(v or None for v in r) for r in df.select(*LANDING_COLUMNS).collect())
+
+    assert as_read(found) == as_read(odd)
+
+
 def test_a_month_too_big_for_one_task_is_split(spark, tmp_path, lists):
     one = build_silver(edge_rows.landing(spark), lists)
     many = one.crossJoin(spark.range(0, 2000, 1, 8).select("id")).drop("id")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import zipfile
 
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -213,34 +214,42 @@ def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_landing_files(landing: DataFrame, root: str) -> None:
     """Landing CSV named after its month, one part per month and writing task.
 
-    Months are gathered first, big ones split, so that a task writes few files.
+    Best given rows gathered by month, so that a task writes few files. Rows of no
+    month belong to no file.
     """
-    gathered = landing.hint("rebalance", "Year", "Month")
+    dated = landing.where(F.col("Year").isNotNull() & F.col("Month").isNotNull())
+    lines = _csv_lines(dated, "Year", "Month")
+    header_line = (",".join(landing.columns) + "\n").encode()
 
     def split(batches):
         task = TaskContext.get().partitionId()
         with contextlib.ExitStack() as stack:
             open_files = {}
             for batch in batches:
-                for (year, month), rows in batch.groupby(["Year", "Month"]):
-                    first = (year, month) not in open_files
-                    if first:
-                        filesystem, folder = _target(f"{root}/{year}")
-                        name = f"{folder}/{year}_{month}_{task}.csv"
-                        stream = stack.enter_context(filesystem.open_output_stream(name))
-                        open_files[year, month] = stream
-                    text = rows.to_csv(index=False, header=first)
-                    open_files[year, month].write(text.encode())
+                month = pc.binary_join_element_wise(batch.column(1), batch.column(2), "_")
+                for name in pc.unique(month).to_pylist():
+                    if name not in open_files:
+                        filesystem, folder = _target(f"{root}/{name.split('_')[0]}")
+                        stream = filesystem.open_output_stream(f"{folder}/{name}_{task}.csv")
+                        open_files[name] = stack.enter_context(stream)
+                        stream.write(header_line)
+                    open_files[name].write(_joined(batch.column(0).filter(pc.equal(month, name))))
         yield from ()
 
-    gathered.mapInPandas(split, landing.schema).write.format("noop").mode("overwrite").save()
+    lines.mapInArrow(split, lines.schema).write.format("noop").mode("overwrite").save()
 
 
-def _csv_lines(landing: DataFrame) -> DataFrame:
-    """Every row as a line of CSV."""
-    plain = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+def _csv_lines(landing: DataFrame, *kept: str) -> DataFrame:
+    """Every row as a line of CSV, beside the columns kept."""
+    plain = {
+        "quote": '"',
+        "escape": '"',
+        "emptyValue": "",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+    }
     row = F.struct(*[F.col(name) for name in landing.columns])
-    return landing.select(F.concat(F.to_csv(row, plain), F.lit("\n")).alias("line"))
+    return landing.select(F.concat(F.to_csv(row, plain), F.lit("\n")).alias("line"), *kept)
 
 
 def _joined(lines) -> bytes:

@@ -100,7 +100,7 @@ def lookup_publish(spark, sf_dir):
 def missing_months(spark, sf_dir):
     """A year whose landing files lack a month: refused by default, or read without it."""
     root = tables.work_folder(spark, "landing")
-    year = fixture.landing(spark, sf_dir).where((F.col("Year") == str(YEAR)) & (F.col("Month") != str(MONTH)))
+    year = fixture.landing(spark, sf_dir, by_month=True).where((F.col("Year") == str(YEAR)) & (F.col("Month") != str(MONTH)))
     fixture.write_landing_files(year, root)
     months = monthly.months_between((YEAR, 1), (YEAR, 12))
     try:
@@ -137,7 +137,7 @@ def scan_text_month(spark, sf_dir):
 def ingest_targets(spark, sf_dir):
     """Landing files of one year to all three targets, by month."""
     root = tables.work_folder(spark, "ingest")
-    fixture.write_landing_files(fixture.landing(spark, sf_dir), root)
+    fixture.write_landing_files(fixture.landing(spark, sf_dir, by_month=True), root)
     names = ("bronze", "raw", "text-staging")
     bronze, raw, staging = (tables.work_folder(spark, name) for name in names)
     months = monthly.months_between((YEAR, 1), (YEAR, 12))
@@ -227,7 +227,7 @@ def backfill(spark, sf_dir):
 def stream_landing(spark, sf_dir):
     """Landing files loaded as they are found; a second run finds none."""
     root, path = tables.work_folder(spark, "arriving"), tables.work_folder(spark, "silver")
-    fixture.write_landing_files(fixture.landing(spark, sf_dir), root)
+    fixture.write_landing_files(fixture.landing(spark, sf_dir, by_month=True), root)
     ledger = tables.work_folder(spark, "loaded-files")
     for _ in range(2):
         found = load_new_files(spark, root, path, fixture.lookups(spark, sf_dir), ledger)
