@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.llm.common import SPACE_CLASS, stored, text_of, without
+from skyledger.llm.common import stored, text_of, without
 
 #: Tokens the network tells apart (under 2**16), and numbers in a vector.
 SHORTLIST, WIDTH = 1024, 32
@@ -53,13 +53,14 @@ KEY_BYTES = 64
 NOISE, BATCH, STEP = 64, 1024, 0.15
 #: Tokens of the texts that are worked on at once.
 TRAIN_TOKENS, SCORE_TOKENS = 1 << 18, 1 << 20
+#: Keys a task counts before it gives its counts on; one text may add its own.
+COUNTED = 1 << 18
 #: Remainders (of ten) of the texts learned from, by round; remainder 0 is held out.
 ROUNDS = ((1,), (2, 3, 4, 5, 6, 7, 8, 9))
 SMOOTHING = 0.1
 
 #: Key of the end of a text; no word is empty.
 END = ""
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def key_of(word: bytes) -> bytes:
@@ -67,12 +68,6 @@ def key_of(word: bytes) -> bytes:
     return word if len(word) <= KEY_BYTES else b" " + hashlib.sha256(word).hexdigest().encode()
 
 
-def _key(word: Column) -> Column:
-    """Key of a token; a blank, which no word is, stands for the end."""
-    long = F.concat(F.lit(" "), F.sha2(word.cast("binary"), 256))
-    return F.when(word == " ", F.lit(END)).when(F.octet_length(word) <= KEY_BYTES, word).otherwise(long)
-
-
 def remainder(number: Column) -> Column:
     """Which tenth a text belongs to; 0 is held out."""
     return F.crc32(F.coalesce(number.cast("string"), F.lit("")).cast("binary")) % 10
@@ -119,8 +114,14 @@ class Network:
 
     def log_probabilities(self, first: np.ndarray, second: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each next word; contexts are normalised once each."""
-        code, at = np.unique(first.astype(np.int64) * (self.size + 2) + second, return_inverse=True)
-        u, v = np.divmod(code, self.size + 2)
+        code = first.astype(np.int64) * (self.size + 2) + second
+        seen = np.zeros((self.size + 2) ** 2, bool)  # a flag a context costs less than sorting
+        seen[code] = True
+        known = np.flatnonzero(seen)
+        place = np.empty(len(seen), np.int32)
+        place[known] = np.arange(len(known), dtype=np.int32)
+        at = place[code]
+        u, v = np.divmod(known, self.size + 2)
         sums, predicted = self.log_sums(u, v), self.predicted(u, v)
         out = np.empty(len(target), np.float32)
         for start in range(0, len(target), 1 << 15):
@@ -226,13 +227,31 @@ class Vocabulary:
 def count_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     """``key`` and ``c`` of every token of the texts; summed before the shuffle.
 
-    Texts are split into rows first: a step on rows is compiled, one on the elements
-    of an array is not.
+    A task adds up its words in a table that is given on when it holds ``COUNTED`` keys,
+    so its size does not depend on the texts. Spark sums what the tasks give.
     """
-    lowered = F.translate(text_of(F.col(text)), _UPPER, _LOWER)
-    tokens = F.concat(F.split(lowered, f"[{SPACE_CLASS}]+"), F.array(F.lit(" ")))
-    held = texts.select(F.explode(tokens).alias("word")).where(F.col("word") != "")
-    return held.select(_key(F.col("word")).alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+
+    def given(counted: Counter) -> pa.RecordBatch:
+        keys = pa.array(list(counted), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([keys, pa.array(list(counted.values()), pa.int64())], ["key", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter = Counter()
+        for group in _by_tokens(batches, 0, TRAIN_TOKENS):
+            counted[END.encode()] += group.num_rows
+            for text in group.column(0).cast(pa.binary()).to_pylist():
+                found = text.lower().split()
+                if len(text) > KEY_BYTES and max(map(len, found), default=0) > KEY_BYTES:
+                    found = map(key_of, found)
+                counted.update(found)
+                if len(counted) >= COUNTED:
+                    yield given(counted)
+                    counted.clear()
+        if counted:
+            yield given(counted)
+
+    counts = texts.select(text_of(F.col(text)).alias("text")).mapInArrow(count, "key string, c long")
+    return counts.groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, shortlist: int = SHORTLIST, head: int = HEAD) -> Vocabulary:

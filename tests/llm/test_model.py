@@ -287,6 +287,17 @@ def test_rows_keep_their_columns(spark):
     assert scored.count() == 30
 
 
+def test_full_tables_of_counts_are_given_on(spark, monkeypatch):
+    rows = [(k, f"w{k % 7} W{k % 7}\x0b" + "x" * (60 + k % 9) + "\u00c9 \u00a0") for k in range(90)]
+    docs = documents(spark, rows).coalesce(1)
+    monkeypatch.setattr(language, "COUNTED", 5)
+    words = Counter(language.key_of(w) for _, t in rows for w in [*t.encode().lower().split(), b""])
+    counts = language.count_tokens(docs)
+    assert {r.key.encode(): r.c for r in counts.collect()} == words
+    # Words reach Spark counted, not one row each.
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_step_moves_only_rows_that_occur():
     draw = np.random.default_rng(1)
     shares = np.full(301, 1 / 301)
